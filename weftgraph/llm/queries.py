@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, lpt_shards, trigram_scan
+from weftgraph.llm import bpe, langid, lpt_shards, rff_quality, trigram_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trigram_scan.report(_table(spark, sf_dir, "documents"))
 
 
+def op3_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rff_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,12 +28,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_shards.shard_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_secret_scan, op6_byte_bpe, op9_lpt_shards]
+    found = [op2_secret_scan, op3_rff_quality, op6_byte_bpe, op8_language_id, op9_lpt_shards]
     return {f.__name__: f for f in found}
 
 
