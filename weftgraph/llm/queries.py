@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, langid, lpt_shards, rff_quality, trigram_scan
+from weftgraph.llm import bpe, langid, lpt_shards, rff_quality, trigram_scan, url_markov
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rff_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,7 +42,7 @@ def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_secret_scan, op3_rff_quality, op6_byte_bpe, op8_language_id, op9_lpt_shards]
+    found = [op2_secret_scan, op3_rff_quality, op5_url_markov, op6_byte_bpe, op8_language_id, op9_lpt_shards]
     return {f.__name__: f for f in found}
 
 
