@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from weftgraph.llm.common import id_and_text
 
 #: Entries a worker keeps of encoded pieces and of judged token pairs before it starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 
 #: Prefixes of up to so many bytes are kept across pieces.
-SHARED_PREFIX = 12
+SHARED_PREFIX = 10
 
 #: White space as the Unicode property has it; the regex module's \s adds four control codes.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -130,13 +130,23 @@ class Vocabulary:
     def encode_piece(self, data: bytes, known: dict[bytes, int]) -> tuple[int, ...]:
         """Encoding of a piece; known keeps the last tokens of prefixes that pieces share."""
         last: list[int] = []
+        usable, judged, reaches = self.usable.get, self._stands.get, self.reach.get
         for end in range(1, len(data) + 1):
-            prefix = data[:end]
-            token = known.get(prefix) if end <= SHARED_PREFIX else None
+            token = known.get(data[:end]) if end <= SHARED_PREFIX else None
             if token is None:
-                token = self.last_token(data, end, last)
+                reach = reaches(data[end - 2 : end], 1) if end > 1 else 1
+                for start in range(end - reach if end > reach else 0, end):
+                    token = usable(data[start:end])
+                    if token is not None:
+                        if start == 0:
+                            break
+                        fits = judged((last[start - 1], token))
+                        if fits or fits is None and self.stands(last[start - 1], token):
+                            break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
                 if end <= SHARED_PREFIX:
-                    known[prefix] = token
+                    known[data[:end]] = token
             last.append(token)
         at, out, lengths = len(data), [], self.lengths
         while at:
