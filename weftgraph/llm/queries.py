@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, langid, lpt_shards, rff_quality, trigram_scan, url_markov
+from weftgraph.llm import bpe, langid, lpt_shards, order_minhash, rff_quality, spaced_seeds, trigram_scan, url_markov
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edits(_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trigram_scan.report(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -42,7 +50,7 @@ def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_secret_scan, op3_rff_quality, op5_url_markov, op6_byte_bpe, op8_language_id, op9_lpt_shards]
+    found = [op1_order_minhash, op2_secret_scan, op3_rff_quality, op5_url_markov, op6_byte_bpe, op7_spaced_seeds, op8_language_id, op9_lpt_shards]
     return {f.__name__: f for f in found}
 
 
