@@ -47,7 +47,8 @@ def _seeded(rows: DataFrame, tokens: str, masks: list[tuple[int, tuple[int, ...]
     """rows once for each seed, with columns seed and at, the position of its first token."""
     keep = rows.columns
     all_seeds = F.concat(*[_mask_seeds(tokens, m, mask) for m, mask in masks])
-    out = rows.withColumn("_seeds", all_seeds).select(*keep, F.posexplode("_seeds").alias("_at", "seed")).where("seed IS NOT NULL")
+    # The outer form keeps Spark from testing the array beforehand, which would compute it twice.
+    out = rows.withColumn("_seeds", all_seeds).select(*keep, F.posexplode_outer("_seeds").alias("_at", "seed")).where("seed IS NOT NULL")
     return out.withColumn("at", F.pmod(F.col("_at"), F.size(tokens))).drop("_at")
 
 
@@ -83,9 +84,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id") -> D
     )
     equal = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same)).cast("long")
     hits = hits.select("doc_id", "item_id", "n_item", "first_token", equal.alias("n_equal"), F.size("a").alias("n"))
-    hits = hits.where((F.col("n_equal") >= SHARE * F.col("n")) & (F.col("n_equal") >= F.least(F.lit(LEAST), F.ceil(F.col("n_item") * SHARE))))
-    best = F.max(F.struct("n_equal", (F.col("n_equal") / F.col("n")).alias("share"), (-F.col("first_token")).alias("back")))
-    found = hits.groupBy("doc_id", "item_id").agg(best.alias("best"))
+    least = F.least(F.lit(LEAST), F.ceil(F.col("n_item") * SHARE))
+    passes = (F.col("n_equal") >= SHARE * F.col("n")) & (F.col("n_equal") >= least)
+    # The test follows the aggregation, for as a join condition it would be applied to each token.
+    best = F.max(F.struct(passes.alias("passes"), "n_equal", (F.col("n_equal") / F.col("n")).alias("share"), (-F.col("first_token")).alias("back")))
+    found = hits.groupBy("doc_id", "item_id").agg(best.alias("best")).where("best.passes")
     return found.select("doc_id", "item_id", "best.n_equal", "best.share", (-F.col("best.back")).alias("first_token"))
 
 
