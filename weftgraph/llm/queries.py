@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, langid, lpt_shards, order_minhash, rff_quality, spaced_seeds, trigram_scan, url_markov
+from weftgraph.llm import bpe, jaccard_join, langid, lpt_shards, order_minhash, rff_quality, spaced_seeds, trigram_scan, url_markov
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,13 +49,17 @@ def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_shards.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_order_minhash, op2_secret_scan, op3_rff_quality, op5_url_markov, op6_byte_bpe, op7_spaced_seeds, op8_language_id, op9_lpt_shards]
+    found = [op1_order_minhash, op2_secret_scan, op3_rff_quality, op5_url_markov, op6_byte_bpe, op7_spaced_seeds, op8_language_id, op9_lpt_shards, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": OP2_SQL}
+    return {"op2_secret_scan": OP2_SQL, "op10_jaccard_join": OP10_SQL}
 
 
 def _spans_sql(kind: str, pattern: str, group: int, least: int, flags: str, order: int) -> str:
@@ -96,3 +100,22 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
        coalesce(n_hex, 0)::BIGINT AS n_hex, coalesce(spans, '') AS spans, sha256(coalesce(spans, '')) AS base_sha256
 FROM docs d LEFT JOIN per_doc USING (doc_id)
 """
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM words
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id))::BIGINT AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) r USING (doc_id)
+"""
