@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, jaccard_join, langid, lpt_shards, order_minhash, rff_quality, spaced_seeds, trigram_scan, url_markov
+from weftgraph.llm import bpe, jaccard_join, langid, lpf_dedup, lpt_shards, order_minhash, rff_quality, spaced_seeds, trigram_scan, url_markov
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rff_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lpf_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_markov.judge(_table(spark, sf_dir, "pages"))
 
@@ -54,7 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_order_minhash, op2_secret_scan, op3_rff_quality, op5_url_markov, op6_byte_bpe, op7_spaced_seeds, op8_language_id, op9_lpt_shards, op10_jaccard_join]
+    found = [op1_order_minhash, op2_secret_scan, op3_rff_quality, op4_lpf_dedup, op5_url_markov, op6_byte_bpe, op7_spaced_seeds, op8_language_id, op9_lpt_shards, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
