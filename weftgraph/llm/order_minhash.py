@@ -137,9 +137,11 @@ def with_next(rows: DataFrame, values: list[str]) -> DataFrame:
     heads = rows.withColumn("_before", F.lag(F.lit(1)).over(order)).where("_before IS NULL")
     heads = heads.select(F.col("_bucket").alias("_after"), F.struct(*values).alias("_head"))
     heads = follow.join(heads, "_after").drop("_after")
-    inside = rows.withColumn("_next", F.lead(F.struct(*values)).over(order))
-    out = inside.join(heads, "_bucket", "left").withColumn("_next", F.coalesce("_next", "_head"))
-    return out.select("*", *[F.col("_next")[v].alias(f"next_{v}") for v in values]).drop("_bucket", "_next", "_head")
+    # Plain columns only, here and above: then both windows read one and the same shuffle.
+    inside = rows.withColumns({"_more": F.lead(F.lit(1)).over(order), **{f"next_{v}": F.lead(v).over(order) for v in values}})
+    out = inside.join(heads, "_bucket", "left")
+    nexts = {f"next_{v}": F.when(F.col("_more").isNotNull(), F.col(f"next_{v}")).otherwise(F.col("_head")[v]) for v in values}
+    return out.withColumns(nexts).drop("_bucket", "_more", "_head")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
