@@ -7,7 +7,8 @@ word costs one token, not the match. Test items with fewer tokens than a mask sp
 of all their tokens instead.
 
 The test side is broadcast while its seeds, which are counted first, number at most
-BROADCAST_SEEDS; beyond that the join shuffles by seed.
+BROADCAST_SEEDS (some 60 MB with the tokens around each); beyond that the join shuffles by seed,
+and what moves of a document is the tokens around each position.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SPAN = 10
 #: takes; fewer equal tokens than LEAST never do, unless the item has no more.
 RADIUS, SHARE, LEAST = 10, 0.75, 12
 
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_SEEDS = 200_000
 
 
 def _tokens(text: Column) -> Column:
@@ -52,6 +53,13 @@ def _seeded(rows: DataFrame, tokens: str, masks: list[tuple[int, tuple[int, ...]
     return out.withColumn("at", F.pmod(F.col("_at"), F.size(tokens))).drop("_at")
 
 
+def _near(tokens: str, start: str, near: str) -> list[Column]:
+    """Columns with the tokens within RADIUS of a seed, and the position of the first."""
+    begin = F.greatest(F.col("at") - RADIUS, F.lit(0))
+    end = F.least(F.size(tokens), F.col("at") + SPAN + RADIUS)
+    return [begin.alias(start), F.slice(tokens, begin + 1, end - begin).alias(near)]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, n_equal, share and first_token of every document that holds an item.
 
@@ -68,19 +76,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id") -> D
     base = _seeded(items.where(F.size("item") >= SPAN), "item", masks[: len(MASKS)])
     for m, mask in masks[len(MASKS) :]:
         base = base.unionByName(_seeded(items.where(F.size("item") == len(mask)), "item", [(m, mask)]))
-    base = base.select("seed", F.col("at").alias("item_at"), "item_id", "item")
-    small = base.count() <= BROADCAST_SEEDS
-
+    base = base.select("seed", "item_id", F.col("at").alias("item_at"), F.size("item").alias("n_item"), *_near("item", "item_from", "item_near"))
     rows = id_and_text(docs).select("doc_id", _tokens(F.col("text")).alias("tokens"))
-    hits = _seeded(rows, "tokens", masks).join(F.broadcast(base) if small else base, "seed")
+    hits = _seeded(rows, "tokens", masks)
+    if base.count() <= BROADCAST_SEEDS:
+        # Nothing moves before a hit is found, so what it is compared with is the document itself.
+        hits = hits.withColumn("n_doc", F.size("tokens")).join(F.broadcast(base), "seed")
+        start, words = F.lit(0), F.col("tokens")
+    else:
+        hits = hits.select("doc_id", "seed", "at", F.size("tokens").alias("n_doc"), *_near("tokens", "doc_from", "doc_near")).join(base, "seed")
+        start, words = F.col("doc_from"), F.col("doc_near")
     # The item's tokens from lo to hi stand beside the document's from lo + shift to hi + shift.
     shift = F.col("at") - F.col("item_at")
     lo = F.greatest(F.lit(0), -shift, F.col("item_at") - RADIUS)
-    hi = F.least(F.size("item"), F.size("tokens") - shift, F.col("item_at") + SPAN + RADIUS)
+    hi = F.least(F.col("n_item"), F.col("n_doc") - shift, F.col("item_at") + SPAN + RADIUS)
     size = hi - lo
     hits = hits.select(
-        "doc_id", "item_id", F.size("item").alias("n_item"), (lo + shift).alias("first_token"),
-        F.slice("item", lo + 1, size).alias("a"), F.slice("tokens", lo + shift + 1, size).alias("b"),
+        "doc_id", "item_id", "n_item", (lo + shift).alias("first_token"),
+        F.slice("item_near", lo - F.col("item_from") + 1, size).alias("a"), F.slice(words, lo + shift - start + 1, size).alias("b"),
     )
     equal = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same)).cast("long")
     hits = hits.select("doc_id", "item_id", "n_item", "first_token", equal.alias("n_equal"), F.size("a").alias("n"))
