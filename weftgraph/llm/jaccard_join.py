@@ -17,13 +17,14 @@ A document is replicated to the regions of its keys. Keys travel as packed array
 each batch of documents and target partition.
 
 Joins. The size of a set bounds distances (the triangle inequality with the empty set), so a
-region is cut into windows of sizes, which overlap. In a window the smallest document is the
-pivot, and every other one's distance to it is computed exactly from the whole sets. Those within
-RADIUS are linked with the pivot and so with each other; no pairs among them are needed. A
-document farther off is compared, in the next step, with those of its window whose distance to
-the pivot differs by RADIUS at most; the triangle inequality excludes all others. Components
-follow from the links by label propagation. The order of shingles and the choice of pivots
-decide the cost only.
+region is cut into windows of sizes, which overlap. In a window the document that
+meets most others is the pivot, and every other one's distance to it is computed exactly from the whole sets. Those within
+RADIUS are linked with the pivot and so with each other; no pairs among them are needed. What the
+pivot does not reach, and no chain of such links either, is joined in blocks: the documents far
+from a pivot against all of its regions' documents, of which the triangle inequality excludes
+those whose distance to the pivot differs by more than RADIUS. A block gives one link for each
+document and component. Components follow from the links by label propagation. The order of
+shingles and the choice of pivots decide the cost only.
 """
 
 from __future__ import annotations
@@ -53,6 +54,9 @@ SAMPLE, FREQUENT, LAST = 8192, 4, 100_000
 #: Documents compared with a pivot in one group of rows.
 SPREAD = 512
 
+#: Ids of documents to compare that are broadcast to choose texts before these are shuffled.
+BROADCAST_IDS = 2_000_000
+
 _WORD_CACHE = 500_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -156,7 +160,7 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, last) -> Iterator[pa.Re
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of all regions of a partition: region, pivot, doc_id, once for equal windows."""
+    """Windows of all regions of a partition: region, doc_id, members, once for equal windows."""
     parts: tuple[list, list, list] = ([], [], [])
     for batch in batches:
         for name, kind, into in zip(("keys", "ids", "sizes"), (np.uint64, np.int64, np.int32), parts, strict=True):
@@ -174,7 +178,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     many = end - begin > 1
     for a, b in zip(begin[many], end[many], strict=True):
         docs, n = ids[a:b], sizes[a:b]
-        mark = xxhash.xxh3_128_digest(docs.tobytes())
+        mark = docs.tobytes() if b - a < 3 else xxhash.xxh3_128_digest(docs.tobytes())
         if mark in seen:
             continue
         seen.add(mark)
@@ -183,33 +187,31 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # The window's own sizes reach to `stop`; those from `low` on may link into it.
             stop = int(np.searchsorted(n, n[at] * 100 // PERCENT, "right"))
             low = int(np.searchsorted(n, -(-int(n[at]) * PERCENT // 100), "left"))
-            pivot = docs[at]
-            others = np.unique(docs[low:stop])
-            others = others[others != pivot]
-            if len(others):
-                region = xxhash.xxh3_64_intdigest(mark + pivot.tobytes()) >> 1
-                out[0].append(np.full(len(others), region, np.int64))
-                out[1].append(np.full(len(others), pivot, np.int64))
-                out[2].append(others)
-                rows += len(others)
+            inside = np.unique(docs[low:stop])
+            if len(inside) > 1:
+                region = xxhash.xxh3_64_intdigest(inside.tobytes()) >> 1
+                out[0].append(np.full(len(inside), region, np.int64))
+                out[1].append(inside)
+                out[2].append(np.full(len(inside), len(inside), np.int64))
+                rows += len(inside)
             at = stop
         if rows > 500_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["region", "pivot", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["region", "doc_id", "members"])
             out, rows = [[], [], []], 0
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["region", "pivot", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["region", "doc_id", "members"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The set of each document, once for each group of comparisons that it is wanted in."""
-    schema = pa.schema([("pivot", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("is_pivot", pa.bool_()), ("found", pa.binary())])
+    schema = pa.schema([("pivot", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("first", pa.bool_()), ("label", pa.int64()), ("d", pa.float64()), ("found", pa.binary())])
     for batch in batches:
         rows: list[tuple] = []
         size = 0
         for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             found = shingles(text.as_py()).tobytes()
             for w in wanted:
-                rows.append((w["pivot"], w["salt"], doc, w["is_pivot"], found))
+                rows.append((w["pivot"], w["salt"], doc, w["first"], w["label"], w["d"], found))
                 size += len(found)
                 if size > 1 << 24:
                     yield _batch(rows, schema)
@@ -229,7 +231,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group, pivots = None, []
     for batch in batches:
         rows = []
-        for pivot, salt, doc, is_pivot, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for pivot, salt, doc, is_pivot, _, _, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group != (pivot, salt):
                 group, pivots = (pivot, salt), []
             found = np.frombuffer(found, np.uint64)
@@ -243,24 +245,109 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(rows, schema)
 
 
+def _linked(far: list[tuple], others: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links of one block: (doc_id, label, d, set) of those far from the pivot and of the others.
+
+    Of the links of a document with those of one component one is given.
+    """
+    universe = np.unique(np.concatenate([x[3] for x in far]))
+    common = np.zeros((len(far), len(others)), np.float32)
+
+    def places(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate([x[3] for x in rows])
+        row = np.repeat(np.arange(len(rows)), [len(x[3]) for x in rows])
+        at = np.minimum(np.searchsorted(universe, flat), len(universe) - 1)
+        held = universe[at] == flat
+        return row[held], at[held]
+
+    (fr, fc), (gr, gc) = places(far), places(others)
+    for begin in range(0, len(universe), 8192):
+        a = np.zeros((len(far), 8192), np.float32)
+        b = np.zeros((len(others), 8192), np.float32)
+        pick = (fc >= begin) & (fc < begin + 8192)
+        a[fr[pick], fc[pick] - begin] = 1
+        pick = (gc >= begin) & (gc < begin + 8192)
+        b[gr[pick], gc[pick] - begin] = 1
+        common += a @ b.T  # whole numbers below 2 ** 24: exact
+    n, m = (np.array([len(x[3]) for x in rows], np.float64) for rows in (far, others))
+    same = common.astype(np.float64)
+    near = 100 * same >= PERCENT * (n[:, None] + m[None, :] - same)
+    dx, dy = (np.array([x[2] for x in rows]) for rows in (far, others))
+    near &= np.abs(dx[:, None] - dy[None, :]) <= RADIUS + 1e-9
+    labels = np.array([x[1] for x in others])
+    for i, x in enumerate(far):
+        hits = np.flatnonzero(near[i] & (labels != x[1]))
+        for j in hits[np.unique(labels[hits], return_index=True)[1]]:
+            yield x[0], others[j][0]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of sorted rows of blocks, those far from the pivot first."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    block, far, others = None, [], []
+    for batch in batches:
+        out: list[tuple] = []
+        for pivot, salt, doc, first, label, d, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != (pivot, salt):
+                if far and others:
+                    out += _linked(far, others)
+                block, far, others = (pivot, salt), [], []
+            (far if first else others).append((doc, label, d, np.frombuffer(found, np.uint64)))
+        if out:
+            yield _batch(out, schema)
+    if far and others and (out := list(_linked(far, others))):
+        yield _batch(out, schema)
+
+
+_GROUPS = "pivot long, salt int, doc_id long, first boolean, label long, d double, found binary"
+
+
+def _grouped_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sets of documents by group (pivot, salt), sorted, from the whole texts.
+
+    wanted has doc_id, pivot, salt, first, label, d: the groups that a document goes to.
+    """
+    lists = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("pivot", "salt", "first", "label", "d")).alias("wanted"))
+    lists = stash(lists, "wanted")
+    if lists.count() <= BROADCAST_IDS:  # then no other text is shuffled; beyond that all are
+        rows = rows.join(F.broadcast(lists.select("_doc")), rows["doc_id"] == F.col("_doc"), "left_semi")
+    sets = rows.join(lists, rows["doc_id"] == lists["_doc"]).select("doc_id", "text", "wanted").mapInArrow(_sets, _GROUPS)
+    return sets.repartition(partitions(rows.sparkSession), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("first"))
+
+
 def _distances(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pivot, doc_id, d (distance) and linked of each pair, from the whole texts."""
-    spark = rows.sparkSession
-    counts = pairs.groupBy("pivot").count()
-    spread = counts.select("pivot", F.ceil(F.col("count") / SPREAD).cast("int").alias("salts"))
-    members = pairs.join(spread, "pivot").select(
-        F.col("doc_id").alias("_doc"), "pivot", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_pivot"))
-    pivots = spread.select(F.col("pivot").alias("_doc"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_pivot"))
-    wanted = members.unionByName(pivots).groupBy("_doc").agg(F.collect_list(F.struct("pivot", "salt", "is_pivot")).alias("wanted"))
-    wanted = stash(wanted, "wanted")  # small ones are then known to be
-    sets = rows.join(wanted, rows["doc_id"] == wanted["_doc"]).select("doc_id", "text", "wanted")
-    sets = sets.mapInArrow(_sets, "pivot long, salt int, doc_id long, is_pivot boolean, found binary")
-    sets = sets.repartition(partitions(spark), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("is_pivot"))
-    out = sets.mapInArrow(_compare, "pivot long, doc_id long, common long, total long")
+    """pivot, doc_id, d (distance) and linked of each pair of a pivot and a document.
+
+    A pivot's documents are spread over groups of about SPREAD, each of which gets its set.
+    """
+    spread = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
+    extra = [F.lit(0).cast("long").alias("label"), F.lit(0.0).alias("d")]
+    members = pairs.join(spread, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("first"), *extra)
+    pivots = spread.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("first"), *extra)
+    out = _grouped_sets(rows, members.unionByName(pivots)).mapInArrow(_compare, "pivot long, doc_id long, common long, total long")
     out = out.groupBy("pivot", "doc_id").agg(F.min(1 - F.col("common") / F.col("total")).alias("d"), F.max(100 * F.col("common") >= PERCENT * F.col("total")).alias("linked"))
     return stash(out, "distances")
 
 
+def _cross_links(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Links of documents far from their pivot with others of their regions.
+
+    known has pivot, doc_id, label, d and own, the pivot's label. Far documents and others are cut
+    into blocks of about SPREAD, and each two blocks of a pivot meet once.
+    """
+    known = stash(known.select("pivot", "doc_id", "label", "d", "own").distinct(), "known")
+    far = known.where("label != own AND pivot != doc_id")
+    others = known.where("pivot != doc_id").join(far.select("pivot").distinct(), "pivot", "left_semi")
+    size = lambda t, n: t.groupBy("pivot").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias(n))
+    sizes = size(far, "f").join(size(others, "m"), "pivot")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = far.join(sizes, "pivot").withColumn("i", block("f")).withColumn("j", every("m")).withColumn("first", F.lit(True))
+    b = others.join(sizes, "pivot").withColumn("j", block("m")).withColumn("i", every("f")).withColumn("first", F.lit(False))
+    wanted = a.unionByName(b).select("doc_id", "pivot", (F.col("i") * F.col("m") + F.col("j")).alias("salt"), "first", "label", "d")
+    return stash(_grouped_sets(rows, wanted).mapInArrow(_blocks, "a long, b long"), "cross")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and label, the smallest id reachable, of every id in links (a, b)."""
     edges = links.select("a", "b").where("a != b")
@@ -287,22 +374,28 @@ def link(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = stash(dealt, "keys")
     sizes = dealt.where("part IS NULL").select("doc_id", "n", "same")
     regions = dealt.where("part IS NOT NULL").select("part", "keys", "ids", "sizes").repartition(partitions(spark), "part")
-    regions = stash(regions.mapInArrow(_regions, "region long, pivot long, doc_id long"), "regions").distinct()
-    near = _distances(rows, stash(regions.select("pivot", "doc_id").distinct(), "pairs"))
+    regions = regions.mapInArrow(_regions, "region long, doc_id long, members long").dropDuplicates(["region", "doc_id"])
+    regions = stash(regions, "regions")
+    # The pivot of a region is the document that meets most others: an original rather than a copy.
+    rank = regions.groupBy("doc_id").agg(F.sum("members").alias("met"))
+    rank = regions.join(rank, "doc_id").groupBy("region").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("back"))).alias("top"))
+    rank = rank.select("region", (-F.col("top.back")).alias("pivot"))
+    regions = stash(regions.join(rank, "region").select("region", "pivot", "doc_id"), "pivots")
+    near = _distances(rows, stash(regions.where("pivot != doc_id").select("pivot", "doc_id").distinct(), "pairs"))
     found = [sizes.where("same IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))]
     found.append(near.where("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-    far = near.where("NOT linked")
-    # A region with a document that its pivot doesn't reach: that one against its window.
-    own = regions.join(far.select("pivot", "doc_id", "d"), ["pivot", "doc_id"])
-    own = own.select("region", "pivot", F.col("doc_id").alias("x"), F.col("d").alias("dx"))
-    pairs = own.join(regions.select("region", F.col("doc_id").alias("y")), "region").where("x != y")
-    pairs = pairs.select("pivot", F.least("x", "y").alias("x0"), F.greatest("x", "y").alias("y0"), "y", "dx").distinct()
-    pairs = pairs.join(near.select("pivot", F.col("doc_id").alias("y"), F.col("d").alias("dy")), ["pivot", "y"])
-    pairs = pairs.where(F.abs(F.col("dx") - F.col("dy")) <= RADIUS + 1e-9)
-    pairs = stash(pairs.select(F.col("x0").alias("pivot"), F.col("y0").alias("doc_id")).distinct(), "more")
-    if pairs.limit(1).count():
-        more = _distances(rows, pairs)
-        found.append(more.where("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
+    # A document that its region's pivot did not reach, not by way of others either, is compared
+    # with those of the region that are of other components yet.
+    labels = components(found[1])
+    known = regions.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    known = known.select("region", "pivot", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    d = near.select("pivot", "doc_id", "d").unionByName(near.select("pivot", F.col("pivot").alias("doc_id"), F.lit(0.0).alias("d")).distinct())
+    known = known.join(d, ["pivot", "doc_id"])
+    mixed = known.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("region")
+    known = known.join(mixed, "region", "left_semi")
+    head = labels.select(F.col("id").alias("pivot"), F.col("label").alias("own"))
+    known = known.join(head, "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
+    found.append(_cross_links(rows, known))
     links = found[0]
     for x in found[1:]:
         links = links.unionByName(x)
