@@ -3,43 +3,19 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import sequential, text
 from weftgraph.operators import align, answer, extract, graph, match, stats, store, vectors
-from weftgraph.plans.projection import SQL, chunks, edges, nodes, table
-from weftgraph.schema import ART, LABELS, NOISE_NAMES, PERSON, PLACE, RELATIONS, SECT, ontology
+from weftgraph.plans import upkeep  # noqa: F401  its queries join the registry
+from weftgraph.plans.projection import chunks, edges, nodes, table
+from weftgraph.plans.registry import oracle_sql, queries, query
+from weftgraph.schema import ART, NOISE_NAMES, PERSON, RELATIONS, SECT, ontology
 from weftgraph.sources import files
 from weftgraph.streaming import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, graph_tables: bool = True):
-    """Registers a query under its function's name; sql follows the projection's tables."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            recursive = "RECURSIVE " if "reach(" in sql or "walk(" in sql else ""
-            _ORACLES[f.__name__] = f"WITH {recursive}{SQL}{',' if sql.lstrip().startswith('WITH') else ''} {sql.replace('WITH', '', 1) if sql.lstrip().startswith('WITH') else sql}" if graph_tables else sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
+__all__ = ["oracle_sql", "queries"]
 
 # Scans and statistics
 
@@ -586,5 +562,3 @@ def event_windows(spark, d):
 def chunk_manifest(spark, d):
     return files.manifest(chunks(spark, d))
 
-
-assert set(LABELS) == {PERSON, SECT, ART, PLACE}
