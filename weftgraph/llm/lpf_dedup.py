@@ -37,7 +37,7 @@ LENGTH, GRAM, BLOCK = 100, 32, 1 << 18
 
 #: From so many different segments an anchor's windows are dealt anew, each by its own content;
 #: windows that are put into suffix order at a time.
-CROWD, SORTED = 20_000, 200_000
+CROWD, SORTED = 2_000, 200_000
 
 _Q1, _Q2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _RUNS = pa.schema([("kind", pa.int32()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
