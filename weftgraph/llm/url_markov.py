@@ -76,7 +76,7 @@ def _counts(urls: DataFrame) -> DataFrame:
     rows = []
     for order in range(ORDER + 1):
         gram = urls.select("accepted", F.explode(_grams(F.col("url"), order)).alias("gram"))
-        context = F.substring("gram", 1, order) if order else F.lit("")
+        context = F.substring("gram", 1, order)  # of order 0 too, lest the join below has no key
         rows.append(gram.select("accepted", F.lit(order).alias("ord"), _slot(context).alias("ctx"), _slot(F.col("gram")).alias("g"),
                                 _slot(F.substring("gram", 2, order)).alias("lower")))
     one = F.col("accepted").cast("long")
@@ -132,7 +132,7 @@ def with_score(rows: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> Dat
     value = F.lit(0.0)
     for order, (ratios, weights) in enumerate(model):
         gram = F.substring("_gram", ORDER - order + 1, order + 1)
-        context = F.substring("_gram", ORDER - order + 1, order) if order else F.lit("")
+        context = F.substring("_gram", ORDER - order + 1, order)
         out = out.withColumns({f"_g{order}": _slot(gram), f"_c{order}": _slot(context)})
         # Both tables have at most SLOTS rows.
         out = out.join(F.broadcast(ratios.select(F.col("slot").alias(f"_g{order}"), F.col("v").alias(f"_r{order}"))), f"_g{order}", "left")
