@@ -7,7 +7,7 @@ them apart, so the space is divided in two levels.
 Regions. Documents within RADIUS share most of their shingles, so if these are put in one order
 they agree somewhere near its beginning:
   * documents of up to SMALL shingles have their first n - ceil(0.75 n) + 1 shingles as pivots
-    of regions, in the order of hashes, but those last that are frequent in a bounded sample;
+    of regions, in the order of hashes, but those last that most small documents have;
     a linked pair shares one of these for certain, whatever the order;
   * larger ones have the first RUNS runs of three neighbouring shingles in the order of hashes
     alone; a linked pair lacks a common run with a probability below 0.75 ** RUNS (under 1e-11),
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import id_and_text, partitions, stash
+from weftgraph.llm.common import give_back, id_and_text, partitions, stash
 
 #: Words of a shingle; linked are sets with 100 * common >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -47,17 +47,18 @@ RADIUS = 1 - PERCENT / 100
 #: Sizes of sets with single shingles as keys, of those with runs, and runs that are keys.
 SMALL, OVERLAP, RUNS = 171, 128, 96
 
-#: Documents of the sample that finds frequent shingles, in how many of them these are, and how
-#: many are put last at most. Only the cost depends on these.
-SAMPLE, FREQUENT, LAST = 8192, 4, 100_000
+#: Small documents that a shingle is in to be frequent, and how many of the most frequent ones
+#: are put last at most. Only the cost depends on these.
+FREQUENT, LAST = 8, 100_000
 
 #: Documents compared with a pivot in one group of rows.
 SPREAD = 512
 
-#: Ids of documents to compare that are broadcast to choose texts before these are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Entries (40 bytes) that say which document goes to which group, and ids of documents, up to
+#: which they are broadcast; the texts then stay where they are, or only those wanted move.
+BROADCAST_ENTRIES, BROADCAST_IDS = 1_000_000, 2_000_000
 
-_WORD_CACHE = 500_000
+_WORD_CACHE = 80_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -77,6 +78,12 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
+def _forget() -> None:
+    """At a task's end: a worker lives on, and other operators need its memory."""
+    _words.clear()
+    give_back()
+
+
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
@@ -105,19 +112,18 @@ def keys_of(found: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
-    """Shingles that many documents of a sample, drawn by a hash of the id, have."""
-    n = rows.select("doc_id").count()
-    share = int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
+    """The sorted shingles that most of all small documents have; larger ones use no such order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            sets = [x for t in batch.column(1) if 0 < len(x := shingles(t.as_py())) <= SMALL]
             if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+                found, counts = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"])
+        _forget()
 
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    counts = drawn.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= FREQUENT)
-    top = counts.orderBy(F.desc("count"), "shingle").limit(LAST).collect()
+    counts = rows.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    top = counts.orderBy(F.desc("n"), "shingle").limit(LAST).collect()
     return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
 
 
@@ -157,6 +163,7 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, last) -> Iterator[pa.Re
             cut = [[x[a:b].tobytes() for a, b in zip(begin, end, strict=True)] for x in (k, o, c)]
             none = [None] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((found, none, none, none, *cut), schema, strict=True)], schema=schema)
+    _forget()
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +225,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows, size = [], 0
         if rows:
             yield _batch(rows, schema)
+    _forget()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -309,7 +317,10 @@ def _grouped_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     lists = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("pivot", "salt", "first", "label", "d")).alias("wanted"))
     lists = stash(lists, "wanted")
-    if lists.count() <= BROADCAST_IDS:  # then no other text is shuffled; beyond that all are
+    ids, entries = lists.agg(F.count("*"), F.sum(F.size("wanted"))).first()
+    if (entries or 0) <= BROADCAST_ENTRIES:  # then no text is shuffled
+        lists = F.broadcast(lists)
+    elif ids <= BROADCAST_IDS:  # then no other text is shuffled; beyond that all are
         rows = rows.join(F.broadcast(lists.select("_doc")), rows["doc_id"] == F.col("_doc"), "left_semi")
     sets = rows.join(lists, rows["doc_id"] == lists["_doc"]).select("doc_id", "text", "wanted").mapInArrow(_sets, _GROUPS)
     return sets.repartition(partitions(rows.sparkSession), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("first"))
