@@ -21,10 +21,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weftgraph.llm.common import id_and_text
+from weftgraph.llm.common import give_back, id_and_text
 
 #: Entries a worker keeps of encoded pieces and of judged token pairs before it starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 120_000
+
+#: Longer pieces seldom come again and are not kept.
+CACHED_LENGTH = 64
+
+#: Texts whose ids are held at a time.
+SLICE = 500
 
 #: Prefixes of up to so many bytes are kept across pieces.
 SHARED_PREFIX = 10
@@ -207,24 +213,32 @@ class PrefixTable:
 
 
 class _Pieces(dict):
-    """Encodings of pieces already met, up to CACHE_ENTRIES."""
+    """Encodings of pieces already met: up to CACHE_ENTRIES, and as many from before that."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.known, self.older = vocabulary, {}, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8")
-        whole = self.vocabulary.rank.get(data)
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        ids = (whole,) if whole is not None else self.vocabulary.encode_piece(data, self.known)
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8")
+            whole = self.vocabulary.rank.get(data)
+            if len(self.known) >= CACHE_ENTRIES:
+                self.known.clear()
+            ids = (whole,) if whole is not None else self.vocabulary.encode_piece(data, self.known)
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        if len(piece) <= 64:
+        if len(piece) <= CACHED_LENGTH:
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.known.clear()
+        self.older.clear()
+
 
 class Encoder:
     """Encodes and decodes texts; a piece of the splitting pattern is encoded by itself."""
@@ -241,6 +255,11 @@ class Encoder:
     def decode(self, ids) -> bytes:
         return self.vocabulary.decode(ids)
 
+    def forget(self) -> None:
+        """Drop what was learned from texts; the vocabulary's tables stay."""
+        self.pieces.forget()
+        self.vocabulary._stands.clear()
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -265,10 +284,12 @@ def _each(docs: DataFrame, rank_path: str, pattern: str, schema: str, row) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            rows = [(i, *row(encoder, t.as_py())) for i, t in zip(ids, texts, strict=True)]
-            columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                rows = [(i, *row(encoder, t.as_py())) for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+        encoder.forget()  # a worker lives on, and other operators need its memory
+        give_back()
 
     return id_and_text(docs).mapInArrow(run, schema)
 

@@ -1,12 +1,11 @@
 """Secret scans through a trigram inverted index.
 
 From the parsed form of each rule's regular expression a Boolean query over trigrams is
-derived that every text with a match must satisfy. Texts are indexed in blocks (the Arrow
-batches of a partition, so an index is bounded by a batch): for each trigram that a rule
-needs, the block's posting list. Postings are intersected and united as the queries say, and
-only candidates are run through the regular expression. A rule whose expression has no
-mandatory trigram scans its whole block. Nothing is shuffled: a block's index, its queries and
-its verification need no other block.
+derived that every text with a match must satisfy. Texts are indexed in blocks of BLOCK
+documents, which bounds an index: for each trigram that a rule needs, the block's posting list.
+Postings are intersected and united as the queries say, and only candidates are run through the
+regular expression. A rule whose expression has no mandatory trigram scans its whole block.
+Nothing is shuffled: a block's index, its queries and its verification need no other block.
 
 Case is folded in the index only, which can add candidates but never lose one.
 """
@@ -29,6 +28,9 @@ from weftgraph.llm.common import id_and_text
 #: Sets of literal alternatives larger than this are cut into trigrams where they stand.
 MAX_ALTERNATIVES = 64
 
+#: Documents of a block, which has an index of its own.
+BLOCK = 2048
+
 #: A query: True (no condition), a trigram, or ("and" | "or", parts).
 Query = bool | str | tuple
 
@@ -191,6 +193,12 @@ def find(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[int, int,
     return out
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK):
+            yield batch.slice(start, BLOCK)
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and findings: array of (kind, start, end) by start, then by order of the rules.
 
@@ -201,7 +209,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     kinds = [r.kind for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             found = find(batch.column(1).to_pylist(), rules)
             rows = [[{"kind": kinds[k], "start": a, "end": b} for a, b, k in spans] for spans in found]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -219,7 +227,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDAC
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             texts = batch.column("text").to_pylist()
             found = find([t or "" for t in texts], rules)
             counts = batch.column("n_chars").to_pylist()
