@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 
 from weftgraph.llm.common import give_back, id_and_text
 
-#: Entries a worker keeps of encoded pieces and of judged token pairs before it starts anew.
-CACHE_ENTRIES = 120_000
+#: Entries a task keeps of encoded pieces, of prefixes and of judged token pairs before it starts
+#: anew (some 200 MB together).
+CACHE_ENTRIES = 250_000
 
 #: Longer pieces seldom come again and are not kept.
 CACHED_LENGTH = 64
