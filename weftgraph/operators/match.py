@@ -107,8 +107,9 @@ def lineage(edges: DataFrame) -> DataFrame:
     """master, disciple, art: masters of an art and disciples of theirs who know it too."""
     knows = edges.where("type = 'MASTERS'").select(F.col("src").alias("person"), F.col("dst").alias("art"))
     taught = edges.where("type = 'MASTER_OF' AND src != dst").select(F.col("src").alias("master"), F.col("dst").alias("disciple"))
-    pairs = taught.join(knows.withColumnRenamed("person", "master"), "master")
-    return pairs.join(knows.withColumnRenamed("person", "disciple"), ["disciple", "art"], "left_semi")
+    # Disciples know fewer arts than masters, so theirs make the shorter list of candidates.
+    pairs = taught.join(knows.withColumnRenamed("person", "disciple"), "disciple")
+    return pairs.join(knows.withColumnRenamed("person", "master"), ["master", "art"], "left_semi")
 
 
 def expand_mentions(mentions: DataFrame, edges: DataFrame, per_chunk: int = 12) -> DataFrame:
