@@ -1,7 +1,10 @@
 import heapq
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import lpt_shards, url_markov
@@ -79,6 +82,51 @@ def test_url_model_tells_classes_apart(spark):
     assert all(got[i] == "allow" for i in range(40)) and all(got[i] == "block" for i in range(40, 80))
 
 
+def markov(labelled: list[tuple[str, bool]]):
+    """The score of a URL by two plain interpolated models."""
+    order, start = url_markov.ORDER, url_markov.START
+    count, seen = Counter(), defaultdict(set)
+    for url, accepted in labelled:
+        for o in range(order + 1):
+            padded = start * o + url
+            for i in range(len(url)):
+                gram = padded[i : i + o + 1]
+                count[accepted, o, gram] += 1
+                count[accepted, "of", o, gram[:-1]] += 1
+                seen[accepted, o, gram[:-1]].add(gram)
+
+    def p(accepted, o, gram):
+        if o < 0:
+            return 1 / url_markov.ALPHABET
+        n, t = count[accepted, "of", o, gram[:-1]], len(seen[accepted, o, gram[:-1]])
+        below = p(accepted, o - 1, gram[1:])
+        return count[accepted, o, gram] / (n + t) + t / (n + t) * below if n else below
+
+    def score(url):
+        padded = start * order + url
+        return sum(math.log(p(True, order, padded[i : i + order + 1]) / p(False, order, padded[i : i + order + 1])) for i in range(len(url))) / max(1, len(url))
+
+    return score
+
+
+@pytest.mark.parametrize("bound", [url_markov.BROADCAST_GRAMS, 0])
+def test_url_model_grows_with_its_texts(spark, monkeypatch, bound):
+    """Over 30,000 different grams, each counted by itself, as a plain model counts them."""
+    monkeypatch.setattr(url_markov, "BROADCAST_GRAMS", bound)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    labelled = [(f"http://{word(20)}.com/{word(20)}", True) for _ in range(450)] + [(f"http://{word(20)}.net/es/é{word(20)}", False) for _ in range(450)]
+    assert len({u[i : i + 4] for u, _ in labelled for i in range(len(u))}) > 30_000
+    asked = [u for u, _ in labelled[::30]] + [f"http://{word(9)}.org/{word(9)}" for _ in range(30)] + ["", "é", "日本"]
+    model = url_markov.fit(spark.createDataFrame(labelled, "url string, accepted boolean"))
+    rows = spark.createDataFrame(list(enumerate(asked + asked[-5:])), "_row long, url string")
+    got = {r["_row"]: r["score"] for r in url_markov.with_score(rows, model).collect()}
+    score = markov(labelled)
+    assert len(got) == len(asked) + 5
+    for i, url in enumerate(asked + asked[-5:]):
+        assert abs(got[i] - score(url)) < 1e-6
+
+
 def test_queries_have_a_name_for_each_operator():
     names = sorted(Q.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))

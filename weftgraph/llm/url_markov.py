@@ -6,22 +6,26 @@ down to a uniform distribution. A URL is accepted if the difference of its log-l
 divided by its length, reaches a threshold that is calibrated on labelled URLs which the
 models did not see. Everything is DataFrame operations.
 
-Contexts and grams are counted in SLOTS hashed slots per order, so a model has a fixed size:
-counting combines on the map side, and scoring joins each character with broadcast tables of at
-most SLOTS rows, which shuffles no characters; only a URL's partial sums are.
+Grams are counted by themselves, so a model grows with the texts it has seen. Counting combines on
+the map side. For scoring, each distinct gram gets its value by joins on grams and contexts, a key of
+which meets no more rows than there are different characters. Characters are then joined with these
+values: by broadcast while the values, which are counted first, number at most BROADCAST_GRAMS, so
+that only a URL's partial sums are shuffled; beyond that by gram, without the grams that make up more
+than one in HEAVY characters, which are fewer than HEAVY and are broadcast.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import stash
 
-#: Characters of context; slots of each order's contexts and grams; sign before a URL's start.
-ORDER, SLOTS, START = 3, 1 << 14, "^"
+#: Characters of context; sign before a URL's start.
+ORDER, START = 3, "^"
+
+#: Grams whose values are broadcast (some 20 MB); a share of characters that makes a gram a heavy one.
+BROADCAST_GRAMS, HEAVY = 200_000, 1000
 
 #: Of labelled URLs, one in CALIBRATE calibrates; bins of the threshold's histogram.
 CALIBRATE, BINS = 5, 400
@@ -61,39 +65,31 @@ def by_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _grams(url: Column, order: int) -> Column:
-    """The grams of a URL with that many characters of context, one for each character."""
-    padded = F.concat(F.lit(START * order), url)
-    return F.transform(F.sequence(F.lit(1), F.length(url)), lambda i: F.substring(padded, i, F.lit(order + 1)))
-
+def _grams(url: Column) -> Column:
+    """The grams of a URL with ORDER characters of context, one for each character; null if empty."""
+    padded = F.concat(F.lit(START * ORDER), url)
+    grams = F.transform(F.sequence(F.lit(1), F.length(url)), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+    return F.when(F.length(url) > 0, grams)
 
-def _slot(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(SLOTS)).cast("int")
 
-
-def _counts(urls: DataFrame) -> DataFrame:
-    """order, context slot, gram slot and its counts n1 (accepted) and n0 (rejected)."""
-    rows = []
-    for order in range(ORDER + 1):
-        gram = urls.select("accepted", F.explode(_grams(F.col("url"), order)).alias("gram"))
-        context = F.substring("gram", 1, order)  # of order 0 too, lest the join below has no key
-        rows.append(gram.select("accepted", F.lit(order).alias("ord"), _slot(context).alias("ctx"), _slot(F.col("gram")).alias("g"),
-                                _slot(F.substring("gram", 2, order)).alias("lower")))
-    one = F.col("accepted").cast("long")
-    return reduce(DataFrame.unionByName, rows).groupBy("ord", "ctx", "g", "lower").agg(F.sum(one).alias("n1"), F.sum(1 - one).alias("n0"))
+def _last(gram: str, order: int) -> Column:
+    """The gram's last character with that many of context."""
+    return F.substring(gram, -(order + 1), order + 1)
 
 
 def fit(labelled: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """Per order two tables of at most SLOTS rows: log ratios of grams (slot, v), and of the
-    back-off weights of contexts.
+    """Per order two tables: log ratios of grams (g, v), and of the back-off weights of contexts
+    (ctx, v).
 
     labelled has url and accepted (boolean). A class without URLs is uniform.
     """
-    counts = stash(_counts(labelled), "url-counts")
+    one = F.col("accepted").cast("long")
+    counts = labelled.select("accepted", F.explode(_grams(F.col("url"))).alias("gram"))
+    counts = stash(counts.groupBy("gram").agg(F.sum(one).alias("n1"), F.sum(1 - one).alias("n0")), "url-counts")
     lower, out = None, []
     for order in range(ORDER + 1):
-        own = counts.where(F.col("ord") == order)
-        grams = own.groupBy("ctx", "g", "lower").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        grams = counts.groupBy(_last("gram", order).alias("g")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        grams = grams.withColumns({"ctx": F.substring("g", 1, order), "lower": F.substring("g", 2, order)})
         sums = [f(c) for c in ("n1", "n0") for f in (lambda c: F.sum(c).alias(f"c{c}"), lambda c: F.sum((F.col(c) > 0).cast("int")).alias(f"t{c}"))]
         contexts = grams.groupBy("ctx").agg(*sums)
 
@@ -111,36 +107,53 @@ def fit(labelled: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
             seen = F.col(f"c{c}") + F.col(f"t{c}")
             own_share = F.when(seen > 0, F.col(c) / seen).otherwise(F.lit(0.0))
             joined = joined.withColumn(f"p{c[1]}", own_share + back(c) * F.col(f"l{c[1]}"))
-        probabilities = stash(joined.groupBy("g").agg(F.max("p1").alias("p1"), F.max("p0").alias("p0")), f"url-order{order}")
-        ratio = probabilities.select(F.col("g").alias("slot"), F.log(F.col("p1") / F.col("p0")).alias("v"))
-        weight = contexts.select(F.col("ctx").alias("slot"), F.log(back("n1") / back("n0")).alias("v"))
+        probabilities = stash(joined.select("g", "p1", "p0"), f"url-order{order}")
+        ratio = probabilities.select("g", F.log(F.col("p1") / F.col("p0")).alias("v"))
+        weight = contexts.select("ctx", F.log(back("n1") / back("n0")).alias("v"))
         out.append((ratio, stash(weight, f"url-weight{order}")))
         lower = probabilities.select(F.col("g").alias("lower"), F.col("p1").alias("l1"), F.col("p0").alias("l0"))
     return out
 
 
+def _values(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """_gram, n and v: the log ratio that the model gives to each of the grams (_gram, n)."""
+    lower = None
+    for order, (ratios, weights) in enumerate(model):
+        if order < ORDER:
+            rows = grams.select(_last("_gram", order).alias("g")).distinct()
+        else:
+            rows = grams.withColumn("g", F.col("_gram"))
+        rows = rows.withColumns({"ctx": F.substring("g", 1, order), "lower": F.substring("g", 2, order)})
+        rows = rows.join(ratios.withColumnRenamed("v", "_r"), "g", "left").join(weights.withColumnRenamed("v", "_w"), "ctx", "left")
+        rows = rows.withColumn("_l", F.lit(0.0)) if lower is None else rows.join(lower, "lower")
+        rows = rows.withColumn("v", F.coalesce("_r", F.coalesce("_w", F.lit(0.0)) + F.col("_l")))
+        lower = rows.select(F.col("g").alias("lower"), F.col("v").alias("_l"))
+    return rows.select("_gram", "n", "v")
+
+
 def with_score(rows: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """rows (a column url, and keys that tell them apart) with score.
+    """rows (a column url, and keys of which _row tells them apart) with score.
 
     That is the length-normalised difference of the log-likelihoods, 0 for an empty URL. It is
     summed in millionths, so that no order of summing changes it.
     """
     keys = rows.columns
-    padded = F.concat(F.lit(START * ORDER), F.col("url"))
-    longest = F.transform(F.sequence(F.lit(1), F.length("url")), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
-    out = rows.withColumn("_gram", F.explode_outer(F.when(F.length("url") > 0, longest)))
-    value = F.lit(0.0)
-    for order, (ratios, weights) in enumerate(model):
-        gram = F.substring("_gram", ORDER - order + 1, order + 1)
-        context = F.substring("_gram", ORDER - order + 1, order)
-        out = out.withColumns({f"_g{order}": _slot(gram), f"_c{order}": _slot(context)})
-        # Both tables have at most SLOTS rows.
-        out = out.join(F.broadcast(ratios.select(F.col("slot").alias(f"_g{order}"), F.col("v").alias(f"_r{order}"))), f"_g{order}", "left")
-        out = out.join(F.broadcast(weights.select(F.col("slot").alias(f"_c{order}"), F.col("v").alias(f"_w{order}"))), f"_c{order}", "left")
-        value = F.coalesce(F.col(f"_r{order}"), F.coalesce(F.col(f"_w{order}"), F.lit(0.0)) + value)
-    summed = F.sum(F.round(F.when(F.col("_gram").isNotNull(), value * 1e6).otherwise(0.0)).cast("long"))
-    scored = out.groupBy(*keys).agg((summed / 1e6).alias("_sum"))
-    return scored.select(*keys, (F.col("_sum") / F.greatest(F.length("url"), F.lit(1))).alias("score"))
+    grams = rows.select(F.explode(_grams(F.col("url"))).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("n"))
+    values = stash(_values(stash(grams, "url-grams"), model), "url-values")
+    summed = F.sum(F.round(F.coalesce("v", F.lit(0.0)) * 1e6).cast("long")).alias("_sum")
+    if values.count() <= BROADCAST_GRAMS:
+        out = rows.withColumn("_gram", F.explode_outer(_grams(F.col("url"))))
+        out = out.join(F.broadcast(values.select("_gram", "v")), "_gram", "left").groupBy(*keys).agg(summed)
+    else:
+        total = values.agg(F.sum("n")).first()[0]
+        heavy = values.where(F.col("n") * HEAVY > total).select("_gram", "v")  # fewer than HEAVY rows
+        light = values.where(F.col("n") * HEAVY <= total).select("_gram", "v")
+        chars = rows.select("_row", F.explode(_grams(F.col("url"))).alias("_gram"))
+        near = chars.join(F.broadcast(heavy), "_gram")
+        far = chars.join(F.broadcast(heavy.select("_gram")), "_gram", "left_anti").join(light, "_gram")
+        out = rows.join(near.unionByName(far).groupBy("_row").agg(summed), "_row", "left")
+    score = F.coalesce("_sum", F.lit(0)) / 1e6 / F.greatest(F.length("url"), F.lit(1))
+    return out.select(*keys, score.alias("score"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
