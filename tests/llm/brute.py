@@ -46,3 +46,9 @@ def secrets(text: str) -> list[tuple[str, int, int]]:
     ]
     found = [(m.start(), k, name, m.end()) for k, (name, p, g, n) in enumerate(rules) for m in re.finditer(p, text) if len(m[g]) >= n]
     return [(name, a, b) for a, _, name, b in sorted(found)]
+
+
+def passes(equal: list[bool], least: int) -> bool:
+    """Whether a stretch has that many equal tokens, and three quarters of its tokens equal."""
+    n = len(equal)
+    return any(sum(equal[i:j]) >= max(least, 0.75 * (j - i)) for i in range(n) for j in range(i + least, n + 1))

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import string
 
@@ -6,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from brute import components, secrets, shingles, without_repeats
+from brute import components, passes, secrets, shingles, without_repeats
 
 from weftgraph.llm import bpe, jaccard_join, langid, lpf_dedup, order_minhash, rff_quality, spaced_seeds, trigram_scan
 
@@ -149,6 +150,39 @@ def test_leaks_without_broadcast(docs, benchmark, monkeypatch):
     assert spaced_seeds.leaks(docs, benchmark).count() == 5
 
 
+def test_masks_hit_all_that_passes():
+    """No text of up to 31 tokens with 12 equal, and three quarters of all, is without a hit."""
+    hits = [sum(1 << (m[-1] - o) for o in m) for m in spaced_seeds.MASKS]
+    level = {(0, 0, 0)}
+    for _ in range(31):
+        longer = {((h << 1 | b) & 31, ones + b, zeros + 1 - b) for h, ones, zeros in level for b in (0, 1)}
+        level = {(h, ones, zeros) for h, ones, zeros in longer if not any(h & x == x for x in hits)}
+        assert not any(ones >= spaced_seeds.LEAST and 3 * zeros <= ones for _, ones, zeros in level)
+    for n in range(1, spaced_seeds.LONG):
+        for equal in itertools.product((False, True), repeat=n):
+            if sum(equal) >= min(spaced_seeds.LEAST, 0.75 * n):
+                assert any(all(equal[i + o] for o in m) for m in spaced_seeds.short_masks(n) for i in range(n - m[-1]))
+
+
+@pytest.mark.parametrize("bound", [spaced_seeds.BROADCAST_SEEDS, 0])
+def test_leaks_with_substitutions(spark, monkeypatch, bound):
+    """Every so many words replaced, in items of all lengths, and words replaced at random."""
+    monkeypatch.setattr(spaced_seeds, "BROADCAST_SEEDS", bound)
+    rng = random.Random(11)
+    items = {n: [f"i{n}x{j}" for j in range(n)] for n in (1, 2, 3, 4, 5, 7, 8, 9, 10, 12, 15, 16, 17, 20, 29, 40, 59)}
+    texts, want = [], set()
+    for n, words in items.items():
+        cases = [[j % period != phase for j in range(n)] for period in range(4, 11) for phase in range(period)]
+        cases += [[j not in gone for j in range(n)] for k in (n // 5, n // 4, n // 4 + 1, n // 3) for gone in (rng.sample(range(n), k) for _ in range(4))]
+        for equal in cases:
+            if passes(equal, min(12, -(-3 * n // 4))):
+                want.add((len(texts), n))
+            texts.append(" ".join(["before"] * 3 + [w if same else f"other{j}" for j, (w, same) in enumerate(zip(words, equal, strict=True))] + ["after"] * 3))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in spaced_seeds.leaks(frame, benchmark).collect()} == want
+
+
 def test_fingerprints(spark, docs, texts):
     got = order_minhash.compare_edits(docs).collect()
     assert len(got) == docs.count()
