@@ -183,6 +183,19 @@ def test_leaks_with_substitutions(spark, monkeypatch, bound):
     assert {(r["doc_id"], r["item_id"]) for r in spaced_seeds.leaks(frame, benchmark).collect()} == want
 
 
+@pytest.mark.parametrize("bound", [spaced_seeds.BROADCAST_SEEDS, 0])
+def test_leaks_of_inner_runs(spark, monkeypatch, bound):
+    """A verbatim run from anywhere in a longer item leaks from LEAST tokens on, and is judged by itself."""
+    monkeypatch.setattr(spaced_seeds, "BROADCAST_SEEDS", bound)
+    item = [f"i{j}" for j in range(40)]
+    runs = [(n, start) for n in (11, 12, 15, 18, 22, 23, 40) for start in range(40 - n + 1)]
+    texts = [" ".join([f"b{j}" for j in range(20)] + item[start : start + n] + [f"a{j}" for j in range(20)]) for n, start in runs]
+    two = " ".join(item[:13] + ["x"] * 4 + item[17:20] + ["x"] * 5 + item[25:40])  # 13, 3 and 15: together 31 of 40, which passes
+    frame = spark.createDataFrame([*enumerate(texts), (len(texts), two)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_equal"], r["share"], r["first_token"]) for r in spaced_seeds.leaks(frame, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {**{i: (n, 1.0, 20) for i, (n, _) in enumerate(runs) if n >= spaced_seeds.LEAST}, len(texts): (31, 31 / 40, 0)}
+
+
 def test_fingerprints(spark, docs, texts):
     got = order_minhash.compare_edits(docs).collect()
     assert len(got) == docs.count()
