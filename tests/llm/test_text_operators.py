@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from brute import components, passes, secrets, shingles, without_repeats
+from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, jaccard_join, langid, lpf_dedup, order_minhash, rff_quality, spaced_seeds, trigram_scan
 
@@ -222,6 +223,40 @@ def test_fingerprints_see_order(spark):
     assert near[0] == 1 and near[1] > 0.9 and near[1] > near[2] > 0.2 and near[3] < 0.05
 
 
+def order_minhash_likeness(one: list[str], two: list[str]) -> float:
+    """Likeness of texts without repeated words, by 64 independent orders."""
+
+    def entry(words, seed):
+        at = {tuple(words[i : i + 3]): i for i in range(len(words) - 2)}
+        least = sorted(at, key=lambda k: hashlib.sha256(f"{seed} {k}".encode()).digest())[:2]
+        return sorted(least, key=at.get)
+
+    return sum(entry(one, seed) == entry(two, seed) for seed in range(64)) / 64
+
+
+def test_short_texts_see_order(spark):
+    """Texts of 20 to 130 words with their halves swapped are as like as by independent orders."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for n in (20, 40, 66, 130):
+        pairs = []
+        for i in range(30):
+            words = [f"w{x}" for x in rng.sample(range(10**6), n)]
+            other = words[n // 2 :] + words[: n // 2]
+            pairs.append(order_minhash_likeness(words, other))
+            rows.append((n, i, " ".join(words), " ".join(other), " ".join([*words, "end"])))
+        want[n] = sum(pairs) / len(pairs)
+    frame = spark.createDataFrame(rows, "n int, i int, a string, b string, c string")
+    for c in "abc":
+        frame = order_minhash.with_signature(frame, c, f"s{c}")
+    near = lambda x, y: F.avg(order_minhash.likeness(F.col(x), F.col(y)))
+    got = {r["n"]: r for r in frame.groupBy("n").agg(near("sa", "sb").alias("swapped"), near("sa", "sc").alias("longer"), F.min(F.size("sa")).alias("bins")).collect()}
+    for n, expected in want.items():
+        assert abs(got[n]["swapped"] - expected) < 0.07 and got[n]["longer"] > 0.8 and got[n]["bins"] == 64
+    tiny = {r["doc_id"]: r["signature"] for r in order_minhash.fingerprints(spark.createDataFrame([(1, "a"), (2, "a b c"), (3, "a b c"), (4, None)], "doc_id long, text string")).collect()}
+    assert tiny[2] == tiny[3] != tiny[1] and all(len(x) == 64 for x in tiny.values())
+
+
 def test_signatures_count_repeats(spark):
     one, two = "a b c d " * 30, "a b c d " * 60
     rows = order_minhash.fingerprints(spark.createDataFrame([(0, one), (1, two), (2, one)], "doc_id long, text string"))

@@ -2,11 +2,14 @@
 
 A text's k-mers are runs of K tokens; each is numbered by its occurrences, so that repeats
 count. The hash of (k-mer, occurrence) is the one random order of all k-mers; its leading bits
-deal them over BINS bins, and of each bin the two smallest are selected (binning one order
-takes the place of BINS independent orders, at a BINSth of the cost). The selected k-mers of a
-bin are put back into the order of the text and the tuple is hashed: moving or changing parts
-of a text changes tuples as its edit distance grows. A signature lists (bin, tuple hash); the
-likeness of two texts is the share of bins with equal tuples among the bins that either uses.
+deal them over BINS bins, and of each bin the two smallest are selected (in a text with many
+k-mers, binning one order takes the place of BINS independent orders, at a BINSth of the cost).
+What a bin lacks of two k-mers it takes from the whole text, by an order of its own: short texts
+have nearly independent orders, and as each bin goes by what it holds, not by the text's size, texts
+of somewhat different sizes agree. The selected k-mers of a bin are put back into the order of the
+text and the tuple is hashed: moving or changing parts of a text changes tuples as its edit distance
+grows. A signature lists (bin, tuple hash); the likeness of two texts is the share of bins with
+equal tuples.
 
 Tokens are words between white space; a text with few of them for its length (such as one in a
 script without spaces) has its characters as tokens.
@@ -44,6 +47,7 @@ def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
     """
     keep = rows.columns
     t, w, h, s, bits, first, more, all_, low = (f"_{name}_{x}" for x in ("t", "w", "h", "s", "bits", "first", "more", "all", "low"))
+    again, every, single, empty, full = (f"_{name}_{x}" for x in ("again", "every", "single", "empty", "full"))
 
     def hash_of(x: Column) -> Column:
         return F.call_function("shiftright", x, F.col(bits))
@@ -83,24 +87,53 @@ def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
         lambda r: F.transform(F.sequence(F.lit(1), length(r) - 1), lambda o: packed(
             F.xxhash64(hash_of(F.get(F.col(s), at(r))), o), position(F.get(F.col(s), at(r) + o)))),
     ))
+    out = out.withColumn(again, F.when(F.col(more).isNotNull(), later))
     few = F.filter(first, lambda x, i: (i < 2) | (bin_of(F.get(F.col(first), i - 2)) != bin_of(x)))
-    out = out.withColumn(all_, F.when(F.col(more).isNull(), few).otherwise(F.sort_array(F.concat(few, later))))
+    out = out.withColumn(all_, F.when(F.col(more).isNull(), few).otherwise(F.sort_array(F.concat(few, again))))
     out = out.withColumn(all_, F.when(F.col(more).isNull(), F.col(all_)).otherwise(two_of_bin(all_)))
 
-    def tuple_of(x: Column, i: Column) -> Column:
-        y = F.get(F.col(all_), i + 1)
-        pair = (bin_of(y) == bin_of(x)) & y.isNotNull()
+    def bin_at(i: Column) -> Column:
+        return F.coalesce(bin_of(F.get(F.col(all_), i)), F.lit(BINS).cast("long"))
+
+    def entry(b: Column, x: Column, y: Column) -> Column:
         swapped = position(y) < position(x)
-        value = F.when(~pair, F.xxhash64(hash_of(x))).when(swapped, F.xxhash64(hash_of(y), hash_of(x))).otherwise(F.xxhash64(hash_of(x), hash_of(y)))
-        entry = F.shiftleft(bin_of(x) + BINS // 2, 32).bitwiseOR(value.bitwiseAND(0xFFFFFFFF))
-        begins = (i == 0) | (bin_of(F.get(F.col(all_), i - 1)) != bin_of(x))
-        return F.when(begins, entry)
+        value = F.when(y.isNull(), F.xxhash64(hash_of(x))).when(swapped, F.xxhash64(hash_of(y), hash_of(x))).otherwise(F.xxhash64(hash_of(x), hash_of(y)))
+        return F.shiftleft(b + BINS // 2, 32).bitwiseOR(value.bitwiseAND(0xFFFFFFFF))
+
+    def of_two(x: Column, i: Column) -> Column:
+        return F.when((bin_at(i - 1) != bin_of(x)) & (bin_at(i + 1) == bin_of(x)), entry(bin_of(x), x, F.get(F.col(all_), i + 1)))
+
+    # All k-mers, where some bin lacks one; and the bins that lack one or two.
+    lacks = F.size(all_) < 2 * BINS
+    out = out.withColumn(every, F.when(lacks & F.col(more).isNull(), F.col(first)).when(lacks, F.concat(first, again)))
+    out = out.withColumn(full, F.filter(F.transform(all_, of_two), lambda x: x.isNotNull()))
+    out = out.withColumn(single, F.when(lacks, F.filter(all_, lambda x, i: (bin_at(i - 1) != bin_of(x)) & (bin_at(i + 1) != bin_of(x)))))
+    bins = F.sequence(F.lit(-BINS // 2).cast("long"), F.lit(BINS // 2 - 1).cast("long"))
+    out = out.withColumn(empty, F.when(lacks, F.array_except(bins, F.transform(all_, bin_of))))
+
+    def place(b: Column, x: Column, i: Column) -> Column:
+        """The k-mer's place in the bin's own order, together with its index."""
+        return packed(F.xxhash64(hash_of(x), b), i.cast("long"))
+
+    def kmer(key: Column) -> Column:
+        return F.get(F.col(every), position(key).cast("int"))
+
+    def other(x: Column) -> Column:
+        return F.array_min(F.transform(every, lambda y, i: F.when(y != x, place(bin_of(x), y, i))))
+
+    def smallest(b: Column) -> Column:
+        return F.slice(F.sort_array(F.transform(every, lambda y, i: place(b, y, i))), 1, 2)
 
-    return out.select(*keep, F.filter(F.transform(all_, tuple_of), lambda x: x.isNotNull()).alias(name))
+    out = out.withColumn(single, F.transform(single, lambda x: F.struct(x.alias("x"), other(x).alias("y"))))
+    out = out.withColumn(empty, F.transform(empty, lambda b: F.struct(b.alias("b"), smallest(b).alias("two"))))
+    ones = F.transform(single, lambda z: entry(bin_of(z["x"]), z["x"], kmer(z["y"])))
+    twos = F.transform(empty, lambda z: entry(z["b"], kmer(F.get(z["two"], 0)), kmer(F.get(z["two"], 1))))
+    filled = F.sort_array(F.concat(F.col(full), ones, twos))
+    return out.select(*keep, F.when(F.col(every).isNull(), F.col(full)).otherwise(filled).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of bins with equal tuples among those that either signature uses (0 to 1)."""
+    """Share of bins with equal tuples (0 to 1)."""
     same = F.size(F.array_intersect(a, b))
     bins = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, 32)), F.transform(b, lambda x: F.shiftright(x, 32))))
     return same.cast("double") / bins
