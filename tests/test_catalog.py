@@ -21,6 +21,13 @@ def test_query_without_sql_has_rows(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+def test_extractions_see_whole_texts(spark):
+    parsed = {r["chunk_id"]: r["text"] for r in catalog._extracted(spark, SF).select("chunk_id", "text").collect()}
+    texts = {r["chunk_id"]: r["text"] for r in catalog.chunks(spark, SF).collect()}
+    assert parsed.keys() == texts.keys() and all(parsed[k].endswith(t) for k, t in texts.items() if t is not None)
+    assert max(len(t or "") for t in texts.values()) > 10_000
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 

@@ -504,7 +504,7 @@ def question_sets_merged(spark, d):
 
 
 def _extracted(spark, d):
-    c = chunks(spark, d).withColumn("text", F.concat(F.lit("郭靖拜洪七公为师。郭靖是郭啸天的儿子。"), F.substring("text", 1, 50)))
+    c = chunks(spark, d).withColumn("text", F.concat(F.lit("郭靖拜洪七公为师。郭靖是郭啸天的儿子。"), F.col("text")))
     good = '{"entities":[{"name":"郭靖","type":"人物"},{"name":"洪七公","type":"人物"},{"name":"郭啸天","type":"人物"},{"name":"降龙掌","type":"外功"},{"name":"某","type":"人物"}],"relationships":[{"source":"洪七公","target":"郭靖","type":"master_of","evidence":"郭靖拜洪七公为师"},{"source":"郭啸天","target":"郭靖","type":"PARENT_OF"},{"source":"郭靖","target":"降龙掌","type":"SPOUSE_OF"},{"source":"郭靖","target":"杨康","type":"ENEMY_OF"}]}'
     reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), F.lit(good), F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, "{}").otherwise("no json")
     return extract.parse(c.withColumn("answer", reply))
