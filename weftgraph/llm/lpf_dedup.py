@@ -1,20 +1,23 @@
 """Removal of repeated passages by longest-previous-factor values.
 
 lpf[p] is the length of the longest string that starts at p and also starts earlier. In suffix
-order the candidates for it are the previous and the next entry with a smaller position; with
-equal suffixes in the order of their positions it is the previous one. A byte goes if a string of
-LENGTH bytes that covers it starts where lpf is at least LENGTH, so the first copy stays. Earlier
-means in a document of smaller doc_id, or before in the same one.
+order the candidates for it are the previous and the next entry with a smaller position, and the
+string they share with p is the least of the common prefixes of neighbours on the way to them
+(previous_factors() finds both by following pointers). A byte goes if a string of LENGTH bytes that
+covers it starts where lpf is at least LENGTH, so the first copy stays. Earlier means in a document
+of smaller doc_id, or before in the same one.
 
 One suffix array of a corpus cannot be built in one place, and lpf is only compared with LENGTH,
 so suffixes are cut to windows of LENGTH bytes and dealt by content: each window goes with the
 smallest hash of its GRAM-byte strings (its anchor), which equal windows share. Neighbouring
-windows with the same anchor form a segment, about one for every 35 bytes.
-  1. Segments are compared by their hashes (128 bits with the anchor's); of equal ones all but
-     the first repeat an earlier one as a whole. Equal segments of one batch of documents meet
-     before the shuffle. Segments travel as packed arrays.
-  2. Where an anchor has different segments, their bytes are fetched, and their windows are put
-     into suffix order, which tells the repeated ones.
+windows with the same anchor form a segment, about one for every 35 bytes. The suffix array of each
+anchor is made at two levels, and the same previous_factors() judges both:
+  1. Segments in the order of their names (hashes of 128 bits beside the anchor's), in which equal
+     ones are neighbours and share their whole length. One whose lpf is its length repeats an
+     earlier one as a whole. Segments travel as packed arrays; those of a batch of documents meet
+     before the shuffle, so that a passage that everyone has is one entry for each batch.
+  2. Where an anchor has different segments, the bytes of the first of each name are fetched, and
+     their windows are put into suffix order by their bytes.
 Windows never cross documents. Every window is judged on the input.
 """
 
@@ -41,30 +44,52 @@ CROWD, SORTED = 2_000, 200_000
 
 _Q1, _Q2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _RUNS = pa.schema([("kind", pa.int32()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
-_PACKED = pa.schema([("part", pa.int32()), ("anchors", pa.binary()), ("marks", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary())])
+_PACKED = pa.schema([("part", pa.int32()), ("anchors", pa.binary()), ("marks", pa.binary()), ("names", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary())])
+
+
+def previous_factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """lpf of entries in suffix order, each with its position (all different).
+
+    common[i] is the length of the common prefix of the entries i - 1 and i; common[0] counts not.
+    Of each entry a pointer goes back to the nearest entry of a smaller position, in steps that take
+    over the pointers of those in between, and another one goes ahead.
+    """
+    out = np.zeros(len(position), np.int64)
+    if not len(position):
+        return out
+    for way in (1, -1):
+        at = position[::way]
+        low = np.concatenate([[0], common[1:][::way]]).astype(np.int64)
+        back = np.arange(-1, len(at) - 1)
+        waiting = np.flatnonzero((low > 0) & (at[back] > at))
+        while len(waiting):
+            over = back[waiting]
+            low[waiting] = np.minimum(low[waiting], low[over])
+            back[waiting] = back[over]
+            waiting = waiting[low[waiting] > 0]  # which also holds for no entry that has none before it
+            waiting = waiting[at[back[waiting]] > at[waiting]]
+        out = np.maximum(out, low[::way])
+    return out
+
+
+def common_prefixes(rows: np.ndarray) -> np.ndarray:
+    """For sorted rows of bytes, how many bytes each has in common with the one before (0 for the first)."""
+    differ = rows[1:] != rows[:-1]
+    first = differ.argmax(axis=1)
+    return np.concatenate([[0], np.where(differ[np.arange(len(first)), first], first, rows.shape[1])])
 
 
 def lpf(data: bytes) -> list[int]:
-    """The longest-previous-factor array of data, by its suffix array."""
+    """The longest-previous-factor array of data, whole suffixes being compared."""
     n = len(data)
     order = sorted(range(n), key=lambda i: data[i:])
-
-    def common(i: int, j: int) -> int:
-        k = 0
-        while max(i, j) + k < n and data[i + k] == data[j + k]:
-            k += 1
-        return k
-
-    out = [0] * n
-    for way in (order, order[::-1]):  # previous, then next smaller positions
-        stack: list[int] = []
-        for p in way:
-            while stack and stack[-1] > p:
-                stack.pop()
-            if stack:
-                out[p] = max(out[p], common(p, stack[-1]))
-            stack.append(p)
-    return out
+    rows = np.zeros((n, n + 1), np.int16)  # an end is smaller than any byte
+    for i, at in enumerate(order):
+        rows[i, : n - at] = np.frombuffer(data, np.uint8)[at:] + np.int16(1)
+    found = np.minimum(common_prefixes(rows), n - np.array(order))
+    out = np.zeros(n, np.int64)
+    out[order] = previous_factors(np.array(order), found)
+    return out.tolist()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,10 +100,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @cache
 def _tables() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """A random number for each byte, and the powers of two odd bases and of their inverses."""
+    """A random number for each byte, and the powers of three odd bases and of their inverses."""
     rng = np.random.default_rng(4)
     size, out = BLOCK + 2 * LENGTH, []
-    for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+    for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407):
         inverse = pow(base, -1, 1 << 64)
         factors = np.full((2, size + 1), 1, np.uint64)
         factors[0, 1:], factors[1, 1:] = base, inverse
@@ -87,9 +112,9 @@ def _tables() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
 
 
 def segments(data: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Of each block of a text's windows: (anchors, marks, starts, counts) of its segments."""
+    """Of each block of a text's windows: (anchors, marks, names, starts, counts) of its segments."""
     out = []
-    value, ((p1, i1), (p2, i2)) = _tables()
+    value, ((p1, i1), *more) = _tables()
     width = LENGTH - GRAM + 1
     bits = np.uint64((1 << 20) - 1)
     for at in range(0, len(data) - LENGTH + 1, BLOCK):
@@ -110,9 +135,11 @@ def segments(data: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         anchor = (np.minimum(back[:windows], ahead[width - 1 : width - 1 + windows]) & bits).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         count = np.diff(np.append(start, windows))
-        np.cumsum(b * p2[:n], out=sums[1:])
-        mark = _mix((sums[start + count + LENGTH - 1] - sums[start]) * i2[start] + count.astype(np.uint64))
-        out.append((grams[anchor[start]], mark, start + at, count))
+        hashes = []
+        for p, i in more:
+            np.cumsum(b * p[:n], out=sums[1:])
+            hashes.append(_mix((sums[start + count + LENGTH - 1] - sums[start]) * i[start] + count.astype(np.uint64)))
+        out.append((grams[anchor[start]], *hashes, start + at, count))
     return out
 
 
@@ -141,28 +168,41 @@ def _pack(parts: np.ndarray, columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
 def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Segments of each batch by parts. An empty mark cell has runs already known as repeats."""
     for batch in batches:
-        found: list[list[np.ndarray]] = [[], [], [], [], []]
+        found: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             raw = text.as_buffer()
             if doc is None or raw is None or raw.size < LENGTH:
                 continue
-            for anchor, mark, start, count in segments(np.frombuffer(raw, np.uint8)):
-                for into, x in zip(found, (anchor, mark, np.full(len(start), doc, np.int64), start, count), strict=True):
+            for anchor, mark, name, start, count in segments(np.frombuffer(raw, np.uint8)):
+                for into, x in zip(found, (anchor, mark, name, np.full(len(start), doc, np.int64), start, count), strict=True):
                     into.append(x)
         if not found[0]:
             continue
-        anchor, mark, doc, start, count = (np.concatenate(x) for x in found)
-        order = np.lexsort((start, doc, mark, anchor))
-        anchor, mark, doc, start, count = (x[order] for x in (anchor, mark, doc, start, count))
-        new = _first_of_equal(anchor, mark)
-        # Repeated rows of one document give its segments twice; they are not earlier ones.
-        again = ~new & ~_first_of_equal(anchor, mark, doc, start)
-        known = ~new & ~again
+        first, known, cells = _judged(*(np.concatenate(x) for x in found))
+        anchor, mark, name, doc, start, count = cells
         if known.any():
             d, s, c = _merged(doc[known], start[known], count[known])
-            yield _pack((np.abs(d) % parts).astype(np.int32), (np.zeros(len(d), np.uint64), np.zeros(len(d), "V0"), d, s.astype(np.int64), c.astype(np.int64)))
-        cells = (anchor[new], mark[new], doc[new], start[new].astype(np.int64), count[new].astype(np.int64))
-        yield _pack((cells[0] % np.uint64(parts)).astype(np.int32), cells)
+            none = np.zeros(len(d), "V0")
+            yield _pack((np.abs(d) % parts).astype(np.int32), (np.zeros(len(d), np.uint64), none, none, d, s.astype(np.int64), c.astype(np.int64)))
+        kept = (anchor[first], mark[first], name[first], doc[first], start[first].astype(np.int64), count[first].astype(np.int64))
+        yield _pack((kept[0] % np.uint64(parts)).astype(np.int32), kept)
+
+
+def _judged(anchor, mark, name, doc, start, count) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Segments in the order of their names: which are the first of a name, which repeat one, and they.
+
+    Repeated rows of one document give its segments twice; one of them is enough.
+    """
+    cells = (anchor, mark, name, doc, start, count)
+    order = np.lexsort((start, doc, name, mark, anchor))
+    cells = tuple(x[order] for x in cells)
+    once = _first_of_equal(*cells[:5])
+    anchor, mark, name, doc, start, count = cells = tuple(x[once] for x in cells)
+    size = count + LENGTH - 1
+    place = np.empty(len(doc), np.int64)
+    place[np.lexsort((start, doc))] = np.arange(len(doc))
+    repeats = previous_factors(place, np.where(_first_of_equal(anchor, mark, name), 0, size)) >= size
+    return ~repeats, repeats, cells
 
 
 def _runs(kind: int, anchor, doc, start, count) -> pa.RecordBatch:
@@ -173,27 +213,33 @@ def _runs(kind: int, anchor, doc, start, count) -> pa.RecordBatch:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: repeated runs. Kinds 1, 2: segments that others of their anchor differ from (2: in a crowd)."""
-    cells: list[list[np.ndarray]] = [[], [], [], [], []]
-    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
+    """Kind 0: repeated runs. Kinds 1, 2: segments that others of their anchor differ from (2: in a crowd).
+
+    Rows come sorted by part, and one part is in memory at a time.
+    """
+    cells: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    kinds = (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64)
+    part = None
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+        for at, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
             if not row[1]:
-                yield _runs(0, None, *(np.frombuffer(x, np.int64) for x in row[2:]))
+                yield _runs(0, None, *(np.frombuffer(x, np.int64) for x in row[3:]))
                 continue
+            if at != part and cells[0]:
+                yield from _part(cells)
+                cells = [[], [], [], [], [], []]
+            part = at
             for into, x, kind in zip(cells, row, kinds, strict=True):
                 into.append(np.frombuffer(x, kind))
-    if not cells[0]:
-        return
-    anchor, mark, doc, start, count = (np.concatenate(x) for x in cells)
-    del cells
-    order = np.lexsort((start, doc, mark, anchor))
-    anchor, mark, doc, start, count = (x[order] for x in (anchor, mark, doc, start, count))
-    new = _first_of_equal(anchor, mark)
-    repeat = ~new & _first_of_equal(anchor, mark, doc, start)
-    if repeat.any():
-        yield _runs(0, None, *_merged(doc[repeat], start[repeat], count[repeat]))
-    anchor, doc, start, count = anchor[new], doc[new], start[new], count[new]
+    if cells[0]:
+        yield from _part(cells)
+
+
+def _part(cells: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    first, repeats, (anchor, _, _, doc, start, count) = _judged(*(np.concatenate(x) for x in cells))
+    if repeats.any():
+        yield _runs(0, None, *_merged(doc[repeats], start[repeats], count[repeats]))
+    anchor, doc, start, count = anchor[first], doc[first], start[first], count[first]
     begin = np.flatnonzero(_first_of_equal(anchor))
     size = np.diff(np.append(begin, len(anchor)))
     many = np.repeat(size, size)
@@ -236,11 +282,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: np.ndarray, starts: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows of these segments whose lpf reaches LENGTH.
-
-    Windows are put into suffix order, equal ones by position; a window then has an earlier equal
-    one if and only if the entry before it is equal.
-    """
+    """(doc, start) of the windows of these segments whose lpf reaches LENGTH."""
     sizes = np.array([len(x) - LENGTH + 1 for x in data])
     flat = np.frombuffer(b"".join(data), np.uint8)
     first = np.concatenate([[0], np.cumsum(sizes + LENGTH - 1)[:-1]])
@@ -248,12 +290,10 @@ def repeated_windows(docs: np.ndarray, starts: np.ndarray, data: list[bytes]) ->
     doc, start = np.repeat(docs, sizes), np.repeat(starts, sizes) + inside
     windows = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[np.repeat(first, sizes) + inside]
     place = np.lexsort((start, doc))
+    place = place[_first_of_equal(doc[place], start[place])]  # of repeated rows one
     windows, doc, start = np.ascontiguousarray(windows[place]), doc[place], start[place]
-    order = np.argsort(windows.view(f"S{LENGTH}").ravel(), kind="stable")
-    windows, doc, start = windows[order], doc[order], start[order]
-    equal = np.concatenate([[False], (windows[1:] == windows[:-1]).all(axis=1)])
-    again = np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])
-    pick = equal & ~again
+    order = np.argsort(windows.view(f"S{LENGTH}").ravel(), kind="stable")  # positions are their ranks now
+    pick = order[previous_factors(order, common_prefixes(windows[order])) >= LENGTH]
     return doc[pick], start[pick]
 
 
@@ -313,12 +353,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are UTF-8 bytes; a null text is empty. Repeated rows of a document are one document and
     get equal results; of rows with one doc_id but different texts each loses what any of them
     should. Rows without doc_id have no place in the order and keep every byte, nor do others
-    repeat them. Other columns are ignored; no rows give no rows.
+    repeat them. Texts are taken in blocks, whatever their length. Other columns are ignored; no rows
+    give no rows.
     """
     rows, spark = id_and_text(docs, id_col, text_col), docs.sparkSession
     n = partitions(spark)
-    dealt = rows.mapInArrow(partial(_deal, parts=4 * n), "part int, anchors binary, marks binary, ids binary, starts binary, counts binary")
-    met = dealt.repartition(n, "part").mapInArrow(_meet, "kind int, anchor long, doc_id long, start long, n long")
+    dealt = rows.mapInArrow(partial(_deal, parts=8 * n), "part int, anchors binary, marks binary, names binary, ids binary, starts binary, counts binary")
+    met = dealt.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_meet, "kind int, anchor long, doc_id long, start long, n long")
     met = stash(met, "segments")
     wanted = met.where("kind > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("kind", "anchor", "start", "n")).alias("wanted"))
     # Both joins are left ones, so that they read one and the same shuffle of the texts.
