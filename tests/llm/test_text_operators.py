@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 import string
 
 import numpy as np
@@ -151,6 +152,51 @@ def test_leaks_without_broadcast(docs, benchmark, monkeypatch):
     assert spaced_seeds.leaks(docs, benchmark).count() == 5
 
 
+def plain_leaks(docs, items) -> set:
+    """(doc_id, item_id) by laying every item at every place of every document."""
+
+    def tokens(t):
+        return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+
+    out = set()
+    for item_id, item in ((i, tokens(t)) for i, t in items):
+        least = min(12, -(-3 * len(item) // 4))
+        for doc, found in ((d, tokens(t)) for d, t in docs):
+            for shift in range(1 - len(item), len(found)) if item and found else ():
+                equal = [0 <= k + shift < len(found) and found[k + shift] == w for k, w in enumerate(item)]
+                if passes(equal, least):
+                    out.add((doc, item_id))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_leaks_equal_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(spaced_seeds, "BROADCAST_SEEDS", bound)
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 8, 11, 15, 16, 20, 24])))) for i in range(16)]
+    docs = []
+    for d in range(50):
+        t = [rng.choice(words) for _ in range(rng.randrange(0, 30))]
+        base = rng.choice(items)[1].split()
+        a = rng.randrange(len(base))
+        piece = [w if rng.random() < 0.8 else rng.choice(words) for w in base[a * (d % 2) :]]
+        p = rng.randrange(len(t) + 1)
+        docs.append((d, " ".join(t[:p] + piece + t[p:])))
+    got = spaced_seeds.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == plain_leaks(docs, items)
+
+
+def test_decontamination_judges_rows(spark):
+    """Rows without an id, or of one id, go only for their own text."""
+    item = " ".join(f"t{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item, 1), (None, "a clean text", 2), (3, f"so {item}", 3), (3, "clean too", 4), (4, None, 5), (4, None, 5)], "doc_id long, text string, tokens int")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r["tokens"] for r in spaced_seeds.decontaminate(docs, items).collect()) == [2, 4, 5, 5]
+    assert spaced_seeds.decontaminate(docs, items.where("false")).count() == 6
+
+
 def test_masks_hit_all_that_passes():
     """No text of up to 31 tokens with 12 equal, and three quarters of all, is without a hit."""
     hits = [sum(1 << (m[-1] - o) for o in m) for m in spaced_seeds.MASKS]
@@ -235,10 +281,10 @@ def order_minhash_likeness(one: list[str], two: list[str]) -> float:
 
 
 def test_short_texts_see_order(spark):
-    """Texts of 20 to 130 words with their halves swapped are as like as by independent orders."""
+    """Texts of 20 to 600 words with their halves swapped are as like as by independent orders."""
     rng = random.Random(9)
     rows, want = [], {}
-    for n in (20, 40, 66, 130):
+    for n in (20, 40, 66, 130, 600):
         pairs = []
         for i in range(30):
             words = [f"w{x}" for x in rng.sample(range(10**6), n)]
@@ -257,6 +303,35 @@ def test_short_texts_see_order(spark):
     assert tiny[2] == tiny[3] != tiny[1] and all(len(x) == 64 for x in tiny.values())
 
 
+def test_parts_of_a_text_have_the_same_tokens(spark):
+    """Neither length nor script of the rest of a text changes what a part of it gives."""
+    rng = random.Random(19)
+    japanese = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(400))
+    english = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(40_000))
+    blob = "".join(rng.choice("0123456789abcdef") for _ in range(4000))
+    rows = [(japanese, japanese[:200] + english), (long, long + " and nine more words at the end of it all"), (blob, blob[:2000] + english)]
+    frame = spark.createDataFrame(rows, "a string, b string")
+    for c in "ab":
+        frame = order_minhash.with_signature(frame, c, f"s{c}")
+    near = [r[0] for r in frame.select(order_minhash.likeness(F.col("sa"), F.col("sb"))).collect()]
+    assert near[0] > 0.1 and near[1] > 0.95 and near[2] > 0.05
+    cases = ["", " ", "a  b", " ab\tc ", "日本 x語", "x" * 40, None]
+    got = spark.createDataFrame([(c,) for c in cases], "t string").select(order_minhash.tokens(F.coalesce("t", F.lit("")))).collect()
+    assert [r[0] for r in got] == [[""], [""], ["a", "b"], ["ab", "c"], ["日", "本", "x", "語"], ["x" * 16, "x" * 16, "x" * 8], [""]]
+
+
+@pytest.mark.parametrize("ids", [[None] * 40 + list(range(60)), [7] * 70 + [8] * 5 + list(range(100, 160)), [*range(90), 1 << 60, (1 << 60) + 1, -(1 << 62)], [5], [None, None], [3, 3, 3]])
+def test_next_rows(spark, monkeypatch, ids):
+    """Every row's next one is the next in the order, whatever the ids' spread."""
+    monkeypatch.setattr(order_minhash, "NEIGHBOURS", 2)
+    monkeypatch.setattr(order_minhash, "QUANTILES", 5)
+    rows = spark.createDataFrame([(x, f"text {i}") for i, x in enumerate(ids)], "doc_id long, text string").repartition(5)
+    got = order_minhash.with_next(rows, ["doc_id", "text"]).withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"]))
+    assert len(got) == len(ids) and [(r["next_doc_id"], r["next_text"]) for r in order] == [(r["doc_id"], r["text"]) for r in [*order[1:], order[0]]]
+
+
 def test_signatures_count_repeats(spark):
     one, two = "a b c d " * 30, "a b c d " * 60
     rows = order_minhash.fingerprints(spark.createDataFrame([(0, one), (1, two), (2, one)], "doc_id long, text string"))
@@ -281,6 +356,32 @@ def test_languages(spark, docs):
     assert langid.identify(docs, empty).where("lang_pred != 'und'").count() == 0
 
 
+def test_strange_texts_are_rejected(spark):
+    """Texts of no learned language are rejected, those of learned ones are not."""
+    rng = random.Random(23)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    noise = ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(400)]
+    strange = [" ".join(rng.sample(noise, 60)) for _ in range(20)] + ["Быстрая лиса прыгает через ленивую собаку. " * 5, "色は匂へど散りぬるを我が世誰ぞ常ならむ" * 5]
+    assert sum(model.predict(t)[2] for t in strange) <= 2
+    held = langid.identify(docs.where("text IS NOT NULL"), model).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL").collect()
+    known = [r for r in held if r["lang_pred"] != "und"]
+    assert sum(r["lang_pred"] == r["lang"] for r in known) > 0.98 * len(known) and sum(r["accepted"] for r in known) > 0.98 * len(known)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(29)
+    rows = []
+    for k in range(12):
+        words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(60)]
+        rows += [(100 * k + i, " ".join(rng.choices(words, k=80)), f"x{k}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert len(model.languages) == 12
+    got = langid.identify(frame, model).join(frame, "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.9 * len(got)
+
+
 def test_blocks_do_not_change_a_text(monkeypatch):
     text = "Ünder the straße 12 über, " * 40
     whole = np.sort(np.concatenate(list(langid._blocks(text))))

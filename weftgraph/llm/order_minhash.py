@@ -11,11 +11,12 @@ text and the tuple is hashed: moving or changing parts of a text changes tuples
 grows. A signature lists (bin, tuple hash); the likeness of two texts is the share of bins with
 equal tuples.
 
-Tokens are words between white space; a text with few of them for its length (such as one in a
-script without spaces) has its characters as tokens.
+Tokens are words between white space, cut after WORD_CHARS characters; in scripts that are written
+without spaces each character is a token. The rule looks at characters alone, so that parts of a
+text have the same tokens whatever stands around them.
 
-A k-mer's hash, shortened by the bits of its position, is sorted as one long together with that
-position, so all steps are sorts and scans of arrays of longs within a row.
+A k-mer's hash is sorted together with its position, in one long, so all steps are sorts and scans of
+arrays of longs within a row. Position and hash have the same number of bits in every text.
 """
 
 from __future__ import annotations
@@ -28,15 +29,26 @@ from weftgraph.llm.common import id_and_text
 #: Tokens of a k-mer; bins (a power of two) and its bits.
 K, BINS, BIN_BITS = 3, 64, 6
 
-#: More characters than this for each word: characters are the tokens.
-WORD_CHARS = 32
+#: Characters of a token at most, and those that are tokens of their own.
+WORD_CHARS = 16
+ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+SPACE = r" \t\n\r\f\x0B"
 
-#: Bits that the position takes at least. Texts of up to 2**20 tokens thus agree on a hash's
-#: length; longer ones take more.
-POSITION_BITS = 20
+#: Bits of a position; a string of at most 2 GB has no more than 2 ** 30 tokens (those of one byte
+#: are parted by white space). The hash has the other 34.
+POSITION_BITS = 30
 
-#: Documents of a bucket of neighbours, on average.
-NEIGHBOURS = 512
+#: Documents of a bucket of neighbours, on average, and the number of quantiles of ids.
+NEIGHBOURS, QUANTILES = 512, 256
+
+
+def tokens(text: Column) -> Column:
+    """The tokens of a text column; an empty one has one empty token."""
+    words = F.array_remove(F.split(text, f"[{SPACE}]+"), "")
+    each = F.regexp_extract_all(text, F.lit(f"[{ALONE}]|[^{ALONE}{SPACE}]{{1,{WORD_CHARS}}}"), F.lit(0))
+    # Where no word is to be cut, both say the same, and the first is quicker.
+    found = F.when(text.rlike(f"[{ALONE}]|[^{SPACE}]{{{WORD_CHARS + 1}}}"), each).otherwise(words)
+    return F.when(text.rlike(f"[^{SPACE}]"), found).otherwise(F.array(F.lit("")))
 
 
 def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -46,17 +58,17 @@ def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
     is a column of an earlier step, so that none is computed once per element.
     """
     keep = rows.columns
-    t, w, h, s, bits, first, more, all_, low = (f"_{name}_{x}" for x in ("t", "w", "h", "s", "bits", "first", "more", "all", "low"))
+    t, h, s, first, more, all_ = (f"_{name}_{x}" for x in ("t", "h", "s", "first", "more", "all"))
     again, every, single, empty, full = (f"_{name}_{x}" for x in ("again", "every", "single", "empty", "full"))
 
     def hash_of(x: Column) -> Column:
-        return F.call_function("shiftright", x, F.col(bits))
+        return F.shiftright(x, POSITION_BITS)
 
     def position(x: Column) -> Column:
-        return x.bitwiseAND(F.col(low))
+        return x.bitwiseAND((1 << POSITION_BITS) - 1)
 
     def packed(value: Column, at: Column) -> Column:
-        return F.call_function("shiftleft", hash_of(value), F.col(bits)).bitwiseOR(at)
+        return F.shiftleft(hash_of(value), POSITION_BITS).bitwiseOR(at)
 
     def bin_of(x: Column) -> Column:
         return F.shiftright(x, 64 - BIN_BITS)
@@ -68,12 +80,8 @@ def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
         return (i == 0) | (hash_of(F.get(F.col(s), i - 1)) != hash_of(x))
 
     out = rows.withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn(w, F.split(t, r"[ \t\n\r\f\x0B]+"))
-    tokens = F.when(F.size(w) * WORD_CHARS >= F.length(t), F.col(w)).otherwise(F.split(t, ""))
-    out = out.select(*keep, F.transform(tokens, lambda x: F.xxhash64(x)).alias(h))
+    out = out.select(*keep, F.transform(tokens(F.col(t)), lambda x: F.xxhash64(x)).alias(h))
     size = F.greatest(F.size(h) - (K - 1), F.lit(1))
-    out = out.withColumn(bits, F.greatest(F.length(F.bin(F.size(h))), F.lit(POSITION_BITS)))
-    out = out.withColumn(low, F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bits)) - 1)
     kmers = F.transform(h, lambda x, i: packed(F.xxhash64(x, *[F.get(F.col(h), i + j) for j in range(1, K)]), i.cast("long")))
     out = out.withColumn(s, F.sort_array(F.slice(kmers, 1, size)))
     # First occurrences, which have their k-mer's own hash, and the two smallest of each bin.
@@ -148,33 +156,59 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_signature(id_and_text(docs, id_col, text_col), "text", "signature").select("doc_id", "signature")
 
 
+def _buckets(rows: DataFrame) -> tuple[Column, Column]:
+    """Two numbers by which rows (doc_id, _hash) lie in buckets of neighbours, in the order of both.
+
+    The first is the interval between two quantiles of the ids, or -1 of null ones. Within it
+    ids are cut into equal widths; an id that fills an interval is cut by the hash of the text.
+    """
+    ids = rows.select("doc_id")
+    shares = [k / QUANTILES for k in range(QUANTILES + 1)]
+    bounds, n = ids.agg(F.percentile_approx("doc_id", shares, 20 * QUANTILES), F.count("*")).first()
+    bounds = bounds or [0, 0]
+    parts = max(1, n // (QUANTILES * NEIGHBOURS))
+    starts = bounds[:-1]
+    at = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in starts]), lambda b: b <= F.col("doc_id"))) - 1
+    at = F.when(F.col("doc_id").isNull(), -1).otherwise(F.greatest(at, F.lit(0)))
+    low, high = (F.get(F.array(*[F.lit(b).cast("long") for b in x]), F.col("_at")) for x in (starts, bounds[1:]))
+    inside = F.floor((F.col("doc_id").cast("double") - low.cast("double")) / F.greatest((high.cast("double") - low.cast("double")) / parts, F.lit(1.0)))
+    bits = max(1, (4 * parts).bit_length())
+    by_hash = F.shiftright(F.col("_hash"), 64 - bits) + (1 << (bits - 1))
+    crowded = [k for k, b in enumerate(starts) if b in starts[:k] or b == bounds[k + 1]]
+    full = F.col("doc_id").isNull() | (F.col("_at").isin(*crowded) & (F.col("doc_id") == low))
+    # Ids that follow a crowded one in its interval come after all of its buckets.
+    return at, F.when(full, by_hash).otherwise(inside + F.when(F.col("_at").isin(*crowded), 1 << bits).otherwise(0)).cast("long")
+
+
 def with_next(rows: DataFrame, values: list[str]) -> DataFrame:
     """rows (doc_id, text, ...) with next_ columns: values of the next row, and of the first
     after the last.
 
-    Rows follow each other by doc_id (nulls first), equal ids by text. They are dealt over buckets
-    of neighbouring ids, of about NEIGHBOURS rows if ids are spread evenly (a row of its own for
-    each value of any other spread is no error, only slower), so no task orders the table. The
-    last row of a bucket gets the first one of the next bucket that is not empty.
+    Rows follow each other by doc_id (nulls first), equal ids by their texts' hashes and texts. They
+    are dealt over buckets of about NEIGHBOURS neighbours, so no task orders the table. The last row
+    of a bucket gets the first one of the next bucket that is not empty.
     """
-    ids = rows.select("doc_id")
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1.0, (float(high or 0) - float(low or 0) + 1) / max(1, n // NEIGHBOURS))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low or 0)) / width), F.lit(-1)).cast("long")
-    rows = rows.withColumn("_bucket", bucket)
-    order = Window.partitionBy("_bucket").orderBy("doc_id", "text")
-    used = ids.select(bucket.alias("_bucket")).groupBy("_bucket").count()  # n / NEIGHBOURS rows of two numbers
-    line = Window.orderBy("_bucket")
-    start = F.first("_bucket").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    follow = used.select("_bucket", F.coalesce(F.lead("_bucket").over(line), start).alias("_after"))
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    ids = rows.select("doc_id", "_hash")
+    at, inside = _buckets(ids)
+    bucket = ["_at", "_in"]
+    used = ids.withColumn("_at", at).withColumn("_in", inside).groupBy(*bucket).count()
+    # The first bucket of each interval: QUANTILES + 1 rows at most.
+    firsts = sorted((r["_at"], r["_in"]) for r in used.groupBy("_at").agg(F.min("_in").alias("_in")).collect())
+    rows = rows.withColumn("_at", at).withColumn("_in", inside)
+    order = Window.partitionBy(*bucket).orderBy("doc_id", "_hash", "text")
+    after = {a: b for (a, _), b in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)}
+    jump = F.coalesce(*[F.when(F.col("_at") == a, F.struct(F.lit(x).alias("_at"), F.lit(y).cast("long").alias("_in"))) for a, (x, y) in after.items()], F.lit(None).cast("struct<_at:int,_in:bigint>"))
+    near = F.lead("_in").over(Window.partitionBy("_at").orderBy("_in"))
+    follow = used.select(*bucket, F.when(near.isNotNull(), F.struct("_at", near.alias("_in"))).otherwise(jump).alias("_after"))
     heads = rows.withColumn("_before", F.lag(F.lit(1)).over(order)).where("_before IS NULL")
-    heads = heads.select(F.col("_bucket").alias("_after"), F.struct(*values).alias("_head"))
+    heads = heads.select(F.struct(*bucket).alias("_after"), F.struct(*values).alias("_head"))
     heads = follow.join(heads, "_after").drop("_after")
     # Plain columns only, here and above: then both windows read one and the same shuffle.
-    inside = rows.withColumns({"_more": F.lead(F.lit(1)).over(order), **{f"next_{v}": F.lead(v).over(order) for v in values}})
-    out = inside.join(heads, "_bucket", "left")
+    inner = rows.withColumns({"_more": F.lead(F.lit(1)).over(order), **{f"next_{v}": F.lead(v).over(order) for v in values}})
+    out = inner.join(heads, bucket, "left")
     nexts = {f"next_{v}": F.when(F.col("_more").isNotNull(), F.col(f"next_{v}")).otherwise(F.col("_head")[v]) for v in values}
-    return out.withColumns(nexts).drop("_bucket", "_more", "_head")
+    return out.withColumns(nexts).drop(*bucket, "_hash", "_more", "_head")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -182,8 +216,9 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many of the
     first of the next document (or all, if it has fewer). A null text is an empty one; of a
-    single document the next one is itself; repeated rows follow each other; other columns
-    are ignored and no rows give none.
+    single document the next one is itself; repeated rows and ties follow each other, rows without
+    doc_id come first; texts are taken whole, whatever their length; other columns are ignored and
+    no rows give none.
     """
     rows = with_signature(id_and_text(docs), "text", "sig")
     rows = with_next(rows, ["text", "sig"])
