@@ -28,9 +28,12 @@ from weftgraph.llm.common import held_out, id_and_text
 #: Rows of the hashed table (row 0 stays zero), and the width of an embedding.
 BUCKETS, WIDTH = 1 << 15, 12
 
-#: Labelled rows of each language that the model may be trained and calibrated on, and the
-#: number of languages, the most frequent ones.
-ROWS_PER_LANGUAGE, LANGUAGES = 500, 200
+#: Labelled rows of each language that the model may be trained and calibrated on, and code points
+#: of each of these (a piece from any place of a longer text); every language is learned.
+ROWS_PER_LANGUAGE, PIECE = 500, 20_000
+
+#: Share of the texts predicted rightly in calibration that may be rejected, and the highest limit.
+MISSED, HIGHEST = 0.002, 0.5
 
 #: Code points that are hashed at a time.
 BLOCK = 1 << 18
@@ -143,25 +146,28 @@ def train(sample: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5) ->
 
     heat = min(np.geomspace(0.25, 64, 33), key=loss) if judged else 1.0
     right = [p[y] for z, y, whole in judged if whole and (p := _softmax(z / heat)).argmax() == y]
-    return Model(languages, model.table, bias, float(heat), min([0.5, *(0.9 * p for p in right)]))
+    least = np.quantile(right, MISSED, method="lower") if right else HIGHEST
+    return Model(languages, model.table, bias, float(heat), min(HIGHEST, float(least)))
 
 
 def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Model of text and lang of docs, without the rows that held_out() keeps back.
 
-    At most LANGUAGES languages, and of each about per_language rows chosen by a hash of their
-    id. Rows without lang or text teach nothing; without any the model knows no language.
+    Of each language about per_language rows, chosen by a hash of their id, and of these a piece of
+    up to PIECE code points, whose place is chosen by the hash too. Rows without lang or text teach
+    nothing; without any the model knows no language.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    counts = rows.groupBy("lang").count().collect()  # a row for each language, of which the model has a column
     if not counts:
         return train([])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     below = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1, per_language / r["count"]) * (1 << 30)))])
     chosen = rows.where(F.col("text").isNotNull() & (draw < F.try_element_at(below, F.col("lang"))))
-    chosen = chosen.orderBy(draw, "doc_id", "text").limit(2 * per_language * len(counts))
-    return train([(r["text"], r["lang"]) for r in chosen.collect()])
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - PIECE + 1, F.lit(1)))
+    chosen = chosen.select("lang", F.substring("text", (start + 1).cast("int"), F.lit(PIECE)).alias("text"), draw.alias("draw"), "doc_id")
+    return train([(r["text"], r["lang"]) for r in chosen.orderBy("draw", "doc_id", "text").collect()])
 
 
 def predicted(text: Column, model: Model) -> Column:
@@ -178,13 +184,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1) and accepted of every whole text.
 
     A null text and one without a letter are 'und' with score 0 and not accepted. Rows are
-    judged one by one, so ties and repeated rows agree; other columns are ignored.
+    judged one by one, so repeated rows agree, and of equally likely languages the first by name
+    wins; texts are taken in blocks, whatever their length; other columns are ignored; no rows
+    give no rows.
     """
     rows = id_and_text(docs).withColumn("_p", predicted(F.col("text"), model))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_p.lang_pred", "_p.score", "_p.accepted")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs whose language is known well enough, with their columns as they were."""
+    """Rows of docs whose language is known well enough, with their columns as they were.
+
+    Null and empty texts and those without a letter go, repeated rows stay or go together, rows
+    without doc_id are judged like others, and no rows give no rows.
+    """
     names = docs.columns
     return docs.withColumn("_weft_language", predicted(F.col("text"), model)).where("_weft_language.accepted").select(*names)

@@ -104,14 +104,8 @@ def _best_stretch(hits: DataFrame) -> DataFrame:
     return out.withColumn("best", best).select(*keep, "best")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id") -> DataFrame:
-    """doc_id, item_id, n_equal, share and first_token of every document that holds an item.
-
-    One row for each pair: of its stretches that pass, the one with most equal tokens (then the
-    largest share, then the earliest). Null and empty texts hold nothing, items without tokens
-    are held by nothing. Repeated documents or items do not repeat a pair; other columns, also
-    of equal names in both tables, are ignored; an empty table on either side gives no rows.
-    """
+def _held(docs: DataFrame, benchmark: DataFrame, item_col: str) -> DataFrame:
+    """doc_id, doc_key (a hash of the text), item_id and best of every row of docs that holds an item."""
     items = id_and_text(benchmark, item_col).select(F.col("doc_id").alias("item_id"), _tokens(F.col("text")).alias("item"))
     items = items.where(F.size("item") > 0).dropDuplicates(["item_id", "item"]).withColumn("item_key", F.xxhash64("item_id", "item"))
     lengths = items.where(F.size("item") < LONG).select(F.size("item").alias("n")).distinct().collect()  # fewer than LONG rows
@@ -121,31 +115,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id") -> D
     for n, own in masks_of.items():
         base = base.unionByName(_seeded(items.where(F.size("item") == n), "item", [(m, mask) for m, mask in masks if mask in own]))
     base = base.select("seed", "item_key", F.col("at").alias("item_at"), F.get(F.col("item"), F.col("at") - 1).alias("before"))
-    rows = id_and_text(docs).select("doc_id", _tokens(F.col("text")).alias("tokens"))
+    rows = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("doc_key"), _tokens(F.col("text")).alias("tokens"))
     hits = _seeded(rows, "tokens", masks)
     # Of a run of equal tokens the first hit is enough, for all have the same shift.
     first = ~F.coalesce(F.col("before") == F.get(F.col("tokens"), F.col("at") - 1), F.lit(False))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     if base.count() <= BROADCAST_SEEDS:
         # Nothing moves before a hit is found, so what it is compared with is the document itself.
-        hits = hits.join(F.broadcast(base), "seed").where(first).select("doc_id", "tokens", "item_key", shift)
+        hits = hits.join(F.broadcast(base), "seed").where(first).select("doc_id", "doc_key", "tokens", "item_key", shift)
         hits = hits.join(F.broadcast(items), "item_key")
     else:
-        key = F.xxhash64("tokens")
-        hits = hits.select("doc_id", key.alias("doc_key"), "seed", "at", F.get(F.col("tokens"), F.col("at") - 1).alias("doc_before")).join(base, "seed")
+        # A seed that many documents have meets each item of it once for each different text.
+        hits = hits.select("doc_key", "seed", "at", F.get(F.col("tokens"), F.col("at") - 1).alias("doc_before")).join(base, "seed")
         first = ~F.coalesce(F.col("before") == F.col("doc_before"), F.lit(False))
-        hits = hits.where(first).select(F.col("doc_id").alias("_doc"), "doc_key", "item_key", shift).distinct()
-        whole = rows.withColumn("doc_key", key)
-        hits = hits.join(items, "item_key").join(whole, ["doc_key"]).where(F.col("_doc").eqNullSafe(F.col("doc_id"))).drop("_doc")
-    hits = hits.select("doc_id", "item_id", "item", "tokens", "shift", F.least(F.lit(LEAST), F.ceil(F.size("item") * SHARE)).alias("least"))
+        hits = hits.where(first).select("doc_key", "item_key", shift).distinct()
+        hits = hits.join(items, "item_key").join(rows, "doc_key")
+    hits = hits.select("doc_id", "doc_key", "item_id", "item", "tokens", "shift", F.least(F.lit(LEAST), F.ceil(F.size("item") * SHARE)).alias("least"))
     hits = _best_stretch(hits)
     # The test follows the aggregation, for as a join condition it would be applied to each token.
     passes = F.col("best")["n_equal"] >= F.col("least")
-    found = hits.groupBy("doc_id", "item_id").agg(F.max(F.when(passes, F.col("best"))).alias("best")).where("best IS NOT NULL")
+    return hits.groupBy("doc_id", "doc_key", "item_id").agg(F.max(F.when(passes, F.col("best"))).alias("best")).where("best IS NOT NULL")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id") -> DataFrame:
+    """doc_id, item_id, n_equal, share and first_token of every document that holds an item.
+
+    One row for each pair: of its stretches that pass, the one with most equal tokens (then the
+    largest share, then the earliest). Null and empty texts hold nothing, items without tokens
+    are held by nothing; an item of one or two tokens is held by every document that has them.
+    Texts are compared whole, whatever their length. Repeated documents or items do not repeat a
+    pair, rows without doc_id are one document here; other columns, also of equal names in both
+    tables, are ignored; an empty table on either side gives no rows.
+    """
+    found = _held(docs, benchmark, item_col).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return found.select("doc_id", "item_id", "best.n_equal", "best.share", (-F.col("best.back")).alias("first_token"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id") -> DataFrame:
-    """Rows of docs that hold no item, with their columns as they were."""
-    held = leaks(docs, benchmark, item_col).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(F.col("_held")), "left_anti")
+    """Rows of docs that hold no item, with their columns as they were.
+
+    Rows are judged one by one: of those without doc_id, or with the same one, only those go whose
+    own text holds an item. Null and empty texts stay, repeated rows stay or go together, and an empty
+    benchmark removes nothing.
+    """
+    held = _held(docs, benchmark, item_col).select(F.col("doc_id").alias("_held"), F.col("doc_key").alias("_held_text")).distinct()
+    own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(F.col("_held")) & (own == F.col("_held_text")), "left_anti")
