@@ -161,7 +161,7 @@ def _pack(parts: np.ndarray, columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     order = np.argsort(parts, kind="stable")
     found, begin = np.unique(parts[order], return_index=True)
     cuts = list(zip(begin, [*begin[1:], len(parts)], strict=True))
-    cells = [[c[order][a:b].tobytes() for a, b in cuts] for c in columns]
+    cells = [[c[a:b].tobytes() for a, b in cuts] for c in (c[order] for c in columns)]
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((found, *cells), _PACKED, strict=True)], schema=_PACKED)
 
 
@@ -169,16 +169,18 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
     """Segments of each batch by parts. An empty mark cell has runs already known as repeats."""
     for batch in batches:
         found: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = text.as_buffer()
-            if doc is None or raw is None or raw.size < LENGTH:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        used = sorted((doc, k) for k, doc in enumerate(ids) if doc is not None)
+        for doc, k in used:
+            raw = texts[k].as_buffer()
+            if raw is None or raw.size < LENGTH:
                 continue
             for anchor, mark, name, start, count in segments(np.frombuffer(raw, np.uint8)):
                 for into, x in zip(found, (anchor, mark, name, np.full(len(start), doc, np.int64), start, count), strict=True):
                     into.append(x)
         if not found[0]:
             continue
-        first, known, cells = _judged(*(np.concatenate(x) for x in found))
+        first, known, cells = _judged(*(np.concatenate(x) for x in found), in_order=len({doc for doc, _ in used}) == len(used))
         anchor, mark, name, doc, start, count = cells
         if known.any():
             d, s, c = _merged(doc[known], start[known], count[known])
@@ -188,20 +190,23 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         yield _pack((kept[0] % np.uint64(parts)).astype(np.int32), kept)
 
 
-def _judged(anchor, mark, name, doc, start, count) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+def _judged(anchor, mark, name, doc, start, count, in_order: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """Segments in the order of their names: which are the first of a name, which repeat one, and they.
 
-    Repeated rows of one document give its segments twice; one of them is enough.
+    in_order says that they come in the order of their positions, and all their documents once; then
+    one hash is order enough, for names that it does not tell apart meet again in _part().
     """
     cells = (anchor, mark, name, doc, start, count)
-    order = np.lexsort((start, doc, name, mark, anchor))
-    cells = tuple(x[order] for x in cells)
-    once = _first_of_equal(*cells[:5])
-    anchor, mark, name, doc, start, count = cells = tuple(x[once] for x in cells)
-    size = count + LENGTH - 1
-    place = np.empty(len(doc), np.int64)
-    place[np.lexsort((start, doc))] = np.arange(len(doc))
-    repeats = previous_factors(place, np.where(_first_of_equal(anchor, mark, name), 0, size)) >= size
+    if not in_order:
+        order = np.lexsort((start, doc))
+        cells = tuple(x[order] for x in cells)
+    place = np.argsort(mark, kind="stable") if in_order else np.lexsort((cells[2], cells[1], cells[0]))
+    cells = tuple(x[place] for x in cells)
+    if not in_order:  # of repeated rows of a document one is enough
+        once = _first_of_equal(*cells[:5])
+        place, cells = place[once], tuple(x[once] for x in cells)
+    size = cells[5] + LENGTH - 1
+    repeats = previous_factors(place, np.where(_first_of_equal(*cells[:3]), 0, size)) >= size
     return ~repeats, repeats, cells
 
 
