@@ -87,7 +87,9 @@ def test_redaction(docs):
     assert out.where("doc_id = 1").first()["text"] is None
 
 
-def test_jaccard_equals_brute_force(spark, docs, texts):
+@pytest.mark.parametrize("pivots", [0, 6, 512])
+def test_jaccard_equals_brute_force(spark, docs, texts, monkeypatch, pivots):
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     rng = random.Random(4)
     base = [[rng.choice(string.ascii_lowercase) + str(rng.randrange(200)) for _ in range(rng.choice([4, 6, 9, 40, 120, 200, 400]))] for _ in range(25)]
     rows = []
@@ -105,7 +107,33 @@ def test_jaccard_equals_brute_force(spark, docs, texts):
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == components(sorted(texts))
     assert jaccard_join.join(docs.where("false")).count() == 0
     kept = jaccard_join.keep_one(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id IN (6, 7, 10)").count() == 0 and kept.where("doc_id IN (1, 2, 3, 4, 5)").count() == 6
+    assert kept.columns == docs.columns and kept.where("doc_id IN (6, 7, 10)").count() == 0 and kept.where("doc_id IN (1, 2, 3, 4, 5)").count() == 5
+    assert kept.where("doc_id IS NULL").count() == 1
+
+
+def test_voronoi_regions():
+    """Of two sets that link both are in a region, and one of them is in its core, or both are in the empty set's."""
+    rng = random.Random(14)
+    base = [rng.sample(range(10**6), rng.choice([3, 20, 80, 300])) for _ in range(12)]
+    sets = []
+    for _ in range(300):
+        x = set(rng.choice(base))
+        for _ in range(rng.randrange(len(x))):
+            if rng.random() < 0.7:
+                x.discard(rng.choice(sorted(x)) if len(x) > 1 else -1)
+            else:
+                x.add(rng.randrange(10**6))
+        sets.append(np.array(sorted(x), np.uint64))
+    pivots = jaccard_join.Pivots([(i, x) for i, x in enumerate(sets[:60])])
+    kept = [set(sets[i].tolist()) for i in pivots.ids]
+    d = lambda x, y: 1 - len(x & y) / len(x | y)
+    assert len(kept) > 8 and all(d(x, y) >= 0.75 for x, y in itertools.combinations(kept, 2))
+    found = [(set(x.tolist()), *pivots.regions(x)) for x in sets]
+    for x, regions, pivot in found:
+        near = min(range(len(kept)), key=lambda p: d(x, kept[p]))
+        assert (pivot == near) == (d(x, kept[near]) <= 0.25) and (-1 in regions) == (d(x, kept[near]) > 0.5)
+    linked = [(a, b) for a, b in itertools.combinations(found, 2) if d(a[0], b[0]) <= 0.25]
+    assert len(linked) > 100 and all(set(a[1]) & set(b[1]) for a, b in linked)
 
 
 @pytest.mark.parametrize("crowd", [20_000, 2])

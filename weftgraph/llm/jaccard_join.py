@@ -1,30 +1,34 @@
 """N-gram Jaccard join in the metric space of shingle sets.
 
-Distance is 1 - |A n B| / |A u B| over a text's 5-word shingles; documents link within RADIUS
-(0.25). Distances between unrelated documents are all close to 1, where no pivot document tells
-them apart, so the space is divided in two levels.
-
-Regions. Documents within RADIUS share most of their shingles, so if these are put in one order
-they agree somewhere near its beginning:
-  * documents of up to SMALL shingles have their first n - ceil(0.75 n) + 1 shingles as pivots
-    of regions, in the order of hashes, but those last that most small documents have;
-    a linked pair shares one of these for certain, whatever the order;
-  * larger ones have the first RUNS runs of three neighbouring shingles in the order of hashes
-    alone; a linked pair lacks a common run with a probability below 0.75 ** RUNS (under 1e-11),
-    as hashes are random and so differences lie anywhere;
-  * sizes from OVERLAP to SMALL have both, as a linked pair's sizes differ by a third at most.
-A document is replicated to the regions of its keys. Keys travel as packed arrays, one row for
-each batch of documents and target partition.
-
-Joins. The size of a set bounds distances (the triangle inequality with the empty set), so a
-region is cut into windows of sizes, which overlap. In a window the document that
-meets most others is the pivot, and every other one's distance to it is computed exactly from the whole sets. Those within
-RADIUS are linked with the pivot and so with each other; no pairs among them are needed. What the
-pivot does not reach, and no chain of such links either, is joined in blocks: the documents far
-from a pivot against all of its regions' documents, of which the triangle inequality excludes
-those whose distance to the pivot differs by more than RADIUS. A block gives one link for each
-document and component. Components follow from the links by label propagation. The order of
-shingles and the choice of pivots decide the cost only.
+Distance is 1 - |A n B| / |A u B| over a text's 5-word shingles; documents link within RADIUS (0.25).
+The space is divided again and again, each time around other pivots:
+
+Voronoi regions. Pivots are documents of a sample, no two of them within APART. Every document's
+distance to each pivot is computed exactly, and it is assigned to the nearest one, if that is within
+CORE (0.5). Whatever links with such a core x of pivot p has a distance to p of at most CORE +
+RADIUS, and of at most RADIUS * 2 more than to its own nearest pivot (the triangle inequality), so
+all documents in that window are replicated to p's region. What is in no core goes to the region of
+the empty set, too, which has the distance 1 to all. So of two documents that link both are in the
+region of one of them, or both are in the empty set's. Those within RADIUS of a pivot link with it,
+and so with each other: the dense part of the space, such as a third of all rows being near copies
+of one document, is joined by that.
+
+Regions within regions. Within a region the sets of a single shingle are the next pivots. Documents
+that link share the fewer of 0.75 of their shingles, so of these, put in one order (that of hashes,
+with what most documents have at the end), they share one among the first n - ceil(0.75 n) + 1. Each
+of these opens a region within the region for its documents, for sets of every size. One whose
+documents are all linked with one pivot is done. The size of a set bounds distances (the triangle
+inequality with the empty set), so a region is cut into windows of sizes, which overlap. Keys travel
+as packed arrays, one row for each batch of documents and target part.
+
+Joins. In a window the document that meets most others is the last pivot, and every other one's
+distance to it is computed exactly from the whole sets. Those within RADIUS are linked; no pairs among
+them are needed. What the pivot does not reach, and no chain of such links either, is joined in
+blocks: the documents far from a pivot against all of its regions' documents, of which the triangle
+inequality excludes those whose distance to the pivot differs by more than RADIUS. A block gives one
+link for each document and component. Components follow from the links by label propagation.
+
+The order of shingles and the choice of pivots decide the cost only, never the links.
 """
 
 from __future__ import annotations
@@ -44,19 +48,21 @@ from weftgraph.llm.common import give_back, id_and_text, partitions, stash
 WORDS, PERCENT = 5, 75
 RADIUS = 1 - PERCENT / 100
 
-#: Sizes of sets with single shingles as keys, of those with runs, and runs that are keys.
-SMALL, OVERLAP, RUNS = 171, 128, 96
+#: Documents that are drawn as pivots, about, and their shingles at most; the distance that pivots keep
+#: from each other; that of a core from its pivot.
+PIVOTS, PIVOT_SIZE, APART, CORE = 512, 2048, 0.75, 0.5
+_EPS = 1e-9
 
-#: Small documents that a shingle is in to be frequent, and how many of the most frequent ones
-#: are put last at most. Only the cost depends on these.
-FREQUENT, LAST = 8, 100_000
+#: Documents of a batch that a shingle is in to be counted, documents in all that make it frequent,
+#: and how many of the most frequent ones are put last at most. Only the cost depends on these.
+COUNTED, FREQUENT, LAST = 2, 8, 100_000
 
 #: Documents compared with a pivot in one group of rows.
 SPREAD = 512
 
 #: Entries (40 bytes) that say which document goes to which group, and ids of documents, up to
 #: which they are broadcast; the texts then stay where they are, or only those wanted move.
-BROADCAST_ENTRIES, BROADCAST_IDS = 1_000_000, 2_000_000
+BROADCAST_ENTRIES, BROADCAST_IDS = 500_000, 1_000_000
 
 _WORD_CACHE = 80_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -98,48 +104,106 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def keys_of(found: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Regions of a set of shingles; last are the sorted frequent ones."""
-    n, out = len(found), []
-    if n <= SMALL:
-        at = np.minimum(np.searchsorted(last, found), max(0, len(last) - 1))
-        frequent = last[at] == found if len(last) else np.zeros(n, bool)
-        ordered = np.concatenate([found[~frequent], found[frequent]])
-        out.append(_mix(ordered[: n + 1 - -(-n * PERCENT // 100)]))
-    if n > OVERLAP:
-        f = found[: RUNS + 2]
-        out.append(_mix((_mix(f[:-2] * _P + f[1:-1]) * _P) + f[2:]))
-    return np.concatenate(out)
-
-
-def _frequent(rows: DataFrame) -> np.ndarray:
-    """The sorted shingles that most of all small documents have; larger ones use no such order."""
+    """The shingles that open regions for a set; last are the sorted frequent ones."""
+    n = len(found)
+    at = np.minimum(np.searchsorted(last, found), max(0, len(last) - 1))
+    frequent = last[at] == found if len(last) else np.zeros(n, bool)
+    ordered = np.concatenate([found[~frequent], found[frequent]])
+    return ordered[: n + 1 - -(-n * PERCENT // 100)]
+
+
+class Pivots:
+    """Documents (id, set) of which no two are within APART, the earlier ones first, and their index."""
+
+    def __init__(self, drawn: list[tuple[int, np.ndarray]]):
+        flat = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in drawn)])
+        row = np.repeat(np.arange(len(drawn)), np.array([len(x) for _, x in drawn], np.int64))
+        names, at, held = np.unique(flat, return_inverse=True, return_counts=True)
+        common = np.zeros((len(drawn), len(drawn)), np.float32)
+        shared = np.flatnonzero(held > 1)
+        place = np.full(len(names), -1)
+        place[shared] = np.arange(len(shared))
+        at = place[at]
+        for begin in range(0, len(shared), 8192):
+            pick = (at >= begin) & (at < begin + 8192)
+            block = np.zeros((len(drawn), 8192), np.float32)
+            block[row[pick], at[pick] - begin] = 1
+            common += block @ block.T  # whole numbers below 2 ** 24: exact
+        n = np.array([len(x) for _, x in drawn], np.float32)
+        kept: list[int] = []
+        for k in range(len(drawn)):
+            if not kept or (1 - common[k, kept] / (n[k] + n[kept] - common[k, kept])).min() >= APART:
+                kept.append(k)
+        self.ids = np.array([drawn[k][0] for k in kept], np.int64)
+        self.sizes = np.array([len(drawn[k][1]) for k in kept], np.int64)
+        owner = np.repeat(np.arange(len(kept)), self.sizes)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(drawn[k][1] for k in kept)])
+        order = np.argsort(flat, kind="stable")
+        self.names, begin = np.unique(flat[order], return_index=True)
+        self.begin, self.owner = np.append(begin, len(flat)), owner[order]
+
+    def regions(self, found: np.ndarray) -> tuple[np.ndarray, int]:
+        """Regions of a set, -1 being the empty set's, and the pivot it is linked with, or -1."""
+        none = np.array([-1])
+        if not len(self.names):
+            return none, -1
+        at = np.minimum(np.searchsorted(self.names, found), len(self.names) - 1)
+        at = at[self.names[at] == found]
+        if not len(at):
+            return none, -1
+        common = np.bincount(np.concatenate([self.owner[self.begin[i] : self.begin[i + 1]] for i in at]), minlength=len(self.ids))
+        total = len(found) + self.sizes - common
+        d = 1 - common / total
+        nearest = int(d.argmin())
+        linked = 100 * common[nearest] >= PERCENT * total[nearest]
+        window = np.flatnonzero((d <= CORE + RADIUS + _EPS) & (d <= d[nearest] + 2 * RADIUS + _EPS))
+        core = d[nearest] <= CORE
+        return window if core else np.append(window, -1), nearest if linked else -1
+
+
+def _survey(rows: DataFrame) -> tuple[np.ndarray, Pivots]:
+    """The sorted shingles that most of all documents have, and the pivots; one pass over the texts."""
+    below = int(min(1.0, PIVOTS / max(1, rows.count())) * (1 << 63))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64()), ("found", pa.binary())])
         for batch in batches:
-            sets = [x for t in batch.column(1) if 0 < len(x := shingles(t.as_py())) <= SMALL]
-            if sets:
-                found, counts = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"])
+            sets = [(doc, shingles(t.as_py())) for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            found, counts = np.unique(np.concatenate([x for _, x in sets]), return_counts=True)
+            many = counts >= COUNTED
+            cells = [found[many].view(np.int64), counts[many].astype(np.int64), np.full(many.sum(), None, object)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
+            drawn = [(doc, None, x.tobytes()) for doc, x in sets if doc is not None and 0 < len(x) <= PIVOT_SIZE and _draw(doc) < below]
+            if drawn:
+                yield _batch(drawn, schema)
         _forget()
 
-    counts = rows.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    seen = stash(rows.mapInArrow(run, "shingle long, n long, found binary"), "survey")
+    counts = seen.where("found IS NULL").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = counts.orderBy(F.desc("n"), "shingle").limit(LAST).collect()
-    return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
+    drawn = seen.where("found IS NOT NULL").dropDuplicates(["shingle"]).orderBy("shingle").limit(2 * PIVOTS).collect()  # about PIVOTS
+    drawn = sorted(drawn, key=lambda r: _draw(r["shingle"]))
+    return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64)), Pivots([(r["shingle"], np.frombuffer(r["found"], np.uint64)) for r in drawn])
 
 
-def _deal(batches: Iterator[pa.RecordBatch], parts: int, last) -> Iterator[pa.RecordBatch]:
-    """Keys of each batch as one row per part; sizes and links of the batch's equal sets."""
-    last = last.value
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()),
-                        ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+def _draw(doc: int) -> int:
+    return xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True)) >> 1
+
+
+def _deal(batches: Iterator[pa.RecordBatch], parts: int, shared) -> Iterator[pa.RecordBatch]:
+    """Keys of each batch as one row per part; of each document its size, its equal and its pivot."""
+    last, pivots = shared.value
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("near", pa.int64()),
+                        ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("labels", pa.binary())])
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        sizes, same, first = [], [], {}
-        keys, owners, counts = [], [], []
+        sizes, same, near, first = [], [], [], {}
+        keys, owners, counts, labels = [], [], [], []
         for doc, text in zip(ids, batch.column(1), strict=True):
             found = shingles(text.as_py())
             sizes.append(len(found))
             same.append(None)
+            near.append(None)
             if doc is None or not len(found):
                 continue
             mark = xxhash.xxh3_128_digest(found.tobytes())
@@ -147,54 +211,77 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, last) -> Iterator[pa.Re
             same[-1] = head
             if len(same) and head != doc:
                 continue
+            regions, pivot = pivots.regions(found)
+            if pivot >= 0:
+                near[-1] = int(pivots.ids[pivot])
             k = keys_of(found, last)
-            keys.append(k)
-            owners.append(np.full(len(k), doc, np.int64))
-            counts.append(np.full(len(k), len(found), np.int32))
+            for region in regions:
+                keys.append(_mix((k ^ np.uint64(region + 1)) * _P))
+                owners.append(np.full(len(k), doc, np.int64))
+                counts.append(np.full(len(k), len(found), np.int32))
+                labels.append(np.full(len(k), pivot, np.int32))
         none = [None] * len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, ids, sizes, same, none, none, none), schema, strict=True)], schema=schema)
+        cells = (none, ids, sizes, same, near, none, none, none, none)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cells, schema, strict=True)], schema=schema)
         if keys:
-            k, o, c = np.concatenate(keys), np.concatenate(owners), np.concatenate(counts)
-            part = (k % np.uint64(parts)).astype(np.int32)
+            columns = [np.concatenate(x) for x in (keys, owners, counts, labels)]
+            del keys, owners, counts, labels
+            part = (columns[0] % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            k, o, c, part = k[order], o[order], c[order], part[order]
+            part = part[order]
             found, begin = np.unique(part, return_index=True)
-            end = [*begin[1:], len(part)]
-            cut = [[x[a:b].tobytes() for a, b in zip(begin, end, strict=True)] for x in (k, o, c)]
+            cuts = list(zip(begin, [*begin[1:], len(part)], strict=True))
+            cells = [[x[a:b].tobytes() for a, b in cuts] for x in (x[order] for x in columns)]
             none = [None] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((found, none, none, none, *cut), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((found, none, none, none, none, *cells), schema, strict=True)], schema=schema)
     _forget()
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of all regions of a partition: region, doc_id, members, once for equal windows."""
-    parts: tuple[list, list, list] = ([], [], [])
+    """Windows of all regions: region, doc_id, members, once for equal windows of a part.
+
+    Rows come sorted by part, and one part is in memory at a time.
+    """
+    part, cells = None, [[], [], [], []]
     for batch in batches:
-        for name, kind, into in zip(("keys", "ids", "sizes"), (np.uint64, np.int64, np.int32), parts, strict=True):
-            into.extend(np.frombuffer(x, kind) for x in batch.column(name).to_pylist())
-    if not parts[0]:
+        for at, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if at != part and cells[0]:
+                yield from _windows(cells)
+                cells = [[], [], [], []]
+            part = at
+            for into, x, kind in zip(cells, row, (np.uint64, np.int64, np.int32, np.int32), strict=True):
+                into.append(np.frombuffer(x, kind))
+    if cells[0]:
+        yield from _windows(cells)
+    give_back()
+
+
+def _windows(cells: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    keys, ids, sizes, labels = (np.concatenate(x) for x in cells)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # most keys have one document
+    order = order[np.lexsort((ids[order], sizes[order], keys[order]))]
+    keys, ids, sizes, labels = keys[order], ids[order], sizes[order], labels[order]
+    if not len(keys):
         return
-    keys, ids, sizes = (np.concatenate(x) for x in parts)
-    order = np.lexsort((ids, sizes, keys))
-    keys, ids, sizes = keys[order], ids[order], sizes[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     end = np.append(begin[1:], len(keys))
-    seen: set[bytes] = set()
+    # Done are regions whose documents are all linked with one pivot; of equal ones one is enough.
+    low = np.minimum.reduceat(labels, begin)
+    open_ = np.flatnonzero((low < 0) | (low != np.maximum.reduceat(labels, begin)))
+    marks = np.add.reduceat(_mix(ids.view(np.uint64) * _P + _Q), begin) + (end - begin).astype(np.uint64) * _Q
+    open_ = open_[np.unique(marks[open_], return_index=True)[1]]
     out: list[list[np.ndarray]] = [[], [], []]
     rows = 0
-    many = end - begin > 1
-    for a, b in zip(begin[many], end[many], strict=True):
+    for a, b in zip(begin[open_], end[open_], strict=True):
         docs, n = ids[a:b], sizes[a:b]
-        mark = docs.tobytes() if b - a < 3 else xxhash.xxh3_128_digest(docs.tobytes())
-        if mark in seen:
-            continue
-        seen.add(mark)
         at = 0
         while at < len(docs):
             # The window's own sizes reach to `stop`; those from `low` on may link into it.
             stop = int(np.searchsorted(n, n[at] * 100 // PERCENT, "right"))
-            low = int(np.searchsorted(n, -(-int(n[at]) * PERCENT // 100), "left"))
-            inside = np.unique(docs[low:stop])
+            least = int(np.searchsorted(n, -(-int(n[at]) * PERCENT // 100), "left"))
+            inside = np.unique(docs[least:stop])
             if len(inside) > 1:
                 region = xxhash.xxh3_64_intdigest(inside.tobytes()) >> 1
                 out[0].append(np.full(len(inside), region, np.int64))
@@ -379,12 +466,12 @@ def components(links: DataFrame) -> DataFrame:
 def link(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """sizes (doc_id, n) of all rows (doc_id, text), and links (a, b) that join all components."""
     spark: SparkSession = rows.sparkSession
-    last = spark.sparkContext.broadcast(_frequent(rows))
+    shared = spark.sparkContext.broadcast(_survey(rows))
     parts = 4 * partitions(spark)
-    dealt = rows.mapInArrow(partial(_deal, parts=parts, last=last), "part int, doc_id long, n long, same long, keys binary, ids binary, sizes binary")
+    dealt = rows.mapInArrow(partial(_deal, parts=parts, shared=shared), "part int, doc_id long, n long, same long, near long, keys binary, ids binary, sizes binary, labels binary")
     dealt = stash(dealt, "keys")
-    sizes = dealt.where("part IS NULL").select("doc_id", "n", "same")
-    regions = dealt.where("part IS NOT NULL").select("part", "keys", "ids", "sizes").repartition(partitions(spark), "part")
+    sizes = dealt.where("part IS NULL").select("doc_id", "n", "same", "near")
+    regions = dealt.where("part IS NOT NULL").select("part", "keys", "ids", "sizes", "labels").repartition(partitions(spark), "part").sortWithinPartitions("part")
     regions = regions.mapInArrow(_regions, "region long, doc_id long, members long").dropDuplicates(["region", "doc_id"])
     regions = stash(regions, "regions")
     # The pivot of a region is the document that meets most others: an original rather than a copy.
@@ -393,11 +480,12 @@ def link(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rank = rank.select("region", (-F.col("top.back")).alias("pivot"))
     regions = stash(regions.join(rank, "region").select("region", "pivot", "doc_id"), "pivots")
     near = _distances(rows, stash(regions.where("pivot != doc_id").select("pivot", "doc_id").distinct(), "pairs"))
-    found = [sizes.where("same IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))]
-    found.append(near.where("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
+    found = sizes.where("same IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
+    found = found.unionByName(sizes.where("near IS NOT NULL").select(F.col("near").alias("a"), F.col("doc_id").alias("b")))
+    found = found.unionByName(near.where("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
     # A document that its region's pivot did not reach, not by way of others either, is compared
     # with those of the region that are of other components yet.
-    labels = components(found[1])
+    labels = components(found)
     known = regions.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     known = known.select("region", "pivot", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     d = near.select("pivot", "doc_id", "d").unionByName(near.select("pivot", F.col("pivot").alias("doc_id"), F.lit(0.0).alias("d")).distinct())
@@ -406,11 +494,7 @@ def link(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = known.join(mixed, "region", "left_semi")
     head = labels.select(F.col("id").alias("pivot"), F.col("label").alias("own"))
     known = known.join(head, "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
-    found.append(_cross_links(rows, known))
-    links = found[0]
-    for x in found[1:]:
-        links = links.unionByName(x)
-    return sizes.select("doc_id", "n"), links
+    return sizes.select("doc_id", "n"), found.unionByName(_cross_links(rows, known))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,8 +502,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     component_id is the smallest doc_id reachable by links. Texts without words (null, empty,
     white space) have no shingles and link with nothing. Rows of one doc_id are one node; a row
-    without doc_id links with nothing and has no component. Other columns are ignored; no rows
-    give no rows.
+    without doc_id links with nothing and has no component. Texts are taken whole, whatever their
+    length. Other columns are ignored; no rows give no rows.
     """
     sizes, links = link(id_and_text(docs, id_col, text_col))
     labels = components(links)
@@ -428,8 +512,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; columns as they were."""
+    """One row of each component, that of the smallest doc_id; columns as they were.
+
+    Of several rows of one doc_id one stays, chosen by a hash of all that it holds. Rows without
+    doc_id, and those whose text is null or without words, link with nothing and stay.
+    """
     _, links = link(id_and_text(docs))
     rest = components(links).where("id != label").select(F.col("id").alias("_other"))
     rest = stash(rest, "others")
-    return docs.join(rest, docs["doc_id"].cast("long") == F.col("_other"), "left_anti")
+    kept = docs.join(rest, docs["doc_id"].cast("long") == F.col("_other"), "left_anti")
+    again = docs.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1 AND _again IS NOT NULL").select("_again")
+    again = stash(again, "again")
+    if not again.limit(1).count():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = kept.join(again, kept["doc_id"] == F.col("_again"), "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+    return kept.join(again, kept["doc_id"] == F.col("_again"), "left_anti").unionByName(several.select("_row.*"))
