@@ -48,6 +48,11 @@ def test_plans():
     assert steps("郭靖是谁的徒弟") == [("MASTER_OF", "in")]
     assert steps("黄姑娘是谁") == []
     assert steps("A的师父的师父是谁") == [("MASTER_OF", "in")] * 2
+    assert steps("谁是谁的徒弟的岳父的岳父") == [("MASTER_OF", "in"), ("SPOUSE_OF", "both"), ("PARENT_OF", "in")]
+    assert steps("甲的师父的师父的师父的师父") == [("MASTER_OF", "in")] * 4
+    assert steps("甲为哪位的死对头") == [("ENEMY_OF", "both")] and steps("甲是哪个的太师父") == [("MASTER_OF", "out")]
+    assert steps("公孙子的父亲", [{"start": 0, "end": 3, "canonical": "公孙子"}]) == [("PARENT_OF", "in")]
+    assert S.plan_text(S.plan("甲的外公是谁")) == "PARENT_OF(in) -> PARENT_OF(in)" and S.plan_text([]) == "无关系步骤"
     people = [{"start": 5, "end": 7, "canonical": "黄蓉"}]
     assert S.plan("郭靖的妻子黄蓉的父亲是谁", people)[0]["target"] == "黄蓉"
 
@@ -79,6 +84,15 @@ def test_evidence_gate(spark):
     assert gate("ENEMY_OF", None, "甲乙同行。甲恨乙。") == (None, "甲恨乙。")
 
 
+def test_references(spark):
+    from weftgraph.operators.maintain import is_reference
+
+    for name in ("徒弟", "弟子", "岳父", "外公", "仇敌", "配偶", "义兄", "师祖", "甲之女", "郭靖的师父", "师父", "某", "婴儿", "干娘"):
+        assert one(spark, is_reference(F.col("a")), a=name), name
+    for name in ("郭靖", "弟子规", "黄药师"):
+        assert not one(spark, is_reference(F.col("a")), a=name), name
+
+
 def test_names_and_scope(spark):
     assert one(spark, T.normal_name(F.col("a")), a="欧阳氏锋前辈") == "欧阳锋"
     assert one(spark, T.strip_title(F.col("a")), a="大侠") == "大侠"

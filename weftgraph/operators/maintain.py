@@ -8,6 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.sequential import COMPOSITES, KEYWORDS
 from weftgraph.functions.text import is_noise
 from weftgraph.operators import align, store
 from weftgraph.schema import ART, ART_TYPES, BOOK_ERA
@@ -38,8 +39,10 @@ def top_k(value: object, default: int = 5, most: int = 50) -> int:
 
 
 def is_reference(name: Column) -> Column:
+    """Whether a name refers to someone by a relation, or is none at all, instead of naming a person."""
+    words = [word for word, *_ in (*KEYWORDS, *COMPOSITES)]
     ends = name.rlike("(?:" + "|".join(REFERENCE_ENDINGS) + ")$")
-    return is_noise(name) | name.contains("的") | ends | name.isin(*REFERENCES)
+    return is_noise(name) | name.contains("的") | ends | name.isin(*REFERENCES, *words)
 
 
 def checked_groups(groups: dict[str, tuple[str, list[str]]], labels: tuple[str, ...]) -> list[tuple[str, str, str]]:
