@@ -52,6 +52,9 @@ def test_merge_keeps_the_first_and_the_longest(spark):
 def test_alias_chains_and_cycles(spark):
     d = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("w", "x")], "alias string, canonical string")
     assert sorted(map(tuple, store.flatten_aliases(d).collect())) == [("a", "c", True), ("b", "c", False)]
+    long = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(40)], "alias string, canonical string")
+    assert {tuple(r) for r in store.flatten_aliases(long).collect()} == {(f"n{i:02}", "n40", i < 39) for i in range(40)}
+    assert store.flatten_aliases(d.where("false")).count() == 0
 
 
 def test_lines_within_budget(spark):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import maintain, service
+from weftgraph.operators import maintain, merge, service
 from weftgraph.schema import LABELS
 
 
@@ -63,11 +63,20 @@ def test_scopes():
 
 def test_groups_are_checked(spark):
     rows = maintain.checked_groups({"郭靖": ("人物", ["靖儿", "郭大侠"])}, LABELS)
-    nodes = spark.createDataFrame([("人物", "郭靖"), ("人物", "靖儿"), ("人物", "黄蓉")], "label string, name string")
-    edges = spark.createDataFrame([("SPOUSE_OF", "靖儿", "黄蓉"), ("SPOUSE_OF", "郭靖", "黄蓉"), ("ENEMY_OF", "靖儿", "郭靖")], "type string, src string, dst string")
-    n, e = maintain.merge_groups(nodes, edges, rows)
-    assert sorted(r["name"] for r in n.collect()) == ["郭靖", "黄蓉"]
-    assert [tuple(r) for r in e.collect()] == [("SPOUSE_OF", "郭靖", "黄蓉", 1, 1)]
+    nodes = spark.createDataFrame([("人物", "郭靖", "射雕", "短"), ("人物", "靖儿", "神雕", "长一些"), ("人物", "黄蓉", None, None), ("武功", "靖儿", None, None)], "label string, name string, era string, description string")
+    edges = spark.createDataFrame([("SPOUSE_OF", "人物", "靖儿", "人物", "黄蓉", ["c1"]), ("SPOUSE_OF", "人物", "郭靖", "人物", "黄蓉", ["c2"]), ("ENEMY_OF", "人物", "靖儿", "人物", "郭靖", []), ("MASTERS", "人物", "靖儿", "武功", "靖儿", ["c3"])],
+                                  "type string, src_label string, src string, dst_label string, dst string, chunk_ids array<string>")
+    n, e, report = merge.merge_groups(nodes, edges, rows)
+    named = {(r["label"], r["name"]): r for r in n.collect()}
+    assert set(named) == {("人物", "郭靖"), ("人物", "黄蓉"), ("武功", "靖儿")}
+    r = named["人物", "郭靖"]
+    assert (r["era"], r["eras"], r["description"], r["aliases"], r["first_seen_era"]) == ("射雕", ["神雕"], "长一些", ["靖儿"], "神雕")
+    assert {(r["type"], r["src"], r["dst"]): r["chunk_ids"] for r in e.collect()} == {("SPOUSE_OF", "郭靖", "黄蓉"): ["c2"], ("MASTERS", "郭靖", "靖儿"): ["c3"]}
+    assert [tuple(r) for r in report.collect()] == [("人物", "郭靖", 1, 1, 1, 1, 0)]
+    odd = edges.unionByName(spark.createDataFrame([("LOVES", "人物", "靖儿", "人物", "黄蓉", [])], edges.schema))
+    n, e, report = merge.merge_groups(nodes, odd, rows)
+    assert n.count() == 4 and e.count() == 5 and report.first()["errors"] == 1 and report.first()["merged"] == 0
+    assert {label for label, _ in merge.ALIAS_GROUPS.values()} <= set(LABELS) and len(maintain.checked_groups(merge.ALIAS_GROUPS, LABELS)) == 20
     for bad in ({"a": ("x", ["b"])}, {"a": ("人物", ["b"]), "c": ("人物", ["b"])}, {"a": ("人物", ["a"])}):
         with pytest.raises(ValueError):
             maintain.checked_groups(bad, LABELS)

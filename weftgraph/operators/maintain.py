@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.sequential import COMPOSITES, KEYWORDS
 from weftgraph.functions.text import is_noise
-from weftgraph.operators import align, store
+from weftgraph.operators import align
 from weftgraph.schema import ART, ART_TYPES, BOOK_ERA
 
 # Endings and words that refer to a relative or teacher instead of naming someone.
@@ -91,10 +91,19 @@ def decisions(nodes: DataFrame, aliases: DataFrame, with_similar: bool = False,
     return first.select("label", "alias", "d.canonical", "d.source")
 
 
-def add_descendants(edges: DataFrame, found: DataFrame) -> DataFrame:
-    """edges (type, src, dst) and confidence, with the new ancestor edges as inferred ones."""
-    new = found.where("reason IS NULL").select(F.lit("DESCENDANT_OF").alias("type"), F.col("ancestor").alias("src"), F.col("descendant").alias("dst"), F.lit("inferred").alias("confidence"))
-    return edges.unionByName(new.distinct().join(edges.select("type", "src", "dst"), ["type", "src", "dst"], "left_anti").select(*edges.columns))
+def add_descendants(edges: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (type, src, dst, confidence) with the new ancestor edges as inferred ones, and the counts.
+
+    found has ancestor, descendant and reason (null: the pair can become an edge). The counts are rows
+    status, n: created, skipped (there was such an edge) and pending (there is a reason against it).
+    """
+    keys = ["type", "src", "dst"]
+    pairs = found.select(F.lit("DESCENDANT_OF").alias("type"), F.col("ancestor").alias("src"), F.col("descendant").alias("dst"), "reason").distinct()
+    judged = pairs.join(edges.select(*keys).distinct().withColumn("had", F.lit(True)), keys, "left")
+    status = F.when(F.col("reason").isNotNull(), "pending").when(F.col("had"), "skipped").otherwise("created")
+    judged = judged.withColumn("status", status)
+    new = judged.where("status = 'created'").select(*keys, F.lit("inferred").alias("confidence"))
+    return edges.unionByName(new.select(*edges.columns)), judged.groupBy("status").agg(F.count("*").alias("n"))
 
 
 def ensure_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -116,14 +125,6 @@ def current_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("dataset_version").isNotNull())
 
 
-def merge_groups(nodes: DataFrame, edges: DataFrame, groups: list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame]:
-    """Both tables after merging groups (label, alias, canonical): names, and edges with counts."""
-    table = nodes.sparkSession.createDataFrame(groups, "label string, alias string, canonical string")
-    flat = store.flatten_aliases(table.select("alias", "canonical"))
-    named = nodes.join(flat.select(F.col("alias").alias("name"), "canonical"), "name", "left")
-    return named.select("label", F.coalesce("canonical", "name").alias("name")).distinct(), store.rewrite_edges(edges, flat)
-
-
 def wipe(spark: SparkSession, path: str, apply: bool = False, force: bool = False) -> bool:
     """Delete a stored table; only with both flags. Without them it reports whether there is one."""
     jvm = spark.sparkContext._jvm

@@ -9,16 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.graph import cut
+
 
 def first_seen(value: str) -> Column:
     """The first value that is neither null nor empty."""
     return F.min_by(value, F.when(F.col(value).isNotNull() & (F.col(value) != ""), F.col("ord")))
 
 
-def appended(value: str) -> Column:
-    """Distinct non-empty values in the order of first appearance."""
-    held = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull() & (F.col(value) != ""), F.struct(F.col("ord"), F.col(value).alias("v")))))
-    return F.array_distinct(F.transform(held, lambda x: x["v"]))
+def appended(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Per key the distinct non-empty values of rows, as an array in the order of first appearance.
+
+    Each value is reduced to its first row before the values of a key meet, so a key of very many
+    rows brings no more than its distinct values together.
+    """
+    first = rows.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys, value).agg(F.min("ord").alias("_o"))
+    held = F.array_sort(F.collect_list(F.struct("_o", F.col(value).alias("v"))))
+    return first.groupBy(*keys).agg(F.transform(held, lambda x: x["v"]).alias(name))
+
+
+def _with_appended(out: DataFrame, rows: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    for value, name in values.items():
+        out = out.join(appended(rows, keys, value, name), keys, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
 
 
 def merge_nodes(rows: DataFrame) -> DataFrame:
@@ -28,16 +41,24 @@ def merge_nodes(rows: DataFrame) -> DataFrame:
     one of equally long ones.
     """
     size = F.struct(F.length("description").alias("n"), (-F.col("ord")).alias("o"))
-    return rows.groupBy("label", "name").agg(
+    out = rows.groupBy("label", "name").agg(
         first_seen("era").alias("era"), first_seen("location").alias("location"), first_seen("art_type").alias("art_type"),
-        F.max_by("description", F.when(F.length("description") > 0, size)).alias("description"), appended("era").alias("eras"), appended("book").alias("books"),
+        F.max_by("description", F.when(F.length("description") > 0, size)).alias("description"),
     )
+    return _with_appended(out, rows, ["label", "name"], {"era": "eras", "book": "books"})
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
-    """rows (ord, type, src_label, src, dst_label, dst, chunk_id, snippet, era, book) merged by edge."""
-    return rows.groupBy("type", "src_label", "src", "dst_label", "dst").agg(
-        first_seen("chunk_id").alias("chunk_id"), appended("chunk_id").alias("chunk_ids"), appended("snippet").alias("snippets"), appended("era").alias("eras"), appended("book").alias("books"))
+    """rows (ord, type, src_label, src, dst_label, dst, chunk_id, snippet, era, book, and version if they have it) merged by edge."""
+    keys = ["type", "src_label", "src", "dst_label", "dst"]
+    out = rows.groupBy(*keys).agg(first_seen("chunk_id").alias("chunk_id"))
+    grow = {"chunk_id": "chunk_ids", "snippet": "snippets", "era": "eras", "book": "books", "version": "versions"}
+    return _with_appended(out, rows, keys, {value: name for value, name in grow.items() if value in rows.columns})
+
+
+def merge_mentions(rows: DataFrame) -> DataFrame:
+    """rows (chunk_id, label, name, or fewer of these) once each."""
+    return rows.distinct()
 
 
 def merge_chunks(rows: DataFrame) -> DataFrame:
@@ -53,21 +74,24 @@ def drop_nodes(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[Da
     return kept, edges.join(a, ["src_label", "src"], "left_anti").join(b, ["dst_label", "dst"], "left_anti")
 
 
-def flatten_aliases(decisions: DataFrame, hops: int = 8) -> DataFrame:
+def flatten_aliases(decisions: DataFrame) -> DataFrame:
     """alias, canonical, chained: chains of decisions (alias, canonical) followed to their end.
 
-    Doubling steps double the reach, so 2 ** rounds hops are followed; what is still mapped then
-    leads into a cycle and is dropped, as are decisions that end at themselves.
+    A step doubles the reach, and closes all that are within it of their end. When a step closes none,
+    those still open lead into a cycle; they are dropped. Of several decisions for an alias the
+    largest name holds; stats.conflicts() reports them.
     """
-    rounds = max(1, (hops - 1).bit_length()) + 1
-    rows = decisions.groupBy("alias").agg(F.max("canonical").alias("canonical"))
-    reach = rows
-    for _ in range(rounds):
+    rows = cut(decisions.groupBy("alias").agg(F.max("canonical").alias("canonical")))
+    keys = rows.select(F.col("alias").alias("canonical"))
+    reach, left = rows, rows.join(keys, "canonical", "left_semi").count()
+    while left:
         far = reach.select(F.col("alias").alias("canonical"), F.col("canonical").alias("far"))
-        reach = reach.join(far, "canonical", "left").select("alias", F.coalesce("far", "canonical").alias("canonical"))
-    open_ = rows.select(F.col("alias").alias("canonical"))
-    ends = reach.join(open_, "canonical", "left_anti").where("alias != canonical")
+        reach = cut(reach.join(far, "canonical", "left").select("alias", F.coalesce("far", "canonical").alias("canonical")))
+        before, left = left, reach.join(keys, "canonical", "left_semi").count()
+        if left == before:
+            break
     first = rows.select("alias", F.col("canonical").alias("said"))
+    ends = reach.join(keys, "canonical", "left_anti")
     return ends.join(first, "alias").select("alias", "canonical", (F.col("said") != F.col("canonical")).alias("chained"))
 
 

@@ -258,19 +258,20 @@ def chunk_upsert(spark, d):
 @query(f"SELECT chunk_id, name FROM ({_MENTIONS})")
 def mention_merge(spark, d):
     m = _mentions(spark, d)
-    return m.unionByName(m).distinct()
+    return store.merge_mentions(m.unionByName(m))
 
 
-_DECISIONS = "SELECT c_name AS alias, 'Customer#' || lpad((CASE WHEN c_custkey % 10 = 9 THEN c_custkey - 9 ELSE c_custkey + 1 END)::VARCHAR, 9, '0') AS canonical FROM customer WHERE c_custkey % 10 IN (5, 6, 7) OR (c_custkey % 100 >= 90 AND c_custkey % 2 = 0)"
+# Of fifty customers in a row the first 44 stand for the next one, three for each other in a ring, and one leads into that.
+_DECISIONS = "SELECT c_name AS alias, 'Customer#' || lpad((CASE c_custkey % 50 WHEN 47 THEN c_custkey - 2 WHEN 48 THEN c_custkey - 1 ELSE c_custkey + 1 END)::VARCHAR, 9, '0') AS canonical FROM customer WHERE c_custkey % 50 < 44 OR c_custkey % 50 IN (45, 46, 47, 48)"
 
 
 def _decisions(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 10 IN (5, 6, 7) OR (c_custkey % 100 >= 90 AND c_custkey % 2 = 0)")
-    to = F.expr("if(c_custkey % 10 = 9, c_custkey - 9, c_custkey + 1)")
+    c = table(spark, d, "customer").where("c_custkey % 50 < 44 OR c_custkey % 50 IN (45, 46, 47, 48)")
+    to = F.expr("CASE c_custkey % 50 WHEN 47 THEN c_custkey - 2 WHEN 48 THEN c_custkey - 1 ELSE c_custkey + 1 END")
     return c.select(F.col("c_name").alias("alias"), F.concat(F.lit("Customer#"), F.lpad(to.cast("string"), 9, "0")).alias("canonical"))
 
 
-_FLAT = f"m AS ({_DECISIONS}), walk(alias, canonical, k) AS (SELECT alias, canonical, 1 FROM m UNION ALL SELECT w.alias, m.canonical, k + 1 FROM walk w JOIN m ON m.alias = w.canonical WHERE k < 16), flat AS (SELECT w.alias, w.canonical, k > 1 AS chained FROM walk w WHERE w.canonical NOT IN (SELECT alias FROM m) AND w.alias <> w.canonical)"
+_FLAT = f"m AS ({_DECISIONS}), walk(alias, canonical, path) AS (SELECT alias, canonical, [alias] FROM m UNION ALL SELECT w.alias, m.canonical, list_append(path, m.alias) FROM walk w JOIN m ON m.alias = w.canonical WHERE NOT list_contains(path, m.alias)), flat AS (SELECT w.alias, w.canonical, len(path) > 1 AS chained FROM walk w WHERE w.canonical NOT IN (SELECT alias FROM m))"
 
 
 @query(f"WITH {_FLAT} SELECT alias, canonical, chained FROM flat")

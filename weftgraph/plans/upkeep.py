@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators import align, answer, maintain, service, stats, store
+from weftgraph.operators import align, answer, maintain, merge, service, stats, store
 from weftgraph.plans.projection import chunks, edges, nodes, table
 from weftgraph.plans.registry import query
 from weftgraph.schema import ART, PERSON, SECT
@@ -100,19 +100,67 @@ def ancestors_scanned(spark, d):
     return align.ancestors(_born(spark, d))
 
 
-@query("""SELECT 'DESCENDANT_OF' AS type, c_name AS src, 'x' AS dst, 'inferred' AS confidence FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT 'DESCENDANT_OF', c_name, 'x', 'extracted' FROM customer WHERE c_custkey % 4 = 0""", False)
-def descendants_added(spark, d):
+def _descent(spark, d):
     c = _c(spark, d)
+    said = lambda rows, reason: rows.select(F.col("c_name").alias("ancestor"), F.lit("x").alias("descendant"), F.lit(reason).cast("string").alias("reason"))
     kept = c.where("c_custkey % 4 = 0").select(F.lit("DESCENDANT_OF").alias("type"), F.col("c_name").alias("src"), F.lit("x").alias("dst"), F.lit("extracted").alias("confidence"))
-    found = c.where("c_custkey % 4 <= 1").select(F.col("c_name").alias("ancestor"), F.lit("x").alias("descendant"), F.lit("之子").alias("kind"), F.lit(None).cast("string").alias("reason"))
-    refused = c.where("c_custkey % 4 = 2").select(F.col("c_name").alias("ancestor"), F.lit("x").alias("descendant"), F.lit("之子").alias("kind"), F.lit("self").alias("reason"))
-    return maintain.add_descendants(kept, found.unionByName(found).unionByName(refused))
+    found = said(c.where("c_custkey % 4 <= 1"), None)
+    return maintain.add_descendants(kept, found.unionByName(found).unionByName(said(c.where("c_custkey % 4 = 2"), "self")))
+
+
+@query("""SELECT 'DESCENDANT_OF' AS type, c_name AS src, 'x' AS dst, 'inferred' AS confidence FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT 'DESCENDANT_OF', c_name, 'x', 'extracted' FROM customer WHERE c_custkey % 4 = 0""", False)
+def descendants_added(spark, d):
+    return _descent(spark, d)[0]
+
+
+@query("SELECT CASE c_custkey % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN 'created' ELSE 'pending' END AS status, count(*) AS n FROM customer WHERE c_custkey % 4 <= 2 GROUP BY 1", False)
+def descendants_counted(spark, d):
+    return _descent(spark, d)[1]
+
+
+# Merging: of ten customers in a row the third and fourth are names of the second, the sixth one of a person that is not there yet.
+
+_GROUPED = f"""m AS (SELECT '{PERSON}' AS label, c_name AS alias, CASE WHEN c_custkey % 10 IN (3, 4) THEN 'Customer#' || lpad((c_custkey - c_custkey % 10 + 2)::VARCHAR, 9, '0') ELSE 'new' || (c_custkey // 10) END AS canonical
+FROM customer WHERE c_custkey % 10 IN (3, 4, 6)),
+g AS (SELECT e.type, src_label, dst_label, coalesce(a.canonical, src) AS src, coalesce(b.canonical, dst) AS dst, a.canonical IS NOT NULL OR b.canonical IS NOT NULL AS moved, coalesce(a.canonical, b.canonical) AS canonical
+  FROM edges e LEFT JOIN m a ON a.label = src_label AND a.alias = src LEFT JOIN m b ON b.label = dst_label AND b.alias = dst WHERE e.type IN ('PARENT_OF', 'SPOUSE_OF', 'BELONGS_TO'))"""
 
 
-@query("SELECT c_custkey AS id, c_custkey % 4 IN (0, 1, 3) AS reference FROM customer", False)
+def _merged(spark, d):
+    c = _c(spark, d).where("c_custkey % 10 IN (3, 4, 6)")
+    second = F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") - F.col("c_custkey") % 10 + 2).cast("string"), 9, "0"))
+    to = F.when((F.col("c_custkey") % 10).isin(3, 4), second).otherwise(F.concat(F.lit("new"), F.expr("c_custkey div 10").cast("string")))
+    decisions = c.select(F.lit(PERSON).alias("label"), F.col("c_name").alias("alias"), to.alias("canonical"))
+    return merge.merge(nodes(spark, d), edges(spark, d, ("PARENT_OF", "SPOUSE_OF", "BELONGS_TO")), decisions)
+
+
+@query(f"""WITH {_GROUPED}, a AS (SELECT n.label, coalesce(m.canonical, n.name) AS name, n.name AS was, CASE WHEN m.canonical IS NULL THEN 0 ELSE 1 END AS rank, n.era FROM nodes n LEFT JOIN m ON m.label = n.label AND m.alias = n.name
+  UNION ALL SELECT '{PERSON}', 'new' || (c_custkey // 10), 'new' || (c_custkey // 10), 0, '未知' FROM customer WHERE c_custkey % 10 = 6)
+SELECT label, name, arg_min(era, (rank, was)) FILTER (WHERE era IS NOT NULL) AS era, coalesce(string_agg(was, ',' ORDER BY was) FILTER (WHERE rank = 1), '') AS aliases FROM a GROUP BY 1, 2""")
+def nodes_merged(spark, d):
+    return _merged(spark, d)[0].select("label", "name", "era", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), ",").alias("aliases"))
+
+
+@query(f"WITH {_GROUPED} SELECT DISTINCT type, src_label, src, dst_label, dst FROM g WHERE NOT (moved AND src_label = dst_label AND src = dst)")
+def edges_merged(spark, d):
+    return _merged(spark, d)[1].select("type", "src_label", "src", "dst_label", "dst")
+
+
+@query(f"""WITH {_GROUPED}, k AS (SELECT type, src_label, src, dst_label, dst, bool_or(NOT moved) AS had, count(*) FILTER (WHERE moved) AS n, min(canonical) AS canonical FROM g WHERE NOT (moved AND src_label = dst_label AND src = dst) GROUP BY 1, 2, 3, 4, 5 HAVING n > 0),
+s AS (SELECT sum(CASE WHEN had THEN 0 ELSE 1 END)::BIGINT AS created_edges, sum(n - CASE WHEN had THEN 0 ELSE 1 END)::BIGINT AS skipped_edges FROM k)
+SELECT (SELECT count(*) FROM m) AS merged, created_edges, skipped_edges, (SELECT count(*) FROM g WHERE moved AND src_label = dst_label AND src = dst) AS dropped_edges, 0::BIGINT AS errors FROM s""")
+def merge_report(spark, d):
+    return _merged(spark, d)[2].agg(*[F.sum(c).alias(c) for c in ("merged", "created_edges", "skipped_edges", "dropped_edges", "errors")])
+
+
+#: Names and whether they refer to someone instead of naming a person.
+_CALLED = (("师父", True), ("徒弟", True), ("弟子", True), ("岳父", True), ("外公", True), ("仇敌", True), ("配偶", True), ("义兄", True), ("婴儿", True), ("某", True), ("黄药师", False), ("弟子规", False))
+
+
+@query(f"SELECT c_custkey AS id, CASE c_custkey % 16 " + " ".join(f"WHEN {k} THEN {r}" for k, (_, r) in enumerate(_CALLED)) + " WHEN 12 THEN true WHEN 13 THEN true ELSE false END AS reference FROM customer", False)
 def person_references(spark, d):
-    k = F.col("c_custkey") % 4
-    name = F.when(k == 0, F.concat("c_name", F.lit("之女"))).when(k == 1, F.concat(F.lit("某人的"), F.col("c_name"))).when(k == 2, F.col("c_name")).otherwise("师父")
+    k = F.col("c_custkey") % 16
+    name = F.coalesce(*[F.when(k == i, n) for i, (n, _) in enumerate(_CALLED)], F.when(k == 12, F.concat("c_name", F.lit("之女"))), F.when(k == 13, F.concat(F.lit("某人的"), F.col("c_name"))), F.col("c_name"))
     return _c(spark, d).select(F.col("c_custkey").alias("id"), maintain.is_reference(name).alias("reference"))
 
 
