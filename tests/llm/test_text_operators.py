@@ -111,6 +111,15 @@ def test_jaccard_equals_brute_force(spark, docs, texts, monkeypatch, pivots):
     assert kept.where("doc_id IS NULL").count() == 1
 
 
+def test_blocks_do_not_change_words(monkeypatch):
+    rng = random.Random(33)
+    texts = ["".join(rng.choice("aB é\t\n日") for _ in range(rng.randrange(200))) for _ in range(60)] + ["x" * 90 + " y" * 3, " ", ""]
+    want = [jaccard_join._words(t).tolist() for t in texts]
+    assert all(len(w) == len([x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]) for t, w in zip(texts, want, strict=True))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    assert [jaccard_join._words(t).tolist() for t in texts] == want
+
+
 def test_voronoi_regions():
     """Of two sets that link both are in a region, and one of them is in its core, or both are in the empty set's."""
     rng = random.Random(14)

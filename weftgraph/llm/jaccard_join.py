@@ -34,7 +34,7 @@ The order of shingles and the choice of pivots decide the cost only, never the l
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -64,50 +64,85 @@ SPREAD = 512
 #: which they are broadcast; the texts then stay where they are, or only those wanted move.
 BROADCAST_ENTRIES, BROADCAST_IDS = 500_000, 1_000_000
 
-_WORD_CACHE = 80_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
+#: Bytes of a text that are hashed at a time, about.
+BLOCK = 1 << 20
+
+#: A pair is compared by the shingles below this first, a quarter of all, and wholly if it can still link.
+PART = np.uint64(1 << 62)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _Q
     return x ^ (x >> np.uint64(29))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _WordHashes()
-
-
-def _forget() -> None:
-    """At a task's end: a worker lives on, and other operators need its memory."""
-    _words.clear()
-    give_back()
+@cache
+def _bytes() -> tuple[np.ndarray, np.ndarray]:
+    """Random numbers of bytes, ASCII letters of either case alike, and which bytes are white space."""
+    value = np.random.default_rng(10).integers(0, 1 << 64, 256, np.uint64)
+    value[65:91] = value[97:123]
+    return value, np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _words(text: str) -> np.ndarray:
+    """A hash of each word of a text: its bytes' numbers, each times a number of its place in the word."""
+    value, white = _bytes()
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        end = at + BLOCK  # up to the last white space of the block, or the first one behind it
+        while end < len(raw) and not (gaps := np.flatnonzero(white[raw[at:end]])).size:
+            end += BLOCK
+        end = len(raw) if end >= len(raw) else at + int(gaps[-1]) + 1
+        part = raw[at:end]
+        at = end
+        solid = np.flatnonzero(~white[part])
+        if len(solid):
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(solid) > 1]))
+            sizes = np.diff(np.append(starts, len(solid)))
+            place = np.arange(len(solid)) - np.repeat(starts, sizes)
+            sums = np.add.reduceat(value[part[solid]] * (_mix(place.astype(np.uint64) * _P + _Q) | np.uint64(1)), starts)
+            out.append(_mix(sums * _P + sizes.astype(np.uint64)))
+    return np.concatenate(out)
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    h = _words(text)
+    if not len(h):
+        return h
     n = max(1, len(h) - words + 1)
     out = np.full(n, min(words, len(h)), np.uint64)
     for i in range(min(words, len(h))):
         out = (out * _P) + h[i : i + n]
-    return np.unique(_mix(out))
+    out = np.sort(_mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def keys_of(found: np.ndarray, last: np.ndarray) -> np.ndarray:
+class Lookup:
+    """Where hashes are in a sorted array of some; a table of their low bits spares most searches."""
+
+    def __init__(self, names: np.ndarray):
+        self.names, self.mask = names, np.uint64((1 << 22) - 1)
+        self.table = np.zeros(1 << 22, bool)
+        self.table[names & self.mask] = True
+
+    def find(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in found of those that are there, and their places in names."""
+        maybe = np.flatnonzero(self.table[found & self.mask])
+        at = np.searchsorted(self.names, found[maybe])
+        at = np.minimum(at, max(0, len(self.names) - 1))
+        held = self.names[at] == found[maybe] if len(self.names) else np.zeros(0, bool)
+        return maybe[held], at[held]
+
+
+def keys_of(found: np.ndarray, last: Lookup) -> np.ndarray:
     """The shingles that open regions for a set; last are the sorted frequent ones."""
     n = len(found)
-    at = np.minimum(np.searchsorted(last, found), max(0, len(last) - 1))
-    frequent = last[at] == found if len(last) else np.zeros(n, bool)
+    frequent = np.zeros(n, bool)
+    frequent[last.find(found)[0]] = True
     ordered = np.concatenate([found[~frequent], found[frequent]])
     return ordered[: n + 1 - -(-n * PERCENT // 100)]
 
@@ -139,19 +174,17 @@ class Pivots:
         owner = np.repeat(np.arange(len(kept)), self.sizes)
         flat = np.concatenate([np.zeros(0, np.uint64), *(drawn[k][1] for k in kept)])
         order = np.argsort(flat, kind="stable")
-        self.names, begin = np.unique(flat[order], return_index=True)
-        self.begin, self.owner = np.append(begin, len(flat)), owner[order]
+        names, begin = np.unique(flat[order], return_index=True)
+        self.lookup, self.begin, self.owner = Lookup(names), np.append(begin, len(flat)), owner[order]
 
     def regions(self, found: np.ndarray) -> tuple[np.ndarray, int]:
         """Regions of a set, -1 being the empty set's, and the pivot it is linked with, or -1."""
         none = np.array([-1])
-        if not len(self.names):
-            return none, -1
-        at = np.minimum(np.searchsorted(self.names, found), len(self.names) - 1)
-        at = at[self.names[at] == found]
+        at = self.lookup.find(found)[1]
         if not len(at):
             return none, -1
-        common = np.bincount(np.concatenate([self.owner[self.begin[i] : self.begin[i + 1]] for i in at]), minlength=len(self.ids))
+        owners = [self.owner[a:b] for a, b in zip(self.begin[at].tolist(), self.begin[at + 1].tolist(), strict=True)]
+        common = np.bincount(np.concatenate(owners), minlength=len(self.ids))
         total = len(found) + self.sizes - common
         d = 1 - common / total
         nearest = int(d.argmin())
@@ -161,7 +194,7 @@ class Pivots:
         return window if core else np.append(window, -1), nearest if linked else -1
 
 
-def _survey(rows: DataFrame) -> tuple[np.ndarray, Pivots]:
+def _survey(rows: DataFrame) -> tuple[Lookup, Pivots]:
     """The sorted shingles that most of all documents have, and the pivots; one pass over the texts."""
     below = int(min(1.0, PIVOTS / max(1, rows.count())) * (1 << 63))
 
@@ -176,14 +209,14 @@ def _survey(rows: DataFrame) -> tuple[np.ndarray, Pivots]:
             drawn = [(doc, None, x.tobytes()) for doc, x in sets if doc is not None and 0 < len(x) <= PIVOT_SIZE and _draw(doc) < below]
             if drawn:
                 yield _batch(drawn, schema)
-        _forget()
+        give_back()
 
     seen = stash(rows.mapInArrow(run, "shingle long, n long, found binary"), "survey")
     counts = seen.where("found IS NULL").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = counts.orderBy(F.desc("n"), "shingle").limit(LAST).collect()
     drawn = seen.where("found IS NOT NULL").dropDuplicates(["shingle"]).orderBy("shingle").limit(2 * PIVOTS).collect()  # about PIVOTS
     drawn = sorted(drawn, key=lambda r: _draw(r["shingle"]))
-    return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64)), Pivots([(r["shingle"], np.frombuffer(r["found"], np.uint64)) for r in drawn])
+    return Lookup(np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))), Pivots([(r["shingle"], np.frombuffer(r["found"], np.uint64)) for r in drawn])
 
 
 def _draw(doc: int) -> int:
@@ -191,7 +224,7 @@ def _draw(doc: int) -> int:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], parts: int, shared) -> Iterator[pa.RecordBatch]:
-    """Keys of each batch as one row per part; of each document its size, its equal and its pivot."""
+    """Keys of each batch as one row per part; of each document its size, its equal and its pivot, in a part of its own kind."""
     last, pivots = shared.value
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("near", pa.int64()),
                         ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("labels", pa.binary())])
@@ -221,7 +254,7 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, shared) -> Iterator[pa.
                 counts.append(np.full(len(k), len(found), np.int32))
                 labels.append(np.full(len(k), pivot, np.int32))
         none = [None] * len(ids)
-        cells = (none, ids, sizes, same, near, none, none, none, none)
+        cells = ([-1 - (doc or 0) % parts for doc in ids], ids, sizes, same, near, none, none, none, none)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cells, schema, strict=True)], schema=schema)
         if keys:
             columns = [np.concatenate(x) for x in (keys, owners, counts, labels)]
@@ -234,17 +267,26 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, shared) -> Iterator[pa.
             cells = [[x[a:b].tobytes() for a, b in cuts] for x in (x[order] for x in columns)]
             none = [None] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((found, none, none, none, none, *cells), schema, strict=True)], schema=schema)
-    _forget()
+    give_back()
+
+
+_FOUND = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("members", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("near", pa.int64())])
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of all regions: region, doc_id, members, once for equal windows of a part.
+    """Documents (without a region) as they came, and windows of all regions, once for equal windows of a part.
 
     Rows come sorted by part, and one part is in memory at a time.
     """
     part, cells = None, [[], [], [], []]
     for batch in batches:
-        for at, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        parts = batch.column(0).to_numpy()
+        docs = batch.slice(0, int(np.searchsorted(parts, 0)))  # parts of documents are negative
+        if len(docs):
+            none = pa.nulls(len(docs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, docs.column(1), none, docs.column(2), docs.column(3), docs.column(4)], schema=_FOUND)
+        rest = batch.slice(len(docs))
+        for at, *row in zip(*(rest.column(i).to_pylist() for i in (0, 5, 6, 7, 8)), strict=True):
             if at != part and cells[0]:
                 yield from _windows(cells)
                 cells = [[], [], [], []]
@@ -256,6 +298,12 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _window_rows(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+    region, docs, members = (pa.array(np.concatenate(x)) for x in out)
+    none = pa.nulls(len(region), pa.int64())
+    return pa.RecordBatch.from_arrays([region, docs, members, none, none, none], schema=_FOUND)
+
+
 def _windows(cells: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     keys, ids, sizes, labels = (np.concatenate(x) for x in cells)
     order = np.argsort(keys, kind="stable")
@@ -290,29 +338,31 @@ def _windows(cells: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
                 rows += len(inside)
             at = stop
         if rows > 500_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["region", "doc_id", "members"])
+            yield _window_rows(out)
             out, rows = [[], [], []], 0
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["region", "doc_id", "members"])
+        yield _window_rows(out)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each document, once for each group of comparisons that it is wanted in."""
-    schema = pa.schema([("pivot", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("first", pa.bool_()), ("label", pa.int64()), ("d", pa.float64()), ("found", pa.binary())])
+def _sets(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """The set of each document, or its shingles below PART, once for each group of comparisons that it is wanted in."""
+    schema = pa.schema([("pivot", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("first", pa.bool_()), ("label", pa.int64()),
+                        ("lo", pa.float64()), ("hi", pa.float64()), ("n", pa.int64()), ("found", pa.binary())])
     for batch in batches:
         rows: list[tuple] = []
         size = 0
         for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            found = shingles(text.as_py()).tobytes()
+            found = shingles(text.as_py())
+            data = (found if whole else found[: np.searchsorted(found, PART)]).tobytes()
             for w in wanted:
-                rows.append((w["pivot"], w["salt"], doc, w["first"], w["label"], w["d"], found))
-                size += len(found)
+                rows.append((w["pivot"], w["salt"], doc, w["first"], w["label"], w["lo"], w["hi"], len(found), data))
+                size += len(data) + 100
                 if size > 1 << 24:
                     yield _batch(rows, schema)
                     rows, size = [], 0
         if rows:
             yield _batch(rows, schema)
-    _forget()
+    give_back()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -321,36 +371,39 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of groups, pivots first: common and all shingles of each pair."""
-    schema = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
+    """Sorted rows of groups, pivots first: of each pair the least and the most that it can have in common, and both sizes.
+
+    Common are those of the shingles sent, and at most as many of the others as the set with fewer of these has.
+    """
+    schema = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("sizes", pa.int64())])
     group, pivots = None, []
     for batch in batches:
         rows = []
-        for pivot, salt, doc, is_pivot, _, _, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for pivot, salt, doc, is_pivot, _, _, _, n, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group != (pivot, salt):
                 group, pivots = (pivot, salt), []
             found = np.frombuffer(found, np.uint64)
             if is_pivot:
-                pivots.append(found)
+                pivots.append((n, found))
                 continue
-            for p in pivots:
+            for m, p in pivots:
                 common = len(np.intersect1d(p, found, assume_unique=True))
-                rows.append((pivot, doc, common, len(p) + len(found) - common))
+                rows.append((pivot, doc, common, common + min(m - len(p), n - len(found)), n + m))
         if rows:
             yield _batch(rows, schema)
 
 
 def _linked(far: list[tuple], others: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Links of one block: (doc_id, label, d, set) of those far from the pivot and of the others.
+    """Links of one block: (doc_id, label, lo, hi, set) of those far from the pivot and of the others, lo and hi bounding the distance to it.
 
     Of the links of a document with those of one component one is given.
     """
-    universe = np.unique(np.concatenate([x[3] for x in far]))
+    universe = np.unique(np.concatenate([x[4] for x in far]))
     common = np.zeros((len(far), len(others)), np.float32)
 
     def places(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate([x[3] for x in rows])
-        row = np.repeat(np.arange(len(rows)), [len(x[3]) for x in rows])
+        flat = np.concatenate([x[4] for x in rows])
+        row = np.repeat(np.arange(len(rows)), [len(x[4]) for x in rows])
         at = np.minimum(np.searchsorted(universe, flat), len(universe) - 1)
         held = universe[at] == flat
         return row[held], at[held]
@@ -364,11 +417,11 @@ def _linked(far: list[tuple], others: list[tuple]) -> Iterator[tuple[int, int]]:
         pick = (gc >= begin) & (gc < begin + 8192)
         b[gr[pick], gc[pick] - begin] = 1
         common += a @ b.T  # whole numbers below 2 ** 24: exact
-    n, m = (np.array([len(x[3]) for x in rows], np.float64) for rows in (far, others))
+    n, m = (np.array([len(x[4]) for x in rows], np.float64) for rows in (far, others))
     same = common.astype(np.float64)
     near = 100 * same >= PERCENT * (n[:, None] + m[None, :] - same)
-    dx, dy = (np.array([x[2] for x in rows]) for rows in (far, others))
-    near &= np.abs(dx[:, None] - dy[None, :]) <= RADIUS + 1e-9
+    (lx, hx), (ly, hy) = (np.array([x[2:4] for x in rows]).T for rows in (far, others))
+    near &= np.maximum(lx[:, None] - hy[None, :], ly[None, :] - hx[:, None]) <= RADIUS + _EPS
     labels = np.array([x[1] for x in others])
     for i, x in enumerate(far):
         hits = np.flatnonzero(near[i] & (labels != x[1]))
@@ -382,58 +435,70 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, far, others = None, [], []
     for batch in batches:
         out: list[tuple] = []
-        for pivot, salt, doc, first, label, d, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for pivot, salt, doc, first, label, lo, hi, _, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if block != (pivot, salt):
                 if far and others:
                     out += _linked(far, others)
                 block, far, others = (pivot, salt), [], []
-            (far if first else others).append((doc, label, d, np.frombuffer(found, np.uint64)))
+            (far if first else others).append((doc, label, lo, hi, np.frombuffer(found, np.uint64)))
         if out:
             yield _batch(out, schema)
     if far and others and (out := list(_linked(far, others))):
         yield _batch(out, schema)
 
 
-_GROUPS = "pivot long, salt int, doc_id long, first boolean, label long, d double, found binary"
+_GROUPS = "pivot long, salt int, doc_id long, first boolean, label long, lo double, hi double, n long, found binary"
 
 
-def _grouped_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _grouped_sets(rows: DataFrame, wanted: DataFrame, whole: bool = True) -> DataFrame:
     """Sets of documents by group (pivot, salt), sorted, from the whole texts.
 
-    wanted has doc_id, pivot, salt, first, label, d: the groups that a document goes to.
+    wanted has doc_id, pivot, salt, first, label, lo, hi: the groups that a document goes to.
     """
-    lists = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("pivot", "salt", "first", "label", "d")).alias("wanted"))
+    lists = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("pivot", "salt", "first", "label", "lo", "hi")).alias("wanted"))
     lists = stash(lists, "wanted")
     ids, entries = lists.agg(F.count("*"), F.sum(F.size("wanted"))).first()
     if (entries or 0) <= BROADCAST_ENTRIES:  # then no text is shuffled
         lists = F.broadcast(lists)
     elif ids <= BROADCAST_IDS:  # then no other text is shuffled; beyond that all are
         rows = rows.join(F.broadcast(lists.select("_doc")), rows["doc_id"] == F.col("_doc"), "left_semi")
-    sets = rows.join(lists, rows["doc_id"] == lists["_doc"]).select("doc_id", "text", "wanted").mapInArrow(_sets, _GROUPS)
+    sets = rows.join(lists, rows["doc_id"] == lists["_doc"]).select("doc_id", "text", "wanted").mapInArrow(partial(_sets, whole=whole), _GROUPS)
     return sets.repartition(partitions(rows.sparkSession), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("first"))
 
 
-def _distances(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pivot, doc_id, d (distance) and linked of each pair of a pivot and a document.
+def _compared(rows: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
+    """pivot, doc_id, lo, hi (bounds of the distance) and may (whether the pair can link) of pairs of a pivot and a document.
 
     A pivot's documents are spread over groups of about SPREAD, each of which gets its set.
     """
     spread = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
-    extra = [F.lit(0).cast("long").alias("label"), F.lit(0.0).alias("d")]
+    extra = [F.lit(0).cast("long").alias("label"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")]
     members = pairs.join(spread, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("first"), *extra)
     pivots = spread.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("first"), *extra)
-    out = _grouped_sets(rows, members.unionByName(pivots)).mapInArrow(_compare, "pivot long, doc_id long, common long, total long")
-    out = out.groupBy("pivot", "doc_id").agg(F.min(1 - F.col("common") / F.col("total")).alias("d"), F.max(100 * F.col("common") >= PERCENT * F.col("total")).alias("linked"))
-    return stash(out, "distances")
+    out = _grouped_sets(rows, members.unionByName(pivots), whole).mapInArrow(_compare, "pivot long, doc_id long, least long, most long, sizes long")
+    distance = lambda common: 1 - common / (F.col("sizes") - common)
+    may = 100 * F.col("most") >= PERCENT * (F.col("sizes") - F.col("most"))
+    return out.groupBy("pivot", "doc_id").agg(F.min(distance(F.col("most"))).alias("lo"), F.max(distance(F.col("least"))).alias("hi"), F.max(may).alias("may"))
+
+
+def _distances(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pivot, doc_id, lo, hi (bounds of the distance, equal where it was worth knowing) and linked of each pair.
+
+    All pairs are compared by a quarter of their shingles, and those that can link by all of them.
+    """
+    some = stash(_compared(rows, pairs, False), "bounds")
+    sure = stash(_compared(rows, some.where("may").select("pivot", "doc_id"), True), "distances")
+    rest = some.where("NOT may").select("pivot", "doc_id", "lo", "hi", F.lit(False).alias("linked"))
+    return rest.unionByName(sure.select("pivot", "doc_id", "lo", "hi", F.col("may").alias("linked")))
 
 
 def _cross_links(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Links of documents far from their pivot with others of their regions.
 
-    known has pivot, doc_id, label, d and own, the pivot's label. Far documents and others are cut
+    known has pivot, doc_id, label, lo, hi and own, the pivot's label. Far documents and others are cut
     into blocks of about SPREAD, and each two blocks of a pivot meet once.
     """
-    known = stash(known.select("pivot", "doc_id", "label", "d", "own").distinct(), "known")
+    known = stash(known.select("pivot", "doc_id", "label", "lo", "hi", "own").distinct(), "known")
     far = known.where("label != own AND pivot != doc_id")
     others = known.where("pivot != doc_id").join(far.select("pivot").distinct(), "pivot", "left_semi")
     size = lambda t, n: t.groupBy("pivot").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias(n))
@@ -442,7 +507,7 @@ def _cross_links(rows: DataFrame, known: DataFrame) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = far.join(sizes, "pivot").withColumn("i", block("f")).withColumn("j", every("m")).withColumn("first", F.lit(True))
     b = others.join(sizes, "pivot").withColumn("j", block("m")).withColumn("i", every("f")).withColumn("first", F.lit(False))
-    wanted = a.unionByName(b).select("doc_id", "pivot", (F.col("i") * F.col("m") + F.col("j")).alias("salt"), "first", "label", "d")
+    wanted = a.unionByName(b).select("doc_id", "pivot", (F.col("i") * F.col("m") + F.col("j")).alias("salt"), "first", "label", "lo", "hi")
     return stash(_grouped_sets(rows, wanted).mapInArrow(_blocks, "a long, b long"), "cross")
 
 
@@ -469,10 +534,10 @@ def link(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = spark.sparkContext.broadcast(_survey(rows))
     parts = 4 * partitions(spark)
     dealt = rows.mapInArrow(partial(_deal, parts=parts, shared=shared), "part int, doc_id long, n long, same long, near long, keys binary, ids binary, sizes binary, labels binary")
-    dealt = stash(dealt, "keys")
-    sizes = dealt.where("part IS NULL").select("doc_id", "n", "same", "near")
-    regions = dealt.where("part IS NOT NULL").select("part", "keys", "ids", "sizes", "labels").repartition(partitions(spark), "part").sortWithinPartitions("part")
-    regions = regions.mapInArrow(_regions, "region long, doc_id long, members long").dropDuplicates(["region", "doc_id"])
+    dealt = dealt.repartition(partitions(spark), "part").sortWithinPartitions("part")
+    met = stash(dealt.mapInArrow(_regions, "region long, doc_id long, members long, n long, same long, near long"), "met")
+    sizes = met.where("region IS NULL").select("doc_id", "n", "same", "near")
+    regions = met.where("region IS NOT NULL").select("region", "doc_id", "members").dropDuplicates(["region", "doc_id"])
     regions = stash(regions, "regions")
     # The pivot of a region is the document that meets most others: an original rather than a copy.
     rank = regions.groupBy("doc_id").agg(F.sum("members").alias("met"))
@@ -488,7 +553,7 @@ def link(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = components(found)
     known = regions.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     known = known.select("region", "pivot", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    d = near.select("pivot", "doc_id", "d").unionByName(near.select("pivot", F.col("pivot").alias("doc_id"), F.lit(0.0).alias("d")).distinct())
+    d = near.select("pivot", "doc_id", "lo", "hi").unionByName(near.select("pivot", F.col("pivot").alias("doc_id"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")).distinct())
     known = known.join(d, ["pivot", "doc_id"])
     mixed = known.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("region")
     known = known.join(mixed, "region", "left_semi")
