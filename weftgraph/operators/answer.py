@@ -101,8 +101,8 @@ def art_lineage(edges: DataFrame, art: str, what: str = "lineage", k: int = 5) -
         rows = edges.where((F.col("type") == "BRANCHED_FROM") & (F.col("src") == art)).select("src", "dst")
     else:
         rows = match.members(edges, "MASTERS", art).select(F.col("name").alias("src"), F.lit(art).alias("dst"))
-        passed = match.lineage(edges).where(F.col("art") == art).select(F.col("master").alias("src"), F.col("disciple").alias("dst"))
         if what == "lineage":
+            passed = match.lineage(edges, art).select(F.col("master").alias("src"), F.col("disciple").alias("dst"))
             rows = passed if passed.limit(1).count() else rows
     return rows.orderBy("src", "dst").limit(k)
 

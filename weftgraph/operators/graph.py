@@ -9,17 +9,24 @@ from __future__ import annotations
 import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without lineage, by a reliable checkpoint."""
+    """df without lineage, by a reliable checkpoint in the folder that the session names.
+
+    Executors of a cluster share no folder of their own, so only a local session may go without.
+    """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="weft-checkpoint-"))
+        if not where:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            where = "file://" + tempfile.mkdtemp(prefix="weft-checkpoint-")
+        context.setCheckpointDir(where)
     return df.checkpoint()
 
 
@@ -29,16 +36,34 @@ def undirected(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def degree_centrality(names: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, degree (distinct neighbours) and centrality of all names, isolated ones too."""
+def adjacency(names: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
+    """name, other and the edge (src, type, dst) from each of its ends, a self-loop once.
+
+    Several edges between two names are several rows; edges to names that there are not go.
+    """
+    known = names.select("name").distinct()
+    kept = edges.join(known.withColumnRenamed("name", "src"), "src", "left_semi").join(known.withColumnRenamed("name", "dst"), "dst", "left_semi")
+    out = kept.select(F.col("src").alias("name"), F.col("dst").alias("other"), "src", "type", "dst")
+    back = kept.where("src != dst").select(F.col("dst").alias("name"), F.col("src").alias("other"), "src", "type", "dst")
+    return out if directed else out.unionByName(back)
+
+
+def degree_centrality(names: DataFrame, edges: DataFrame, top_k: int | None = None) -> DataFrame:
+    """name, degree (distinct neighbours) and centrality of all names, isolated ones too, or of the first top_k.
+
+    Names travel as 64-bit hashes.
+    """
     n = names.count()
-    degrees = undirected(edges).groupBy(F.col("a").alias("name")).agg(F.count("*").alias("degree"))
-    out = names.join(degrees, "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
-    return out.withColumn("centrality", F.round(F.col("degree") / max(n - 1, 1), 6))
+    ends = edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
+    near = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degrees = near.groupBy("a").agg(F.count("*").alias("degree"))
+    out = names.withColumn("a", F.xxhash64("name")).join(degrees, "a", "left").drop("a").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
+    out = out.withColumn("centrality", F.round(F.col("degree") / max(n - 1, 1), 6))
+    return out if top_k is None else out.orderBy(F.desc("centrality"), "name").limit(max(top_k, 0))
 
 
-def pagerank(names: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-8) -> DataFrame:
-    """name, rank; stops after so many rounds or when ranks move by less than the tolerance."""
+def pagerank(names: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-8, top_k: int | None = None) -> DataFrame:
+    """name, rank of all or of the first top_k; stops after so many rounds or when ranks move by less than the tolerance."""
     n = names.count()
     if not n:
         return names.select("name", F.lit(0.0).alias("rank"))
@@ -57,7 +82,14 @@ def pagerank(names: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         ranks = new.drop("old")
         if tolerance is not None and moved < tolerance:
             break
-    return ranks.select("name", F.round("rank", 8).alias("rank"))
+    ranks = ranks.select("name", F.round("rank", 8).alias("rank"))
+    return ranks if top_k is None else ranks.orderBy(F.desc("rank"), "name").limit(max(top_k, 0))
+
+
+def top_degrees(edges: DataFrame, k: int = 20) -> DataFrame:
+    """The k names with most edges, every edge counting at both its ends."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("name"))
+    return ends.groupBy("name").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "name").limit(k)
 
 
 def bfs(edges: DataFrame, source: str, max_hops: int, target: str | None = None) -> DataFrame:
@@ -139,3 +171,17 @@ def label_propagation(names: DataFrame, edges: DataFrame, rounds: int = 5) -> Da
         won = votes.groupBy(F.col("a").alias("name")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("w"))
         labels = cut(labels.join(won, "name", "left").select("name", F.coalesce("w.label", "label").alias("label")))
     return labels
+
+
+def analyze(names: DataFrame, edges: DataFrame, top_k: int = 10) -> DataFrame:
+    """One table of what is central: kind (degree, pagerank, community), name, value, rank.
+
+    Of degree and PageRank the first top_k; of communities every name with its number, members in
+    the order of their names.
+    """
+    degree = degree_centrality(names, edges, top_k).select(F.lit("degree").alias("kind"), "name", F.col("centrality").alias("value"))
+    rank = pagerank(names, edges, top_k=top_k).select(F.lit("pagerank").alias("kind"), "name", F.col("rank").alias("value"))
+    group = louvain(edges).select(F.lit("community").alias("kind"), "name", F.col("community").cast("double").alias("value"))
+    order = Window.partitionBy("kind").orderBy(F.desc("value"), "name")
+    inside = Window.partitionBy("kind", "value").orderBy("name")
+    return degree.unionByName(rank).withColumn("rank", F.row_number().over(order)).unionByName(group.withColumn("rank", F.row_number().over(inside)))

@@ -10,10 +10,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.schema import ART, SECT
 
-def optional_in(column: Column, values: list[str] | None) -> Column:
-    """A filter that a missing parameter leaves out."""
-    return F.lit(True) if values is None else column.isin(*values)
+
+def in_eras(eras: list[str]) -> Column:
+    """Whether a node belongs to one of the eras: by its list of eras, or by its only one where it has no list."""
+    return F.arrays_overlap(F.coalesce(F.col("eras"), F.array("era")), F.array(*map(F.lit, eras)))
+
+
+def _with_eras(nodes: DataFrame) -> DataFrame:
+    return nodes if "eras" in nodes.columns else nodes.withColumn("eras", F.lit(None).cast("array<string>"))
 
 
 def scoped_edges(nodes: DataFrame, edges: DataFrame, eras: list[str] | None) -> DataFrame:
@@ -27,11 +33,14 @@ def scoped_edges(nodes: DataFrame, edges: DataFrame, eras: list[str] | None) ->
 
 
 def neighbours_any_era(nodes: DataFrame, edges: DataFrame, name: str, era: str | None) -> DataFrame:
-    """Edges at a node in their true direction; with an era, one endpoint at least is in it."""
+    """Edges at a node in their true direction; with an era, one endpoint at least is in it.
+
+    A node of several eras (eras) is in each of them; one without that list is in its era alone.
+    """
     near = edges.where((F.col("src") == name) | (F.col("dst") == name))
     if era is None:
         return near
-    at = nodes.where(F.col("era") == era).select("label", "name", F.lit(True).alias("in"))
+    at = _with_eras(nodes).where(in_eras([era])).select("label", "name", F.lit(True).alias("in")).distinct()
     near = near.join(at.select(F.col("label").alias("src_label"), F.col("name").alias("src"), F.col("in").alias("a")), ["src_label", "src"], "left")
     near = near.join(at.select(F.col("label").alias("dst_label"), F.col("name").alias("dst"), F.col("in").alias("b")), ["dst_label", "dst"], "left")
     return near.where("a OR b").drop("a", "b")
@@ -40,8 +49,10 @@ def neighbours_any_era(nodes: DataFrame, edges: DataFrame, name: str, era: str |
 def directed(edges: DataFrame, relation: str, way: str) -> DataFrame:
     """cur, other and the edge, for one relation followed out, in, or both ways."""
     own = edges.where(F.col("type") == relation)
-    out = own.select(F.col("src").alias("cur"), F.col("dst").alias("other"), "src", "dst", "chunk_ids")
-    back = own.select(F.col("dst").alias("cur"), F.col("src").alias("other"), "src", "dst", "chunk_ids")
+    quoted = F.coalesce(F.col("snippets"), F.array()) if "snippets" in edges.columns else F.array()
+    proof = ["chunk_ids", quoted.cast("array<string>").alias("snippets")]
+    out = own.select(F.col("src").alias("cur"), F.col("dst").alias("other"), "src", "dst", *proof)
+    back = own.select(F.col("dst").alias("cur"), F.col("src").alias("other"), "src", "dst", *proof)
     return out if way == "out" else back if way == "in" else out.unionByName(back)
 
 
@@ -59,10 +70,11 @@ def traverse(edges: DataFrame, start: str, steps: list[tuple[str, str]], limit:
     """Simple paths along a plan's steps, the best `limit`; none if a step finds nothing.
 
     A node takes its first 2 * width neighbours of each direction; after each step the width best
-    paths stay: those with more edges that have chunks, then more chunks, then by names.
+    paths stay: those with more edges that have chunks, then with more edges that are quoted
+    (snippets), then with more chunks, then by names.
     """
     width = max(10, 2 * limit)
-    paths = edges.sparkSession.range(1).select(F.array(F.lit(start)).alias("names"), F.array().cast("array<array<string>>").alias("proof"))
+    paths = edges.sparkSession.range(1).select(F.array(F.lit(start)).alias("names"), F.array().cast("array<struct<chunk_ids:array<string>,snippets:array<string>>>").alias("proof"))
     for k, (relation, way) in enumerate(steps):
         near = []
         for one in ("out", "in") if way == "both" else (way,):
@@ -71,18 +83,20 @@ def traverse(edges: DataFrame, start: str, steps: list[tuple[str, str]], limit:
                 step = step.where(F.col("other") == targets[k])
             rank = F.row_number().over(Window.partitionBy("cur").orderBy(F.col("other").contains("的"), F.desc(F.size("chunk_ids")), "other", "src", "dst"))
             reached = paths.select(F.element_at("names", -1).alias("cur")).distinct()
-            near.append(step.join(reached, "cur", "left_semi").withColumn("rank", rank).where(F.col("rank") <= 2 * width).select("cur", "other", "chunk_ids"))
+            near.append(step.join(reached, "cur", "left_semi").withColumn("rank", rank).where(F.col("rank") <= 2 * width).select("cur", "other", F.struct("chunk_ids", "snippets").alias("edge")))
         near = reduce(DataFrame.unionByName, near)
         if aliases is not None:
             near = near.join(aliases.select(F.col("alias").alias("other"), "canonical"), "other", "left").withColumn("other", F.coalesce("canonical", "other")).drop("canonical")
         paths = paths.withColumn("cur", F.element_at("names", -1)).join(near, "cur").where(~F.array_contains("names", F.col("other")))
-        paths = paths.select(F.concat("names", F.array("other")).alias("names"), F.concat("proof", F.array("chunk_ids")).alias("proof"))
-        with_ids = F.size(F.filter("proof", lambda p: F.size(p) > 0))
-        total = F.aggregate("proof", F.lit(0), lambda s, p: s + F.size(p))
-        paths = paths.withColumns({"w": with_ids, "t": total})
-        first = F.row_number().over(Window.partitionBy("names").orderBy(F.desc("w"), F.desc("t")))
-        paths = paths.withColumn("f", first).where("f = 1").orderBy(F.desc("w"), F.desc("t"), "names").limit(width)
-    return paths.orderBy(F.desc("w"), F.desc("t"), "names").limit(limit).select("names")
+        paths = paths.select(F.concat("names", F.array("other")).alias("names"), F.concat("proof", F.array("edge")).alias("proof"))
+        with_ids = F.size(F.filter("proof", lambda p: F.size(p["chunk_ids"]) > 0))
+        quoted = F.size(F.filter("proof", lambda p: F.size(p["snippets"]) > 0))
+        total = F.aggregate("proof", F.lit(0), lambda s, p: s + F.size(p["chunk_ids"]))
+        paths = paths.withColumns({"w": with_ids, "q": quoted, "t": total})
+        best = [F.desc("w"), F.desc("q"), F.desc("t")]
+        first = F.row_number().over(Window.partitionBy("names").orderBy(*best))
+        paths = paths.withColumn("f", first).where("f = 1").orderBy(*best, "names").limit(width)
+    return paths.orderBy(*best, "names").limit(limit).select("names") if steps else paths.limit(0).select("names")
 
 
 def members(edges: DataFrame, relation: str, target: str) -> DataFrame:
@@ -98,18 +112,35 @@ def sect_arts(edges: DataFrame) -> DataFrame:
 
 
 def arts_grouped(arts: DataFrame, show: int = 20) -> DataFrame:
-    """Per sect and art the number of persons and the first `show` of them."""
-    named = F.array_sort(F.collect_set("person"))
-    return arts.groupBy("sect", "art").agg(named.alias("p")).select("sect", "art", F.size("p").alias("n_persons"), F.array_join(F.slice("p", 1, show), ",").alias("persons"))
+    """Per sect and art the number of persons and the first `show` of them.
+
+    Only the first ones of each group are brought together, however many persons it has.
+    """
+    once = arts.select("sect", "art", "person").distinct()
+    rank = F.row_number().over(Window.partitionBy("sect", "art").orderBy("person"))
+    first = once.withColumn("r", rank).where(F.col("r") <= show).groupBy("sect", "art").agg(F.array_join(F.array_sort(F.collect_list("person")), ",").alias("persons"))
+    counts = once.groupBy("sect", "art").agg(F.count("*").cast("int").alias("n_persons"))
+    return counts.join(first, ["sect", "art"]).select("sect", "art", "n_persons", "persons")
+
 
+def lineage(edges: DataFrame, art: str | None = None) -> DataFrame:
+    """master, disciple, art: masters of an art and disciples of theirs who know it too.
 
-def lineage(edges: DataFrame) -> DataFrame:
-    """master, disciple, art: masters of an art and disciples of theirs who know it too."""
+    Without an art, those of a person are put into one array of hashes, and each pair of master and
+    disciple intersects two of these; names come back at the end.
+    """
     knows = edges.where("type = 'MASTERS'").select(F.col("src").alias("person"), F.col("dst").alias("art"))
     taught = edges.where("type = 'MASTER_OF' AND src != dst").select(F.col("src").alias("master"), F.col("dst").alias("disciple"))
-    # Disciples know fewer arts than masters, so theirs make the shorter list of candidates.
-    pairs = taught.join(knows.withColumnRenamed("person", "disciple"), "disciple")
-    return pairs.join(knows.withColumnRenamed("person", "master"), ["master", "art"], "left_semi")
+    if art is not None:
+        know = knows.where(F.col("art") == art).select("person").distinct()
+        pairs = taught.join(know.withColumnRenamed("person", "master"), "master", "left_semi").join(know.withColumnRenamed("person", "disciple"), "disciple", "left_semi")
+        return pairs.withColumn("art", F.lit(art)).select("master", "disciple", "art")
+    held = knows.groupBy("person").agg(F.collect_set(F.xxhash64("art")).alias("arts"))
+    pairs = taught.join(held.select(F.col("person").alias("disciple"), F.col("arts").alias("his")), "disciple")
+    pairs = pairs.join(held.select(F.col("person").alias("master"), "arts"), "master")
+    pairs = pairs.select("master", "disciple", F.explode(F.array_intersect("arts", "his")).alias("h"))
+    names = knows.select(F.xxhash64("art").alias("h"), "art").distinct()
+    return pairs.join(names, "h").select("master", "disciple", "art")
 
 
 def expand_mentions(mentions: DataFrame, edges: DataFrame, per_chunk: int = 12) -> DataFrame:
@@ -149,3 +180,19 @@ def capped_subgraph(edges: DataFrame, max_nodes: int = 40, max_edges: int = 80)
     b = top.select(F.col("name").alias("dst"), F.col("degree").alias("db"))
     kept = edges.join(a, "src").join(b, "dst").withColumn("weight", F.col("da") + F.col("db"))
     return kept.orderBy(F.desc("weight"), "src", "type", "dst").limit(max_edges).select("src", "type", "dst", "weight")
+
+
+def with_path_edges(subgraph: DataFrame, path: DataFrame) -> DataFrame:
+    """The edges (src, type, dst) of a subgraph, and those of a path that it lacks."""
+    keys = ["src", "type", "dst"]
+    return subgraph.select(*keys).unionByName(path.select(*keys).distinct().join(subgraph.select(*keys), keys, "left_anti"))
+
+
+def sect_own_arts(edges: DataFrame, sect: str) -> DataFrame:
+    """Arts that a sect itself is said to master; the ontology has none, other data may."""
+    return edges.where((F.col("type") == "MASTERS") & (F.col("src_label") == SECT) & (F.col("src") == sect)).select(F.col("dst").alias("art"), "chunk_ids")
+
+
+def art_founders(edges: DataFrame, art: str) -> DataFrame:
+    """Persons who are said to have founded an art; the ontology has none, other data may."""
+    return edges.where((F.col("type") == "FOUNDER_OF") & (F.col("dst_label") == ART) & (F.col("dst") == art)).select(F.col("src").alias("person"), "chunk_ids")

@@ -47,12 +47,9 @@ def evaluation(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def routing(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Hits and totals by each key on its own, in one scan: dimension, value, hits, n."""
-    rows.select(*keys, "hit").createOrReplaceTempView("_routing")
-    sets = ", ".join(f"({k})" for k in keys)
-    names = " ".join(f"WHEN grouping({k}) = 0 THEN '{k}'" for k in keys)
-    value = ", ".join(keys)
-    sql = f"SELECT CASE {names} END AS dimension, coalesce({value}) AS value, sum(CAST(hit AS INT)) AS hits, count(*) AS n FROM _routing GROUP BY GROUPING SETS ({sets})"
-    return rows.sparkSession.sql(sql)
+    dimension = F.coalesce(*[F.when(F.grouping(k) == 0, k) for k in keys])
+    sets = rows.groupingSets([[k] for k in keys], *keys).agg(dimension.alias("dimension"), F.sum(F.col("hit").cast("int")).alias("hits"), F.count("*").alias("n"))
+    return sets.select("dimension", F.coalesce(*keys).alias("value"), "hits", "n")
 
 
 def within_budget(lines: DataFrame, key: str, order: str, line: str, budget: int) -> DataFrame:

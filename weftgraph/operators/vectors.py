@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from math import log
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import tokens
+from weftgraph.operators.graph import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,17 +47,39 @@ def hash_embedding(rows: DataFrame, key: str, text: str, dim: int = 256) -> Data
     return sums.join(norm, key).select(key, "slot", F.round(F.col("sum") / F.col("norm"), 6).alias("weight"))
 
 
+def _equal(array: str, value: str) -> Column:
+    return F.filter(array, lambda x: x == value)
+
+
 def bm25(rows: DataFrame, key: str, text: str, query: list[str], k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k rows that match the query's tokens best; no tokens match nothing."""
-    counted = rows.select(key, F.array_size(tokens(F.col(text))).alias("size"), tokens(F.col(text)).alias("t"))
-    n, mean = counted.agg(F.count("*"), F.avg("size")).first()
-    hits = counted.select(key, "size", F.explode("t").alias("token")).where(F.col("token").isin(*query)).groupBy(key, "size", "token").agg(F.count("*").alias("tf"))
+    """The k rows that match the query's tokens best; no tokens match nothing.
+
+    A text is tokenised once: its length and how often it has each token of the query are kept, of
+    which then the statistics and the scores come. text_index() keeps these for all tokens.
+    """
+    query = list(dict.fromkeys(query))
+    split = rows.select(key, tokens(F.col(text)).alias("t"))
+    has = [F.array_size(_equal("t", q)).alias(f"tf{i}") for i, q in enumerate(query)]
+    counted = cut(split.select(key, F.array_size("t").alias("size"), *has))
+    n, mean, *found = counted.agg(F.count("*"), F.avg("size"), *[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(query))]).first()
+    weights = [F.lit(0.0)]
+    for i, df in enumerate(found):
+        tf = F.col(f"tf{i}")
+        weights.append(F.lit(log(1 + (n - df + 0.5) / (df + 0.5))) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / (mean or 1.0))))
+    some = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(query))], F.lit(False))
+    return counted.where(some).select(key, F.round(reduce(lambda x, y: x + y, weights), 4).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def text_index(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """The inverted table of a text column: token, key, tf, size; stored by token, a question reads its tokens alone."""
+    split = rows.select(key, tokens(F.col(text)).alias("t"))
+    return split.select(key, F.array_size("t").alias("size"), F.explode("t").alias("token")).groupBy("token", key, "size").agg(F.count("*").alias("tf"))
+
+
+def search_index(index: DataFrame, key: str, query: list[str], n: int, mean: float, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """bm25() on a text_index() of n rows of that mean length."""
+    hits = index.where(F.col("token").isin(*query))
     found = hits.groupBy("token").agg(F.count("*").alias("df"))  # a row for each token of the query
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / (mean or 1.0)))
-    scored = hits.join(found, "token").groupBy(key).agg(F.round(F.sum(weight), 4).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k)
-
-
-def per_key_top(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+    return hits.join(F.broadcast(found), "token").groupBy(key).agg(F.round(F.sum(weight), 4).alias("score")).orderBy(F.desc("score"), key).limit(k)

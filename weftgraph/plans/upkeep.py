@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators import align, answer, maintain, merge, service, stats, store
+from weftgraph.operators import align, answer, graph, maintain, merge, service, stats, store
 from weftgraph.plans.projection import chunks, edges, nodes, table
 from weftgraph.plans.registry import query
 from weftgraph.schema import ART, PERSON, SECT
@@ -178,9 +178,7 @@ def entity_attributes(spark, d):
 
 @query("WITH e AS (SELECT src AS name FROM edges UNION ALL SELECT dst FROM edges) SELECT name, count(*) AS degree FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def top_degrees(spark, d):
-    e = edges(spark, d)
-    ends = e.select(F.col("src").alias("name")).unionByName(e.select(F.col("dst").alias("name")))
-    return ends.groupBy("name").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "name").limit(20)
+    return graph.top_degrees(edges(spark, d), 20)
 
 
 # Evidence and contexts
