@@ -69,7 +69,7 @@ _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes of a text that are hashed at a time, about.
 BLOCK = 1 << 20
 
-#: A pair is compared by the shingles below this first, a quarter of all, and wholly if it can still link.
+#: A pair is compared by 32 bits of each shingle below this first, a quarter of all, and wholly if it can still link.
 PART = np.uint64(1 << 62)
 
 
@@ -344,18 +344,27 @@ def _windows(cells: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         yield _window_rows(out)
 
 
+def _sent(found: np.ndarray, whole: bool) -> np.ndarray:
+    """A set, or 32 bits of each of its shingles below PART."""
+    return found if whole else np.unique((found[: np.searchsorted(found, PART)] >> np.uint64(30)).astype(np.uint32))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    """The set of each document, or its shingles below PART, once for each group of comparisons that it is wanted in."""
+    """The set of each document, or a part of it, once for each group of comparisons that it is wanted in.
+
+    rest is how many of its n shingles cannot be told from what is sent.
+    """
     schema = pa.schema([("pivot", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("first", pa.bool_()), ("label", pa.int64()),
-                        ("lo", pa.float64()), ("hi", pa.float64()), ("n", pa.int64()), ("found", pa.binary())])
+                        ("lo", pa.float64()), ("hi", pa.float64()), ("n", pa.int64()), ("rest", pa.int64()), ("found", pa.binary())])
     for batch in batches:
         rows: list[tuple] = []
         size = 0
         for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             found = shingles(text.as_py())
-            data = (found if whole else found[: np.searchsorted(found, PART)]).tobytes()
+            sent = _sent(found, whole)
+            data = sent.tobytes()
             for w in wanted:
-                rows.append((w["pivot"], w["salt"], doc, w["first"], w["label"], w["lo"], w["hi"], len(found), data))
+                rows.append((w["pivot"], w["salt"], doc, w["first"], w["label"], w["lo"], w["hi"], len(found), len(found) - len(sent), data))
                 size += len(data) + 100
                 if size > 1 << 24:
                     yield _batch(rows, schema)
@@ -370,42 +379,42 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of groups, pivots first: of each pair the least and the most that it can have in common, and both sizes.
+def _compare(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of groups, pivots first: of each pair the most that it can have in common, and both sizes.
 
-    Common are those of the shingles sent, and at most as many of the others as the set with fewer of these has.
+    That is what is common of the parts sent, and as many others as the set with fewer of these has.
     """
-    schema = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("sizes", pa.int64())])
+    schema = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64()), ("most", pa.int64()), ("sizes", pa.int64())])
     group, pivots = None, []
     for batch in batches:
         rows = []
-        for pivot, salt, doc, is_pivot, _, _, _, n, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for pivot, salt, doc, is_pivot, _, _, _, n, rest, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group != (pivot, salt):
                 group, pivots = (pivot, salt), []
-            found = np.frombuffer(found, np.uint64)
+            found = np.frombuffer(found, np.uint64 if whole else np.uint32)
             if is_pivot:
-                pivots.append((n, found))
+                pivots.append((n, rest, found))
                 continue
-            for m, p in pivots:
+            for m, other, p in pivots:
                 common = len(np.intersect1d(p, found, assume_unique=True))
-                rows.append((pivot, doc, common, common + min(m - len(p), n - len(found)), n + m))
+                rows.append((pivot, doc, common + min(other, rest), n + m))
         if rows:
             yield _batch(rows, schema)
 
 
-def _linked(far: list[tuple], others: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Links of one block: (doc_id, label, lo, hi, set) of those far from the pivot and of the others, lo and hi bounding the distance to it.
+def _near(far: list[tuple], others: list[tuple]) -> np.ndarray:
+    """Which of those far from a pivot (rows) can link with which of the others (columns), of other components.
 
-    Of the links of a document with those of one component one is given.
+    Both are (doc_id, label, lo, hi, n, rest, set), lo and hi bounding the distance to the pivot.
     """
-    universe = np.unique(np.concatenate([x[4] for x in far]))
+    universe = np.unique(np.concatenate([x[6] for x in far]))
     common = np.zeros((len(far), len(others)), np.float32)
 
     def places(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate([x[4] for x in rows])
-        row = np.repeat(np.arange(len(rows)), [len(x[4]) for x in rows])
-        at = np.minimum(np.searchsorted(universe, flat), len(universe) - 1)
-        held = universe[at] == flat
+        flat = np.concatenate([x[6] for x in rows])
+        row = np.repeat(np.arange(len(rows)), [len(x[6]) for x in rows])
+        at = np.minimum(np.searchsorted(universe, flat), max(0, len(universe) - 1))
+        held = universe[at] == flat if len(universe) else np.zeros(0, bool)
         return row[held], at[held]
 
     (fr, fc), (gr, gc) = places(far), places(others)
@@ -417,37 +426,46 @@ def _linked(far: list[tuple], others: list[tuple]) -> Iterator[tuple[int, int]]:
         pick = (gc >= begin) & (gc < begin + 8192)
         b[gr[pick], gc[pick] - begin] = 1
         common += a @ b.T  # whole numbers below 2 ** 24: exact
-    n, m = (np.array([len(x[4]) for x in rows], np.float64) for rows in (far, others))
-    same = common.astype(np.float64)
-    near = 100 * same >= PERCENT * (n[:, None] + m[None, :] - same)
-    (lx, hx), (ly, hy) = (np.array([x[2:4] for x in rows]).T for rows in (far, others))
-    near &= np.maximum(lx[:, None] - hy[None, :], ly[None, :] - hx[:, None]) <= RADIUS + _EPS
+    column = lambda rows, k: np.array([x[k] for x in rows])
+    most = common.astype(np.float64) + np.minimum(column(far, 5)[:, None], column(others, 5)[None, :])
+    near = 100 * most >= PERCENT * (column(far, 4)[:, None] + column(others, 4)[None, :] - most)
+    near &= np.maximum(column(far, 2)[:, None] - column(others, 3)[None, :], column(others, 2)[None, :] - column(far, 3)[:, None]) <= RADIUS + _EPS
+    return near & (column(far, 1)[:, None] != column(others, 1)[None, :])
+
+
+def _linked(far: list[tuple], others: list[tuple], whole: bool) -> Iterator[tuple[int, int]]:
+    """Links of one block, of those of a document with one component one; of parts of sets, the documents that may have any."""
+    near = _near(far, others)
+    if not whole:
+        for rows, any_ in ((far, near.any(axis=1)), (others, near.any(axis=0))):
+            yield from ((rows[i][0], rows[i][0]) for i in np.flatnonzero(any_))
+        return
     labels = np.array([x[1] for x in others])
     for i, x in enumerate(far):
-        hits = np.flatnonzero(near[i] & (labels != x[1]))
+        hits = np.flatnonzero(near[i])
         for j in hits[np.unique(labels[hits], return_index=True)[1]]:
             yield x[0], others[j][0]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of sorted rows of blocks, those far from the pivot first."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _blocks(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of sorted rows of blocks, those far from the pivot first, with the pivot."""
+    schema = pa.schema([("pivot", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
     block, far, others = None, [], []
     for batch in batches:
         out: list[tuple] = []
-        for pivot, salt, doc, first, label, lo, hi, _, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for pivot, salt, doc, first, label, lo, hi, n, rest, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if block != (pivot, salt):
                 if far and others:
-                    out += _linked(far, others)
+                    out += [(block[0], *x) for x in _linked(far, others, whole)]
                 block, far, others = (pivot, salt), [], []
-            (far if first else others).append((doc, label, lo, hi, np.frombuffer(found, np.uint64)))
+            (far if first else others).append((doc, label, lo, hi, n, rest, np.frombuffer(found, np.uint64 if whole else np.uint32)))
         if out:
             yield _batch(out, schema)
-    if far and others and (out := list(_linked(far, others))):
+    if far and others and (out := [(block[0], *x) for x in _linked(far, others, whole)]):
         yield _batch(out, schema)
 
 
-_GROUPS = "pivot long, salt int, doc_id long, first boolean, label long, lo double, hi double, n long, found binary"
+_GROUPS = "pivot long, salt int, doc_id long, first boolean, label long, lo double, hi double, n long, rest long, found binary"
 
 
 def _grouped_sets(rows: DataFrame, wanted: DataFrame, whole: bool = True) -> DataFrame:
@@ -475,10 +493,10 @@ def _compared(rows: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
     extra = [F.lit(0).cast("long").alias("label"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")]
     members = pairs.join(spread, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("first"), *extra)
     pivots = spread.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("first"), *extra)
-    out = _grouped_sets(rows, members.unionByName(pivots), whole).mapInArrow(_compare, "pivot long, doc_id long, least long, most long, sizes long")
-    distance = lambda common: 1 - common / (F.col("sizes") - common)
-    may = 100 * F.col("most") >= PERCENT * (F.col("sizes") - F.col("most"))
-    return out.groupBy("pivot", "doc_id").agg(F.min(distance(F.col("most"))).alias("lo"), F.max(distance(F.col("least"))).alias("hi"), F.max(may).alias("may"))
+    out = _grouped_sets(rows, members.unionByName(pivots), whole).mapInArrow(partial(_compare, whole=whole), "pivot long, doc_id long, most long, sizes long")
+    lo = F.min(1 - F.col("most") / (F.col("sizes") - F.col("most")))
+    may = F.max(100 * F.col("most") >= PERCENT * (F.col("sizes") - F.col("most")))
+    return out.groupBy("pivot", "doc_id").agg(lo.alias("lo"), (lo if whole else F.lit(1.0)).alias("hi"), may.alias("may"))
 
 
 def _distances(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -496,9 +514,16 @@ def _cross_links(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Links of documents far from their pivot with others of their regions.
 
     known has pivot, doc_id, label, lo, hi and own, the pivot's label. Far documents and others are cut
-    into blocks of about SPREAD, and each two blocks of a pivot meet once.
+    into blocks of about SPREAD, and each two blocks of a pivot meet once by parts of their sets; those
+    that may have a link meet again by their whole sets.
     """
     known = stash(known.select("pivot", "doc_id", "label", "lo", "hi", "own").distinct(), "known")
+    may = stash(_met(rows, known, False).select("pivot", F.col("a").alias("doc_id")).distinct(), "may")
+    return stash(_met(rows, known.join(may, ["pivot", "doc_id"], "left_semi"), True).select("a", "b"), "cross")
+
+
+def _met(rows: DataFrame, known: DataFrame, whole: bool) -> DataFrame:
+    """_blocks() of what is known of pivots and their documents."""
     far = known.where("label != own AND pivot != doc_id")
     others = known.where("pivot != doc_id").join(far.select("pivot").distinct(), "pivot", "left_semi")
     size = lambda t, n: t.groupBy("pivot").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias(n))
@@ -508,7 +533,7 @@ def _cross_links(rows: DataFrame, known: DataFrame) -> DataFrame:
     a = far.join(sizes, "pivot").withColumn("i", block("f")).withColumn("j", every("m")).withColumn("first", F.lit(True))
     b = others.join(sizes, "pivot").withColumn("j", block("m")).withColumn("i", every("f")).withColumn("first", F.lit(False))
     wanted = a.unionByName(b).select("doc_id", "pivot", (F.col("i") * F.col("m") + F.col("j")).alias("salt"), "first", "label", "lo", "hi")
-    return stash(_grouped_sets(rows, wanted).mapInArrow(_blocks, "a long, b long"), "cross")
+    return _grouped_sets(rows, wanted, whole).mapInArrow(partial(_blocks, whole=whole), "pivot long, a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
