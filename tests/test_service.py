@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import maintain, merge, service
-from weftgraph.schema import LABELS
+from weftgraph.operators import maintain, merge, retrieval, service
+from weftgraph.schema import ALIAS, LABELS
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,62 @@ def test_generator_failure_degrades(spark, engine):
 
     other = service.Engine(spark, engine.nodes, engine.edges, engine.chunks, down)
     r = other.ask("郭靖的妻子是谁")
-    assert r.status == "degraded" and r.lines == ["郭靖 -> 黄蓉"]
+    assert r.status == "degraded" and r.lines == ["郭靖 -> 黄蓉"] and r.notes["attempts"] == 1
+
+
+def test_generators_are_tried_again():
+    calls = []
+
+    class RateLimitError(Exception):
+        pass
+
+    class BadRequestError(Exception):
+        pass
+
+    def flaky(question, context):
+        calls.append(context)
+        if len(calls) < 3:
+            raise RateLimitError("busy")
+        return " yes "
+
+    def wrong(question, context):
+        raise BadRequestError("no")
+
+    assert service.generated(flaky, "q", "c") == ("yes", "ok", 3, "")
+    assert service.generated(wrong, "q", "c")[1:3] == ("unavailable", 1)
+    assert service.generated(lambda q, c: None, "q", "c")[1:3] == ("unavailable", 4)
+    assert service.generated(flaky, "q", " ")[1] == "no_context"
+
+
+def test_leaders_relatives_and_pairs(engine):
+    r = engine.ask("桃花岛的掌门是谁")
+    assert r.method == "sect_agg" and r.notes["leader_unsupported"] and r.lines == ["桃花岛：黄蓉"]
+    r = engine.ask("郭靖的义父是谁", "person_relation")
+    assert r.status == "no_context" and "义父" in r.notes["unsupported"]
+    r = engine.ask("郭靖和黄药师有何关系")
+    assert r.method == "cross_novel" and r.lines == ["郭靖 与 黄药师：一般关联，2"]
+    r = engine.ask("黄药师的岳父是谁")
+    assert r.seed_id == "人物::黄药师" and r.confidence == 1.0 and r.notes["plan"] == "SPOUSE_OF(both) -> PARENT_OF(in)"
+
+
+def test_aliases_are_linked(spark, engine):
+    aliases = spark.createDataFrame([("靖哥哥", "郭靖", "人物", ["射雕"], "", "")], ALIAS)
+    other = service.Engine(spark, engine.nodes, engine.edges, engine.chunks, aliases=aliases)
+    r = other.ask("靖哥哥的妻子是谁")
+    assert r.lines == ["郭靖 -> 黄蓉"] and r.confidence == 0.9
+
+
+def test_queries_with_parameters(engine):
+    assert [r[0] for r in engine.query("SELECT dst FROM edges WHERE src = :name AND type = :type", {"name": "黄药师", "type": "PARENT_OF"}).collect()] == ["黄蓉"]
+    assert engine.query("WITH n AS (SELECT name FROM nodes WHERE :eras IS NULL OR array_contains(:eras, era)) SELECT * FROM n", eras=["射雕"]).count() == 3
+    assert engine.query("SELECT name FROM nodes WHERE :eras IS NULL OR array_contains(:eras, era)").count() == 5
+    with pytest.raises(retrieval.Unavailable):
+        engine.query("SELECT nothing FROM nowhere")
+
+
+def test_health(spark, engine):
+    h = engine.health()
+    assert h["graph"] == "ok" and "vector" in h["methods"] and h["names_degraded"] == ""
 
 
 @pytest.mark.parametrize("bad", ["", "  ", None, 3, "x" * 501])
@@ -96,9 +151,10 @@ def test_state_and_index(tmp_path):
     assert maintain.load_state(f) == {"a": 1}
     (tmp_path / "s.json").write_text("{")
     assert maintain.load_state(f) is None
-    maintain.check_index({"fingerprint": "k:m:2:v"}, "k", "m", 2, "v")
+    maintain.check_index({"fingerprint": "k:m:2"}, "k", "m", 2)
+    maintain.check_index(None, "k", "m", 2)
     with pytest.raises(ValueError):
-        maintain.check_index({"fingerprint": "k:m:3:v"}, "k", "m", 2, "v")
+        maintain.check_index({"fingerprint": "k:m:3"}, "k", "m", 2)
 
 
 def test_wipe_needs_both_flags(spark, tmp_path):

@@ -112,18 +112,36 @@ def person_relation(edges: DataFrame, name: str, steps: list[tuple[str, str]], k
     return match.traverse(edges, name, steps, k)
 
 
+def _blood(reached: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """reached (keys, path) with blood: whether a step of the path is one from an ancestor to a descendant."""
+    kin = edges.where("type = 'DESCENDANT_OF'").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("step")).distinct()
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("b")))
+    blood = reached.select(*keys, F.explode(steps).alias("step")).join(kin, "step", "left_semi").select(*keys).distinct().withColumn("blood", F.lit(True))
+    return reached.join(blood, keys, "left").withColumn("blood", F.coalesce("blood", F.lit(False)))
+
+
 @register("cross_novel")
 def cross_novel(nodes: DataFrame, edges: DataFrame, name: str, k: int = 5, hops: int = 4) -> DataFrame:
     """Persons of other eras within so many hops, blood relations first: name, distance, blood."""
-    reached = graph.bfs(edges, name, hops)
+    reached = _blood(graph.bfs(edges, name, hops), edges, ["name"])
     home = nodes.where((F.col("label") == PERSON) & (F.col("name") == name)).select(F.col("era").alias("home"))
     people = nodes.where(F.col("label") == PERSON).select("name", "era")
-    kin = edges.where("type = 'DESCENDANT_OF'").select(F.explode(F.array(F.concat_ws("\t", "src", "dst"), F.concat_ws("\t", "dst", "src"))).alias("pair")).distinct()
-    step = reached.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), lambda i: F.concat_ws("\t", F.get("path", i - 1), F.get("path", i)))).alias("pair"))
-    blood = step.join(kin, "pair", "left_semi").select("name").distinct().withColumn("blood", F.lit(True))
     eras = [r["home"] for r in home.limit(1).collect()]
     out = reached.where(F.col("name") != name).join(people, "name").where(~F.col("era").eqNullSafe(F.lit(eras[0] if eras else None)))
-    return out.join(blood, "name", "left").select("name", "distance", F.coalesce("blood", F.lit(False)).alias("blood")).orderBy(F.desc("blood"), "distance", "name").limit(k)
+    return out.select("name", "distance", "blood").orderBy(F.desc("blood"), "distance", "name").limit(k)
+
+
+def cross_pairs(edges: DataFrame, names: list[str], k: int = 5, hops: int = 4) -> DataFrame:
+    """The shortest paths between each two of some names, blood relations first: source, name, distance, path, blood.
+
+    One search from each name but the last finds its paths to all that follow.
+    """
+    found = []
+    for i, source in enumerate(names[:-1]):
+        reached = graph.bfs(edges, source, hops).where(F.col("name").isin(*names[i + 1 :]) & (F.col("name") != source))
+        found.append(reached.select(F.lit(source).alias("source"), "name", "distance", "path"))
+    rows = _blood(reduce(DataFrame.unionByName, found), edges, ["source", "name"])
+    return rows.select("source", "name", "distance", "path", "blood").orderBy(F.desc("blood"), "distance", "name", "source").limit(k)
 
 
 def bundle(edges: DataFrame) -> DataFrame:

@@ -153,12 +153,12 @@ def load_state(path: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def fingerprint(kind: str, model: str, dimension: int, version: str) -> str:
-    return f"{kind}:{model}:{dimension}:{version}"
+def fingerprint(kind: str, model: str, dimension: int) -> str:
+    return f"{kind}:{model}:{dimension}"
 
 
-def check_index(meta: dict | None, kind: str, model: str, dimension: int, version: str) -> None:
-    """Raises if an index was made by another embedding than the one of a query."""
-    want = fingerprint(kind, model, dimension, version)
-    if meta is not None and meta.get("fingerprint") != want:
-        raise ValueError(f"the index is of {meta.get('fingerprint')}, the query of {want}")
+def check_index(meta: dict | None, kind: str, model: str, dimension: int) -> None:
+    """Raises if an index was made by another embedding than the one of a query; one that does not say passes."""
+    want = fingerprint(kind, model, dimension)
+    if meta is not None and meta.get("fingerprint") and meta["fingerprint"] != want:
+        raise ValueError(f"the index is of {meta['fingerprint']}, the query of {want}")

@@ -1,22 +1,25 @@
 """Answers to questions: linking, routing, retrieval, context and generation.
 
 The generator is a provider, a function of question and context; the default one gives the
-context's first line, so that everything runs without a network.
+context's first line, so that everything runs without a network. So is the embedder.
 """
 
 from __future__ import annotations
 
+import re
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import sequential
-from weftgraph.functions.text import affirmed, tokens
-from weftgraph.operators import answer, maintain, match, vectors
-from weftgraph.schema import ART, PERSON, SECT
+from weftgraph.functions.text import tokens
+from weftgraph.operators import answer, linking, maintain, match, retrieval, vectors
+from weftgraph.schema import ALIAS, ART, PERSON, SECT
 
 # What relations are called in contexts, and in questions.
 NAMES = {
@@ -24,14 +27,33 @@ NAMES = {
     "FOUNDER_OF": "创立", "LOCATED_IN": "位于", "BRANCHED_FROM": "演化", "DESCENDANT_OF": "血缘",
 }
 ASKED_AS = {
-    "MASTER_OF": "师徒|师父|师傅|恩师|徒弟|弟子|师承|师门", "SPOUSE_OF": "夫妻|妻子|丈夫|配偶|夫人|老婆|老公",
-    "PARENT_OF": "父母|父亲|母亲|父子|父女|母子|母女|子女|儿子|女儿|孩子", "SWORN_BROTHER_OF": "结拜|义兄|义弟|结义", "ENEMY_OF": "仇敌|敌人|对手|仇人",
-    "BELONGS_TO": "门派|帮派|所属|归属", "MASTERS": "精通|武功|绝学|绝技", "FOUNDER_OF": "创立|创始人|开派", "LOCATED_IN": "地点|位于|所在",
-    "BRANCHED_FROM": "演化|源自|衍生", "DESCENDANT_OF": "血缘|后人|之后|后代",
-}
+    "MASTER_OF": ("师徒", "师父", "师傅", "恩师", "徒弟", "弟子", "师承", "师门"),
+    "SPOUSE_OF": ("夫妻", "妻子", "丈夫", "配偶", "夫人", "老婆", "老公"),
+    "PARENT_OF": ("父母", "父亲", "母亲", "父子", "父女", "母子", "母女", "子女", "儿子", "女儿", "孩子"),
+    "SWORN_BROTHER_OF": ("结拜", "义兄", "义弟", "结义"),
+    "ENEMY_OF": ("仇敌", "敌人", "对手", "仇人"),
+    "BELONGS_TO": ("门派", "帮派", "所属", "归属"),
+    "MASTERS": ("精通", "武功", "绝学", "绝技"),
+    "FOUNDER_OF": ("创立", "创始人", "开派"),
+    "LOCATED_IN": ("地点", "位于", "所在"),
+    "BRANCHED_FROM": ("演化", "源自", "衍生"),
+    "DESCENDANT_OF": ("血缘", "后人", "之后", "后代"),
+}
 ARROWS = {"symmetric": "--", "backward": "<-"}
 MAX_QUESTION, BUDGET = 500, 6000
 
+# Words that say what is asked of a sect and of an art, and a generator's errors.
+FOUNDER_WORDS = (*answer.FOUNDING, "谁创", "创始人")
+SECT_ART_WORDS = ("绝学", "武功", "会什么", "精通", "成名绝技", "招数")
+LEADER_WORDS = ("掌门", "帮主", "教主", "盟主")
+ORIGIN_WORDS = ("创始人", "谁创", "谁创造", "源自", "出自", "由谁创", "何人所创")
+PRACTICE_WORDS = ("谁会", "哪些人会", "精通")
+RETRYABLE = (
+    "APITimeoutError", "APIConnectionError", "RateLimitError", "InternalServerError", "ServiceUnavailableError", "Timeout", "ConnectionError", "APIStatusError",
+)
+FATAL = ("AuthenticationError", "PermissionDeniedError", "BadRequestError", "NotFoundError", "UnprocessableEntityError")
+ATTEMPTS = 4
+
 
 class RequestError(ValueError):
     """A request that cannot be answered; unlike data that is unavailable or empty."""
@@ -80,13 +102,13 @@ def path_completeness(path: Column, hops: Column) -> Column:
 def evidence_sufficiency(hit: Column, kinds: Column, relation: Column) -> Column:
     """Half for the answer, half for an edge of the relation asked for (a quarter for any other)."""
     said = F.coalesce(relation, F.lit(""))
-    asked = F.exists(kinds, lambda k: F.coalesce(*[F.when(k == t, said.rlike(p)) for t, p in ASKED_AS.items()], F.lit(False)))
+    asked = F.exists(kinds, lambda k: F.coalesce(*[F.when(k == t, said.rlike("|".join(words))) for t, words in ASKED_AS.items()], F.lit(False)))
     right = F.when((said == "") | (said == "关系") | asked, 1.0).otherwise(0.5)
     ok = hit.cast("double")
     return F.round(F.when(F.size(kinds) <= 0, ok * 0.5).otherwise((ok + right) / 2), 4)
 
 
-@answer.register("vector")
+@answer.register("fulltext")
 def text_search(chunks: DataFrame, question: str, k: int = 5, key: str = "chunk_id") -> DataFrame:
     """The k chunks that match the question's tokens best."""
     spark = chunks.sparkSession
@@ -94,10 +116,17 @@ def text_search(chunks: DataFrame, question: str, k: int = 5, key: str = "chunk_
     return vectors.bm25(chunks, key, "text", list(dict.fromkeys(words)), k) if words else chunks.select(key, F.lit(0.0).alias("score")).limit(0)
 
 
-@answer.register("library_graphrag")
-def search_and_expand(chunks: DataFrame, mentions: DataFrame, edges: DataFrame, question: str, k: int = 5) -> DataFrame:
-    """Facts about what the best chunks mention, at most 12 of a chunk and 2 * k in all."""
-    best = text_search(chunks, question, k)
+@answer.register("vector")
+def vector_search(chunks: DataFrame, question: str, k: int = 5, embedder: retrieval.Embedder | None = None, index: str | None = None) -> DataFrame:
+    """The k chunks whose vectors are most like the question's: chunk_id, text, score."""
+    found, _ = retrieval.embed_and_search(chunks.sparkSession, index, question, embedder or retrieval.Embedder(), chunks, k)
+    return found.select("chunk_id", "text", "score")
+
+
+@answer.register("chunk_graph")
+def search_and_expand(chunks: DataFrame, mentions: DataFrame, edges: DataFrame, question: str, k: int = 5, embedder: retrieval.Embedder | None = None, index: str | None = None) -> DataFrame:
+    """Facts about what the most similar chunks mention, at most 12 of a chunk and 2 * k in all."""
+    best = vector_search(chunks, question, k, embedder, index)
     facts = match.expand_mentions(mentions.join(best.select("chunk_id"), "chunk_id", "left_semi"), edges)
     return facts.orderBy("chunk_id", "rank").limit(2 * k).select("chunk_id", "name", "type", "other")
 
@@ -114,6 +143,24 @@ class Reply:
     lines: list[str] = field(default_factory=list)
     fallback_from: str = ""
     latency_ms: float = 0.0
+    confidence: float = 0.0
+    seed: str = ""
+    seed_id: str = ""
+    injection: str = ""
+    notes: dict = field(default_factory=dict)
+
+
+@dataclass
+class Found:
+    """What a method found: a status, context lines, and notes such as a question that the ontology cannot answer."""
+
+    status: str
+    lines: list[str] = field(default_factory=list)
+    notes: dict = field(default_factory=dict)
+
+
+class EmptyAnswer(RuntimeError):
+    """A generator's answer without any text; another try may give one."""
 
 
 def first_line(question: str, context: str) -> str:
@@ -121,89 +168,206 @@ def first_line(question: str, context: str) -> str:
     return context.split("\n", 1)[0]
 
 
+def generated(generate: Callable[[str, str], str], question: str, context: str, attempts: int = ATTEMPTS, pause: float = 0.0) -> tuple[str, str, int, str]:
+    """(text, status, attempts, reason) of a generator; status is ok, no_context or unavailable.
+
+    What its error's name calls passing is tried again, what it calls fatal, or does not name, is not.
+    """
+    if not context.strip():
+        return "", "no_context", 0, ""
+    reason = ""
+    for attempt in range(1, attempts + 1):
+        try:
+            text = generate(question, context)
+            if text is None:
+                raise EmptyAnswer("no answer")
+            return text.strip(), "ok", attempt, ""
+        except Exception as e:  # a provider's errors are its own
+            name = type(e).__name__
+            reason = f"{name}: {e}"
+            again = name not in FATAL and (name in RETRYABLE or isinstance(e, EmptyAnswer | TimeoutError | ConnectionError))
+            if not again:
+                return "", "unavailable", attempt, reason
+            time.sleep(min(pause * attempt, 6))
+    return "", "unavailable", attempts, reason
+
+
+def says(question: str, words: tuple[str, ...]) -> bool:
+    return any(w in question for w in words)
+
+
 class Engine:
     """Questions over one graph. What it collects are the rows of an answer, at most top_k of them."""
 
-    def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, generate: Callable[[str, str], str] = first_line):
+    def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, generate: Callable[[str, str], str] = first_line,
+                 aliases: DataFrame | None = None, embedder: retrieval.Embedder | None = None, index: str | None = None):
         self.spark, self.nodes, self.edges, self.chunks, self.generate = spark, nodes, edges, chunks, generate
+        self.aliases = spark.createDataFrame([], ALIAS) if aliases is None else aliases
+        self.embedder, self.index = embedder or retrieval.Embedder(), index
+        self.words = linking.LexiconCache(lambda: self.nodes, self.aliases)
 
-    def link(self, question: str) -> list[dict]:
+    def link(self, question: str, labels: tuple[str, ...] | None = None) -> list[linking.Link]:
         """Entities of a question: its parts are looked up among the names, which stay where they are."""
-        parts = sorted({question[i:j] for i in range(len(question)) for j in range(i + 2, min(len(question), i + 40) + 1)})
-        wanted = self.spark.createDataFrame([(p,) for p in parts], "name string") if parts else None
-        if wanted is None:
-            return []
-        rows = self.nodes.where(~maintain.is_reference(F.col("name"))).join(F.broadcast(wanted), "name", "left_semi").select("name", "label").distinct().collect()
-        return sequential.link(question, [(r["name"], r["name"], r["label"]) for r in rows])
-
-    def route(self, question: str, links: list[dict]) -> tuple[str, str]:
-        by = {kind: [m["canonical"] for m in links if m["label"] == label] for kind, label in (("people", PERSON), ("sects", SECT), ("arts", ART))}
-        row = self.spark.createDataFrame([(question, by["people"], by["sects"], by["arts"])], "question string, people array<string>, sects array<string>, arts array<string>")
-        found = answer.classify(row).first()
-        return found["intent"], found["method"]
-
-    def retrieve(self, method: str, question: str, links: list[dict], k: int) -> tuple[str, list[str]]:
-        """Status and context lines of one method."""
-        of = lambda label: next((m["canonical"] for m in links if m["label"] == label), None)
-        person, sect, art = of(PERSON), of(SECT), of(ART)
-        if method == "vector":
-            best = text_search(self.chunks, question, k)
-            rows = best.join(self.chunks, "chunk_id").orderBy(F.desc("score"), "chunk_id").select(F.substring("text", 1, 400).alias("line")).collect()
-        elif method == "sect_agg" and (sect or person):
-            what = "founded" if not sect else "founders" if any(w in question for w in (*answer.FOUNDING, "谁创", "创始人")) else "arts" if any(w in question for w in ("绝学", "武功", "会什么", "精通")) else "members"
-            rows = answer.sect_agg(self.edges, sect or person, what, k).select(F.concat(F.lit(f"{sect or person}："), "name").alias("line")).collect()
-        elif method == "art_lineage" and art:
-            what = "origin" if any(w in question for w in ("创始人", "谁创", "源自", "出自")) else "practitioners" if any(w in question for w in ("谁会", "哪些人会", "精通")) else "lineage"
-            rows = answer.art_lineage(self.edges, art, what, k).select(F.concat_ws(" -> ", "src", "dst").alias("line")).collect()
-        elif method == "master_chain" and person:
-            down = any(w in question for w in answer.DOWN_WORDS)
-            hops = self.spark.createDataFrame([(question,)], "q string").select(answer.chain_length(F.col("q"))).first()[0]
-            rows = answer.master_chain(self.edges, person, hops, "out" if down else "in", k).select(F.array_join("names", " -> ").alias("line")).collect()
-        elif method == "person_relation" and person:
-            steps = sequential.plan(question, [m for m in links if m["label"] == PERSON])
-            if not steps:
-                return "unsupported_relation", []
-            targets = {i: s["target"] for i, s in enumerate(steps) if s["target"]}
-            paths = match.traverse(self.edges, person, [(s["relation"], s["direction"]) for s in steps], k, targets)
-            rows = paths.select(F.array_join("names", " -> ").alias("line")).collect()
-        elif method == "cross_novel" and person:
-            rows = answer.cross_novel(self.nodes, self.edges, person, k).select(F.format_string("%s（%d）", "name", "distance").alias("line")).collect()
-        else:
-            return "no_entity", []
-        lines = list(dict.fromkeys(r["line"].strip() for r in rows if r["line"] and r["line"].strip()))
-        return ("ok" if lines else "no_result"), lines
+        return linking.link(question, linking.candidates(self.words.get(), question), labels)
+
+    def route(self, question: str, links: list[linking.Link]) -> dict:
+        rows = [(question, [(m.canonical, m.label, m.confidence) for m in links])]
+        return linking.intents(self.spark.createDataFrame(rows, "question string, links array<struct<canonical:string,label:string,confidence:double>>")).first().asDict()
+
+    def alias_names(self, links: list[linking.Link], label: str) -> dict[str, str]:
+        """Aliases among the linked names that mean one entity of the label."""
+        names = sorted({m.name for m in links} | {m.canonical for m in links})
+        found = linking.alias_mapping(self.words.get(), label).where(F.col("form").isin(*names)) if names else None
+        return {r["form"]: r["canonical"] for r in found.collect()} if found is not None else {}
+
+    def retrieve(self, method: str, question: str, links: list[linking.Link], k: int) -> Found:
+        """What one method finds for a question."""
+        run = {
+            "vector": self._vector, "fulltext": self._fulltext, "chunk_graph": self._chunk_graph, "sect_agg": self._sect, "art_lineage": self._art,
+            "master_chain": self._masters, "person_relation": self._relation, "cross_novel": self._cross,
+        }[method]
+        found = run(question, links, k)
+        lines = list(dict.fromkeys(x.strip() for x in found.lines if x and x.strip()))
+        return Found("ok" if lines else found.status if found.status != "ok" else "no_result", lines, found.notes)
+
+    def _lines(self, rows: DataFrame, line: Column, **notes) -> Found:
+        return Found("ok", [r["line"] for r in rows.select(line.alias("line")).collect()], notes)
+
+    def _vector(self, question: str, links: list[linking.Link], k: int) -> Found:
+        rows, reason = retrieval.embed_and_search(self.spark, self.index, question, self.embedder, self.chunks, k)
+        return self._lines(rows, F.col("text"), **({"degraded": reason} if reason else {}))
+
+    def _fulltext(self, question: str, links: list[linking.Link], k: int) -> Found:
+        best = text_search(self.chunks, question, k)
+        return self._lines(best.join(self.chunks, "chunk_id").orderBy(F.desc("score"), "chunk_id"), F.col("text"))
+
+    def _chunk_graph(self, question: str, links: list[linking.Link], k: int) -> Found:
+        words = self.nodes.select("name").distinct()
+        best = vector_search(self.chunks, question, k, self.embedder, self.index)
+        mentions = best.join(words, F.col("text").contains(F.col("name"))).select("chunk_id", "name")  # k chunks, which are broadcast
+        facts = match.expand_mentions(mentions, self.edges).orderBy("chunk_id", "rank").limit(2 * k)
+        return self._lines(facts, F.concat_ws(" ", "name", "type", "other"))
+
+    def _sect(self, question: str, links: list[linking.Link], k: int) -> Found:
+        sect = next((m.canonical for m in links if m.label == SECT), None)
+        people = [m for m in links if m.label == PERSON]
+        if sect is None:
+            if not people or not says(question, FOUNDER_WORDS):
+                return Found("no_entity")
+            # Of several persons the one that the verb follows, not one who introduces them.
+            who = next((m for m in reversed(people) if question[m.end :].lstrip().startswith(answer.FOUNDING)), people[0]).canonical
+            return self._lines(answer.sect_agg(self.edges, who, "founded", k), F.concat(F.lit(f"{who}："), "name"))
+        what = "founders" if says(question, FOUNDER_WORDS) else "arts" if says(question, SECT_ART_WORDS) else "members"
+        notes = {"leader_unsupported": True} if what == "members" and says(question, LEADER_WORDS) else {}
+        return self._lines(answer.sect_agg(self.edges, sect, what, k), F.concat(F.lit(f"{sect}："), "name"), **notes)
+
+    def _art(self, question: str, links: list[linking.Link], k: int) -> Found:
+        art = next((m.canonical for m in links if m.label == ART), None)
+        if art is None:
+            return Found("no_entity")
+        what = "origin" if says(question, ORIGIN_WORDS) else "practitioners" if says(question, PRACTICE_WORDS) else "lineage"
+        return self._lines(answer.art_lineage(self.edges, art, what, k), F.concat_ws(" -> ", "src", "dst"))
+
+    def _masters(self, question: str, links: list[linking.Link], k: int) -> Found:
+        person = next((m.canonical for m in links if m.label == PERSON), None)
+        if person is None:
+            return Found("no_entity")
+        hops = self.spark.createDataFrame([(question,)], "q string").select(answer.chain_length(F.col("q"))).first()[0]
+        rows = answer.master_chain(self.edges, person, hops, "out" if says(question, answer.DOWN_WORDS) else "in", k)
+        return self._lines(rows, F.array_join("names", " -> "))
+
+    def _relation(self, question: str, links: list[linking.Link], k: int) -> Found:
+        named = [m for m in links if m.label == PERSON]
+        aliases = self.alias_names(named, PERSON)
+        focused, people = linking.focus(question, named, aliases)
+        if not people:
+            return Found("no_entity")
+        steps = sequential.plan(focused, [vars(m) for m in people])
+        if not steps:
+            why = linking.unsupported(question)
+            return Found("unsupported_relation", notes={"unsupported": why}) if why else Found("no_relation")
+        targets = {i: s["target"] for i, s in enumerate(steps) if s["target"]}
+        same = linking.alias_mapping(self.words.get(), PERSON).withColumnRenamed("form", "alias")
+        paths = match.traverse(self.edges, people[0].canonical, [(s["relation"], s["direction"]) for s in steps], k, targets, same)
+        return self._lines(paths, F.array_join("names", " -> "), plan=sequential.plan_text(steps))
+
+    def _cross(self, question: str, links: list[linking.Link], k: int) -> Found:
+        seeds = list(dict.fromkeys(m.canonical for m in links if m.label == PERSON))
+        if not seeds:
+            return Found("no_entity")
+        line = F.format_string("%s 与 %s：%s，%d", "source", "name", F.when(F.col("blood"), "血缘关联").otherwise("一般关联"), "distance")
+        if len(seeds) > 1:
+            return self._lines(answer.cross_pairs(self.edges, seeds, k), line)
+        return self._lines(answer.cross_novel(self.nodes, self.edges, seeds[0], k).withColumn("source", F.lit(seeds[0])), line)
 
     def ask(self, question: object, method: str | None = None, k: object = 5) -> Reply:
         """Answer by a method, or by the one that the question's intent names.
 
-        A graph method without evidence gives way to text search if that has some.
+        A graph method without evidence gives way to vector search if that has some.
         """
         began, text, limit = time.perf_counter(), checked_question(question), maintain.top_k(k)
-        links = self.link(text)
-        intent, routed = self.route(text, links)
         if method is not None and method not in answer.METHODS:
             raise RequestError(f"unknown method {method}")
-        name, left = method or routed, ""
-        status, lines = self.retrieve(name, text, links, limit)
-        if method is None and status != "ok" and name != "vector":
-            other, found = self.retrieve("vector", text, links, limit)
-            if found:
-                left, name, status, lines = name, "vector", other, found
-        kept, used = [], 0
-        for line in lines:
-            if kept and used + len(line) > BUDGET:
-                break
-            kept.append(line)
-            used += len(line) + 1
-        said = ""
-        if kept:
-            try:
-                said, status = self.generate(text, "\n".join(kept)), "ok"
-            except OSError:
-                status = "degraded"
-        else:
-            status = "no_context"
-        return Reply(text, intent, name, status, said, kept, left, 1000 * (time.perf_counter() - began))
+        links = self.link(text)
+        intent = self.route(text, links)
+        name, left = method or intent["method"], ""
+        found = self.retrieve(name, text, links, limit)
+        if method is None and found.status != "ok" and name != "vector":
+            other = self.retrieve("vector", text, links, limit)
+            if other.lines:
+                left, name, found = name, "vector", Found(other.status, other.lines, found.notes | other.notes)
+        kept = within_budget(found.lines, BUDGET)
+        said, status, attempts, reason = generated(self.generate, text, "\n".join(kept))
+        notes = found.notes | {"attempts": attempts} | ({"reason": reason} if reason else {})
+        status = {"unavailable": "degraded"}.get(status, status)
+        injection = self.spark.range(1).select(linking.injection_name(F.lit(name))).first()[0]
+        return Reply(text, intent["intent"], name, status, said, kept, left, 1000 * (time.perf_counter() - began), intent["confidence"], intent["seed"], intent["seed_id"], injection, notes)
+
+    def query(self, sql: str, params: dict | None = None, eras: list[str] | None = None) -> DataFrame:
+        """A SQL query over the tables nodes, edges and chunks, with named parameters, and :eras where it has them.
+
+        Raises Unavailable for a query that cannot run.
+        """
+        given = dict(params or {})
+        if "eras" not in given and eras:
+            given["eras"] = F.array(*map(F.lit, eras))
+        elif "eras" not in given:
+            sql = re.sub(r":eras\b", "CAST(NULL AS ARRAY<STRING>)", sql)
+        names = {f"weft_{t}_{uuid.uuid4().hex}": t for t in ("nodes", "edges", "chunks")}
+        for view, t in names.items():
+            getattr(self, t).createOrReplaceTempView(view)
+        ctes = ", ".join(f"{t} AS (SELECT * FROM {view})" for view, t in names.items())
+        own = sql.strip()
+        whole = f"WITH {ctes}, {own[4:]}" if own[:5].upper() == "WITH " else f"WITH {ctes} {own}"
+        try:
+            return self.spark.sql(whole, args=given or None)
+        except PySparkException as e:
+            raise retrieval.Unavailable(str(e).splitlines()[0]) from e
+        finally:
+            for view in names:
+                self.spark.catalog.dropTempView(view)
+
+    def health(self) -> dict:
+        """Whether the tables can be read, what the index was made by, whether names are degraded, and the methods."""
+        out: dict = {"graph": "ok", "index": None, "error": "", "methods": sorted(answer.METHODS)}
+        try:
+            self.nodes.limit(1).count()
+            out["index"] = retrieval.read_meta(self.spark, self.index) if self.index else None
+        except PySparkException as e:
+            out |= {"graph": "unavailable", "error": str(e).splitlines()[0]}
+        self.words.get()
+        return out | {"names_degraded": self.words.degraded_reason}
+
+
+def within_budget(lines: list[str], budget: int) -> list[str]:
+    """Lines until one would pass the budget; the first always stays."""
+    kept, used = [], 0
+    for line in lines:
+        if kept and used + len(line) > budget:
+            break
+        kept.append(line)
+        used += len(line) + 1
+    return kept
 
 
 def report(summary: DataFrame, title: str) -> str:
@@ -211,7 +375,3 @@ def report(summary: DataFrame, title: str) -> str:
     rows = summary.collect()
     head = [f"# {title}", "", "| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
     return "\n".join(head + ["| " + " | ".join("-" if v is None else str(v) for v in r) + " |" for r in rows])
-
-
-def hits(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("hit", F.exists("accepted", lambda a: affirmed(F.col("answer"), a)))
