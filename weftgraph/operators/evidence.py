@@ -121,7 +121,7 @@ def _texts(bundles: Column) -> Column:
 
 
 def _path_lines(bundles: Column) -> Column:
-    return F.flatten(F.transform(bundles, lambda b: F.when(b["kind"] == "chunk", F.array(b["text"])).otherwise(F.transform(b["edges"], _edge_line))))
+    return F.flatten(F.transform(bundles, lambda b: F.when(b["kind"] == "chunk", F.array(b["text"])).otherwise(F.transform(b["edges"], lambda e: _edge_line(e)))))
 
 
 def _triple_lines(bundles: Column) -> Column:
@@ -154,7 +154,7 @@ def _sect_lines(bundles: Column) -> Column:
 
 def within(lines: Column, budget: int) -> Column:
     """Distinct, non-empty lines until one would pass the budget; the first always stays."""
-    clean = F.array_distinct(F.filter(F.transform(lines, F.trim), lambda x: x != ""))
+    clean = F.array_distinct(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("used"), F.lit(False).alias("full"))
 
     def add(s: Column, x: Column) -> Column:

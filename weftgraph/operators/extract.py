@@ -6,6 +6,8 @@ of the tests is deterministic; a remote one plugs in the same way.
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,38 +20,59 @@ from weftgraph.operators.match import both_ways, check_relations
 from weftgraph.schema import ART, ART_TYPES, LABELS, PAYLOAD, SECT, ontology
 
 
-def ask(chunks: DataFrame, provider: Callable[[str], str]) -> DataFrame:
-    """chunks with answer; a provider's error is a null answer, which can be tried again."""
+# Names of a provider's errors that no second try mends.
+FATAL = ("AuthenticationError", "PermissionDeniedError", "BadRequestError", "NotFoundError")
 
-    @pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> str | None:
-            try:
-                return provider(text)
-            except (OSError, ValueError):
-                return None
 
-        return texts.map(one)
+def ask(chunks: DataFrame, provider: Callable[[str], str], attempts: int = 3, pause: float = 0.0) -> DataFrame:
+    """chunks with answer, error and attempts; an error's name says whether it is tried again.
+
+    An answer that is no JSON object is tried again too. What stays is the last answer, if there was one.
+    """
+
+    @pandas_udf("answer string, error string, attempts int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        def one(text: str) -> tuple[str | None, str | None, int]:
+            said, error = None, None
+            for attempt in range(1, attempts + 1):
+                try:
+                    said, error = provider(text), None
+                    if said is not None and _object(said):
+                        return said, None, attempt
+                except Exception as e:  # a provider's errors are its own
+                    said, error = None, f"{type(e).__name__}: {e}"
+                    if type(e).__name__ in FATAL:
+                        return None, error, attempt
+                if attempt < attempts:
+                    time.sleep(min(pause * 2 ** (attempt - 1), 8))
+            return said, error, attempts
+
+        return pd.DataFrame([one(t) for t in texts], columns=["answer", "error", "attempts"])
+
+    return chunks.withColumn("_said", run(F.col("text"))).select(*chunks.columns, "_said.answer", "_said.error", "_said.attempts")
 
-    return chunks.withColumn("answer", run(F.col("text")))
+
+def _object(answer: str) -> bool:
+    begin, end = answer.find("{"), answer.rfind("}")
+    try:
+        return begin >= 0 and isinstance(json.loads(answer[begin : end + 1]), dict)
+    except ValueError:
+        return False
 
 
 def parse(answers: DataFrame) -> DataFrame:
-    """answers with payload and status: ok, empty, or retryable if the answer is no such JSON."""
-    json = F.regexp_extract(without_fence(F.col("answer")), r"(?s)(\{.*\})", 1)
-    payload = F.from_json(json, PAYLOAD + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    """answers with payload and status: ok, empty, retryable if the answer is no such JSON, or fatal if the error says so."""
+    said = F.regexp_extract(without_fence(F.col("answer")), r"(?s)(\{.*\})", 1)
+    payload = F.from_json(said, PAYLOAD + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     out = answers.withColumn("payload", payload)
-    bad = F.col("answer").isNull() | F.col("payload").isNull() | F.col("payload._bad").isNotNull() | (json == "")
+    fatal = F.coalesce(F.substring_index("error", ":", 1).isin(*FATAL), F.lit(False)) if "error" in answers.columns else F.lit(False)
+    bad = F.col("answer").isNull() | F.col("payload").isNull() | F.col("payload._bad").isNotNull() | (said == "")
     none = (F.coalesce(F.size("payload.entities"), F.lit(0)) <= 0) & (F.coalesce(F.size("payload.relationships"), F.lit(0)) <= 0)
-    return out.withColumn("status", F.when(bad, "retryable").when(none, "empty").otherwise("ok"))
+    return out.withColumn("status", F.when(fatal, "fatal").when(bad, "retryable").when(none, "empty").otherwise("ok"))
 
 
-def entities(parsed: DataFrame, era: str = "era") -> DataFrame:
-    """Clean entities of chunks: chunk_id, type, name, era, description, location, art_type.
-
-    An art type given as the type means an art. Unknown types and noise names go; of names that
-    a chunk gives two types, the first type stays.
-    """
+def _named(parsed: DataFrame, era: str) -> DataFrame:
+    """What chunks say of entities, with known types and names: chunk_id, pos, type, name, era, description, location, art_type."""
     e = parsed.where("status = 'ok'").select("chunk_id", F.col(era).alias("chunk_era"), F.posexplode("payload.entities").alias("pos", "e"))
     given = stripped(F.coalesce("e.type", F.lit("")))
     kind = F.when(given.isin(*ART_TYPES), ART).otherwise(given)
@@ -58,7 +81,23 @@ def entities(parsed: DataFrame, era: str = "era") -> DataFrame:
                  F.coalesce(F.nullif(stripped(F.coalesce("e.era", F.lit(""))), F.lit("")), "chunk_era").alias("era"),
                  F.substring(F.coalesce("e.description", F.lit("")), 1, 500).alias("description"),
                  F.when(kind == SECT, F.col("e.location")).alias("location"), F.when(kind == ART, art_type).alias("art_type"))
-    e = e.where(F.col("type").isin(*LABELS) & ~is_noise(F.col("name")))
+    return e.where(F.col("type").isin(*LABELS) & ~is_noise(F.col("name")))
+
+
+def type_conflicts(parsed: DataFrame, era: str = "era") -> DataFrame:
+    """chunk_id, name, kept, given of names that a chunk gives another type than it gave first; these are rejected."""
+    e = _named(parsed, era)
+    first = e.groupBy("chunk_id", "name").agg(F.min_by("type", "pos").alias("kept"))
+    return e.join(first, ["chunk_id", "name"]).where("type != kept").select("chunk_id", "name", "kept", F.col("type").alias("given")).distinct()
+
+
+def entities(parsed: DataFrame, era: str = "era") -> DataFrame:
+    """Clean entities of chunks: chunk_id, type, name, era, description, location, art_type.
+
+    An art type given as the type means an art. Unknown types and noise names go; of names that
+    a chunk gives two types, the first type stays; type_conflicts() has the others.
+    """
+    e = _named(parsed, era)
     first = e.groupBy("chunk_id", "name").agg(F.min_by(F.struct("type", "era", "description", "location", "art_type"), "pos").alias("v"))
     return first.select("chunk_id", "name", "v.*")
 

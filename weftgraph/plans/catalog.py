@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import sequential, text
 from weftgraph.operators import align, answer, extract, graph, match, stats, store, vectors
-from weftgraph.plans import upkeep  # noqa: F401  its queries join the registry
-from weftgraph.plans.projection import chunks, edges, nodes, table
+from weftgraph.plans import questions, upkeep  # noqa: F401  their queries join the registry
+from weftgraph.plans.projection import chunks, edges, nodes, shared_folder, table
 from weftgraph.plans.registry import oracle_sql, queries, query
 from weftgraph.schema import ART, NOISE_NAMES, PERSON, RELATIONS, SECT, ontology
 from weftgraph.sources import files
@@ -529,23 +528,15 @@ def extraction_relations(spark, d):
 
 @query("SELECT 'nodes' AS kind, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges WHERE type IN ('PARENT_OF', 'SPOUSE_OF')")
 def backup_restore_counts(spark, d):
-    where = _folder(spark)
+    where = shared_folder(spark)
     files.backup(nodes(spark, d), _family(spark, d), where)
     return files.counts(*files.restore(spark, where))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the session's shared one, or of this machine where none is set."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/weft/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="weft-")
-
-
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1", False)
 def stream_event_upsert(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
-    where = _folder(spark)
+    where = shared_folder(spark)
     e.where("event_id % 2 = 0").write.parquet(f"{where}/in/a")
     ingest.upsert(spark, f"{where}/in/*", e.schema, f"{where}/out", f"{where}/cp", "user_id", ["event_id"])
     e.where("event_id % 2 = 1").write.parquet(f"{where}/in/b")

@@ -6,6 +6,9 @@ prefix of every oracle, so both sides state the projection once.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the session's shared one; only a local session may go without one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{shared.rstrip('/')}/weft/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="weft-")
+
+
 def art(key) -> F.Column:
     return F.concat(F.lit("Part#"), key.cast("string"))
 

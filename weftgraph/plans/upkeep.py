@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import align, answer, graph, maintain, merge, service, stats, store
 from weftgraph.plans.projection import chunks, edges, nodes, table
+from weftgraph.plans.questions import similar_sql
 from weftgraph.plans.registry import query
 from weftgraph.schema import ART, PERSON, SECT
 
@@ -247,17 +248,7 @@ def _mentions(spark, d):
     return chunks(spark, d).join(n, "book").select("chunk_id", "name")
 
 
-_BEST = r"""t AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\x{4e00}-\x{9fff}]|[a-zA-Z0-9_]+') AS t FROM chunks), c AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t), h AS (SELECT chunk_id, len(t) AS size, unnest(t) AS tok FROM t),
-q AS (SELECT chunk_id, size, tok, count(*) AS tf FROM h WHERE tok IN ('released', 'license') GROUP BY ALL), df AS (SELECT tok, count(*) AS df FROM q GROUP BY 1),
-best AS (SELECT chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 4) AS score FROM q JOIN df USING (tok) CROSS JOIN c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)"""
-
-
-@query(f"WITH {_BEST} SELECT chunk_id, score FROM best")
-def method_vector(spark, d):
-    return service.text_search(chunks(spark, d), "released license", 5)
-
-
-@query(f"""WITH {_BEST}, m AS (SELECT chunk_id, n_name AS name FROM chunks JOIN nation ON book = 'src' || n_nationkey WHERE chunk_id IN (SELECT chunk_id FROM best)),
+@query(f"""WITH {similar_sql("released license", 5)}, m AS (SELECT chunk_id, n_name AS name FROM chunks JOIN nation ON book = 'src' || n_nationkey WHERE chunk_id IN (SELECT chunk_id FROM best)),
 b AS (SELECT src AS name, type, dst AS other FROM edges WHERE type IN ('FOUNDER_OF', 'LOCATED_IN') UNION ALL SELECT dst, type, src FROM edges WHERE type IN ('FOUNDER_OF', 'LOCATED_IN')), f AS (SELECT DISTINCT chunk_id, m.name, type, other FROM m JOIN b USING (name)),
 r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY type, name, other) AS k FROM f QUALIFY k <= 12) SELECT chunk_id, name, type, other FROM r ORDER BY chunk_id, k LIMIT 10""")
 def method_search_and_expand(spark, d):
