@@ -109,6 +109,13 @@ def era_of_book(book: Column) -> Column:
     return F.coalesce(exact, *[F.when(book.contains(b), e) for b, e in BOOK_ERA.items()])
 
 
+def known_era(value: Column) -> Column:
+    """An era as it is called: itself, or that of the book that is named; null for neither."""
+    eras = tuple(dict.fromkeys(BOOK_ERA.values()))
+    said = stripped(F.coalesce(value, F.lit("")))
+    return F.when(said.isin(*eras), said).otherwise(era_of_book(said))
+
+
 def era_scope(question: Column) -> Column:
     """Eras that the longest era keyword of a question names; empty if it has none."""
     ranked = sorted(ERA_KEYWORDS.items(), key=lambda x: -len(x[0]))

@@ -45,7 +45,7 @@ def similar_pairs(nodes: DataFrame, least: float = 0.85, block: int = 2) -> Data
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.name") < F.col("b.name")) & (F.abs(F.length("a.name") - F.length("b.name")) <= 2))
     pairs = met.select(F.col("a.label").alias("label"), F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
-    return pairs.withColumn("score", F.round(name_scores(F.col("a"), F.col("b")), 4)).where(F.col("score") >= least)
+    return pairs.withColumn("score", F.round(name_scores(F.col("a"), F.col("b")), 4)).where(F.col("score") >= least).orderBy(F.desc("score"), "label", "a", "b")
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:

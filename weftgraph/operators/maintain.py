@@ -125,15 +125,21 @@ def current_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("dataset_version").isNotNull())
 
 
-def wipe(spark: SparkSession, path: str, apply: bool = False, force: bool = False) -> bool:
-    """Delete a stored table; only with both flags. Without them it reports whether there is one."""
+def wipe(spark: SparkSession, path: str, apply: bool = False, force: bool = False, thorough: bool = False) -> bool:
+    """Delete a stored table; only with both flags. Without them it reports whether there is one.
+
+    thorough deletes what lies beside it under the same name too: its index and its sidecars.
+    """
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = fs.exists(where)
-    if there and apply and force:
-        fs.delete(where, True)
-    return bool(there)
+    there = False
+    for one in (path, *([f"{path}-index", f"{path}-state"] if thorough else [])):
+        where = jvm.org.apache.hadoop.fs.Path(one)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.exists(where)
+        there |= bool(found)
+        if found and apply and force:
+            fs.delete(where, True)
+    return there
 
 
 def save_state(path: str, state: dict) -> None:

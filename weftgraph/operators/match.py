@@ -22,6 +22,12 @@ def _with_eras(nodes: DataFrame) -> DataFrame:
     return nodes if "eras" in nodes.columns else nodes.withColumn("eras", F.lit(None).cast("array<string>"))
 
 
+def scoped_nodes(nodes: DataFrame, eras: list[str] | None = None, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """name, label, era of the nodes of some eras and labels; what is not given does not filter."""
+    out = nodes if eras is None else nodes.where(F.col("era").isin(*eras))
+    return (out if labels is None else out.where(F.col("label").isin(*labels))).select("name", "label", "era")
+
+
 def scoped_edges(nodes: DataFrame, edges: DataFrame, eras: list[str] | None) -> DataFrame:
     """Edges both of whose endpoints lie in the eras (all edges if there are none)."""
     if eras is None:

@@ -6,6 +6,7 @@ context's first line, so that everything runs without a network. So is the embed
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
@@ -370,6 +371,11 @@ def within_budget(lines: list[str], budget: int) -> list[str]:
     return kept
 
 
+def report_json(summary: DataFrame, title: str) -> str:
+    """A summary as JSON, as report() has it as Markdown."""
+    return json.dumps({"title": title, "rows": [r.asDict(recursive=True) for r in summary.collect()]}, ensure_ascii=False, default=str)
+
+
 def report(summary: DataFrame, title: str) -> str:
     """A summary as a Markdown table; a row for each group of a summary, so it is small."""
     rows = summary.collect()

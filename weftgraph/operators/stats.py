@@ -15,6 +15,12 @@ def edges_by_type(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.size(F.coalesce("chunk_ids", F.array().cast("array<string>"))) == 0).alias("n_bare"), F.count_if(F.col("src") == F.col("dst")).alias("n_loops"))
 
 
+def evidence_of_all(edges: DataFrame) -> DataFrame:
+    """One row: all edges, those with chunks, and those that are quoted."""
+    held = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    return edges.agg(F.count("*").alias("n"), F.count_if(held("chunk_ids")).alias("with_chunks"), F.count_if(held("snippets")).alias("with_snippets"))
+
+
 def inventory(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row for each label and relation type: kind, name, n."""
     a = nodes.groupBy("label").agg(F.count("*").alias("n")).select(F.lit("label").alias("kind"), F.col("label").alias("name"), "n")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import sequential, text
-from weftgraph.operators import align, answer, extract, graph, match, stats, store, vectors
+from weftgraph.operators import align, answer, evaluate, extract, graph, match, stats, store, vectors
 from weftgraph.plans import questions, upkeep  # noqa: F401  their queries join the registry
 from weftgraph.plans.projection import chunks, edges, nodes, shared_folder, table
 from weftgraph.plans.registry import oracle_sql, queries, query
@@ -121,9 +120,9 @@ def _mentions(spark, d):
 
 @query(f"""WITH m AS ({_MENTIONS}), b AS (SELECT src AS name, type, dst AS other FROM edges WHERE type IN ('PARENT_OF', 'SPOUSE_OF', 'BELONGS_TO') UNION ALL SELECT dst, type, src FROM edges WHERE type IN ('PARENT_OF', 'SPOUSE_OF', 'BELONGS_TO')),
 f AS (SELECT DISTINCT chunk_id, m.name, type, other FROM m JOIN b USING (name))
-SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY type, name, other)::INT AS rank FROM f QUALIFY rank <= 3""")
+SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY type, name, other)::INT AS rank FROM f QUALIFY rank <= 12""")
 def chunk_entity_expansion(spark, d):
-    return match.expand_mentions(_mentions(spark, d), edges(spark, d, ("PARENT_OF", "SPOUSE_OF", "BELONGS_TO")), 3)
+    return match.expand_mentions(_mentions(spark, d), edges(spark, d, ("PARENT_OF", "SPOUSE_OF", "BELONGS_TO")), 12)
 
 
 @query("""WITH p AS (SELECT src, dst FROM edges WHERE type = 'PARENT_OF'), t AS (SELECT min(src) AS s FROM p),
@@ -218,13 +217,13 @@ def _node_rows(spark, d):
     e = table(spark, d, "events")
     return e.select(
         F.col("event_id").alias("ord"), F.lit(PERSON).alias("label"), F.concat(F.lit("user"), (F.col("user_id") % 50).cast("string")).alias("name"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("era"),
-        F.concat(F.lit("book"), (F.col("event_id") % 4).cast("string")).alias("book"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.substring("props", 1, 30)).alias("description"),
+        F.concat(F.lit("book"), (F.col("event_id") % 4).cast("string")).alias("book"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("props")).alias("description"),
         F.lit(None).cast("string").alias("location"), F.when(F.col("event_id") % 11 == 0, F.col("event_type")).alias("art_type"),
     )
 
 
 _NODE_ROWS = f"""SELECT event_id AS ord, '{PERSON}' AS label, 'user' || (user_id % 50) AS name, CASE WHEN event_id % 3 > 0 THEN event_type END AS era, 'book' || (event_id % 4) AS book,
-CASE WHEN event_id % 5 = 0 THEN '' ELSE substr(props, 1, 30) END AS description, CASE WHEN event_id % 11 = 0 THEN event_type END AS art_type FROM events"""
+CASE WHEN event_id % 5 = 0 THEN '' ELSE props END AS description, CASE WHEN event_id % 11 = 0 THEN event_type END AS art_type FROM events"""
 
 
 @query(f"""WITH r AS ({_NODE_ROWS}), e AS (SELECT label, name, era, min(ord) AS o FROM r WHERE era <> '' GROUP BY ALL), b AS (SELECT label, name, book, min(ord) AS o FROM r GROUP BY ALL)
@@ -298,10 +297,10 @@ def alias_conflicts(spark, d):
     return stats.conflicts(_aliases(spark, d))
 
 
-@query(f"""WITH a AS (SELECT p_name AS alias, '{ART}' AS label, 'Part#' || (p_size % 70) AS canonical FROM part WHERE p_partkey % 100 = 0)
+@query(f"""WITH a AS (SELECT p_name AS alias, '{ART}' AS label, 'Part#' || (p_size % 70) AS canonical FROM part)
 SELECT alias, label, max(canonical) AS canonical FROM a GROUP BY 1, 2 HAVING count(DISTINCT canonical) = 1 AND max(canonical) IN (SELECT name FROM nodes WHERE label = '{ART}')""")
 def alias_unique_map(spark, d):
-    a = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_name").alias("alias"), F.lit(ART).alias("label"), F.concat(F.lit("Part#"), (F.col("p_size") % 70).cast("string")).alias("canonical"))
+    a = table(spark, d, "part").select(F.col("p_name").alias("alias"), F.lit(ART).alias("label"), F.concat(F.lit("Part#"), (F.col("p_size") % 70).cast("string")).alias("canonical"))
     return stats.unique_aliases(a, nodes(spark, d))
 
 
@@ -363,12 +362,9 @@ def vector_topk_postfilter(spark, d):
 _TOKENS = r"regexp_extract_all(lower(text), '[\x{4e00}-\x{9fff}]|[a-zA-Z0-9_]+')"
 
 
-@query(rf"""WITH t AS (SELECT item_id, unnest({_TOKENS}) AS tok FROM benchmark), h AS (SELECT item_id, sha256(tok) AS x FROM t),
-s AS (SELECT item_id, (('0x' || substr(x, 1, 8))::BIGINT % 256) AS slot, CASE WHEN ('0x' || substr(x, 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM h),
-c AS (SELECT item_id, slot, sum(sign) AS sum FROM s GROUP BY 1, 2 HAVING sum(sign) <> 0)
-SELECT item_id, slot, round(sum / sqrt(sum(sum * sum) OVER (PARTITION BY item_id)), 6) AS weight FROM c""", False)
+@query(f"SELECT doc_id, slot, w AS weight FROM {questions.hashed_sql('SELECT doc_id, text FROM documents', 'doc_id')}", False)
 def hash_embedding_sparse(spark, d):
-    return vectors.hash_embedding(table(spark, d, "benchmark"), "item_id", "text")
+    return vectors.hash_embedding(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(rf"""WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents), c AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t), h AS (SELECT doc_id, len(t) AS size, unnest(t) AS tok FROM t),
@@ -385,14 +381,21 @@ def sentence_cooccurrence(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.sentences(t)).alias("n_sentences"), F.size(text.shared_sentences(t, F.lit("the"), F.lit("and"))).alias("n_shared"))
 
 
-@query(r"""SELECT doc_id, item_id, CASE WHEN NOT contains(regexp_replace(d.text, '[\s\p{Z}]+', '', 'g'), regexp_replace(b.text, '[\s\p{Z}]+', '', 'g')) THEN 'not_in_text' END AS reason
-FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""", False)
+@query(r"""WITH e AS (SELECT doc_id, d.text, doc_id % 5 AS k, CASE doc_id % 5 WHEN 0 THEN b.text WHEN 1 THEN '甲 是乙的师父' WHEN 2 THEN '甲杀乙' ELSE '' END AS evidence FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
+SELECT doc_id, CASE k WHEN 0 THEN CASE WHEN contains(regexp_replace(text, '[\s\p{Z}]+', '', 'g'), regexp_replace(evidence, '[\s\p{Z}]+', '', 'g')) THEN 'no_kinship' ELSE 'not_in_text' END WHEN 2 THEN 'not_in_text' WHEN 3 THEN 'no_shared_sentence' WHEN 4 THEN 'no_kinship_sentence' ELSE 'no_kinship' END AS reason, NULL::VARCHAR AS adopted FROM e
+UNION ALL SELECT doc_id + 1000000000, NULL, '甲是乙的父亲。' FROM documents""", False)
 def evidence_gate(spark, d):
     b = table(spark, d, "benchmark")
     n = b.count()
-    rows = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % n).join(b.select("item_id", F.col("text").alias("evidence")), "item_id")
-    reason, _ = text.evidence_gate(F.lit("ENEMY_OF"), F.lit("a"), F.lit("b"), F.col("evidence"), F.col("text"))
-    return rows.select("doc_id", "item_id", reason.alias("reason"))
+    k = F.col("doc_id") % 5
+    rows = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % n).join(b.select("item_id", F.col("text").alias("passage")), "item_id")
+    said = F.when(k == 0, F.col("passage")).when(k == 1, "甲 是乙的师父").when(k == 2, "甲杀乙").otherwise("")
+    body = F.when(k == 1, F.concat(F.lit("甲是乙的师父。\n"), "text")).when(k == 3, F.concat(F.lit("甲来。乙去。\n"), "text")).when(k == 4, F.concat(F.lit("甲见乙。\n"), "text")).otherwise(F.col("text"))
+    judged = rows.select("doc_id", said.alias("said"), body.alias("body"))
+    whole = table(spark, d, "documents").select((F.col("doc_id") + 1000000000).alias("doc_id"), F.lit("").alias("said"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n甲见乙。甲是乙的父亲。")).alias("body"))
+    judged = judged.unionByName(whole)
+    reason, adopted = text.evidence_gate(F.lit("PARENT_OF"), F.lit("甲"), F.lit("乙"), F.col("said"), F.col("body"))
+    return judged.select("doc_id", reason.alias("reason"), adopted.alias("adopted"))
 
 
 @query()
@@ -411,12 +414,16 @@ def context_budget(spark, d):
     return stats.within_budget(lines, "doc_id", "k", "line", 800).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
 
 
-@query("""SELECT e.src, e.dst, e.chunk_ids[1] AS chunk_id, o.o_orderkey IS NOT NULL AS chunk_exists, coalesce(o.o_orderpriority LIKE '%URGENT%', false) AS found
-FROM edges e LEFT JOIN orders o ON o.o_orderkey::VARCHAR = e.chunk_ids[1] WHERE type = 'MASTER_OF'""")
+@query("""WITH e AS (SELECT src, type, dst, chunk_ids[1] AS chunk_id FROM edges WHERE type = 'MASTER_OF')
+SELECT e.src, e.type, e.dst, e.chunk_id, CASE length(e.dst) % 2 WHEN 0 THEN 'URGENT' ELSE right(e.chunk_id, 1) || '-' END AS snippet, o.o_orderkey IS NOT NULL AS chunk_exists,
+  coalesce(contains(o.o_orderpriority || ' ' || right(e.chunk_id, 1) || '-', CASE length(e.dst) % 2 WHEN 0 THEN 'URGENT' ELSE right(e.chunk_id, 1) || '-' END), false) AS found
+FROM e LEFT JOIN orders o ON o.o_orderkey::VARCHAR = e.chunk_id AND o.o_orderkey % 7 > 0""")
 def snippet_verification(spark, d):
-    e = edges(spark, d, ("MASTER_OF",)).select("src", "dst", F.get("chunk_ids", F.lit(0)).alias("chunk_id"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.col("o_orderpriority").alias("t"))
-    return e.join(o, "chunk_id", "left").select("src", "dst", "chunk_id", F.col("t").isNotNull().alias("chunk_exists"), F.coalesce(F.col("t").contains("URGENT"), F.lit(False)).alias("found"))
+    said = F.when(F.length("dst") % 2 == 0, "URGENT").otherwise(F.concat(F.substring(F.get("chunk_ids", F.lit(0)), -1, 1), F.lit("-")))
+    e = edges(spark, d, ("MASTER_OF",)).withColumn("snippets", F.array(said))
+    o = table(spark, d, "orders").where("o_orderkey % 7 > 0")
+    key = F.col("o_orderkey").cast("string")
+    return evaluate.snippets_found(e, o.select(key.alias("chunk_id"), F.concat("o_orderpriority", F.lit(" "), F.substring(key, -1, 1), F.lit("-")).alias("text")))
 
 
 # Questions and evaluation
@@ -492,12 +499,11 @@ def evidence_bundles(spark, d):
     return answer.bundle(edges(spark, d, ("FOUNDER_OF", "LOCATED_IN", "MASTER_OF")))
 
 
-@query("""WITH q AS (SELECT item_id, row_number() OVER (ORDER BY part, item_id) AS k FROM (SELECT 1 AS part, item_id FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT 2, item_id FROM benchmark WHERE item_id % 3 = 1))
-SELECT 'q' || lpad(k::VARCHAR, 3, '0') AS id, item_id FROM q""", False)
+@query("""WITH q AS (SELECT item_id, row_number() OVER (ORDER BY part, item_id) AS k FROM (SELECT item_id % 3 AS part, item_id FROM benchmark))
+SELECT 'q' || lpad(k::VARCHAR, greatest(3, length(k::VARCHAR))::INT, '0') AS id, item_id FROM q""", False)
 def question_sets_merged(spark, d):
     b = table(spark, d, "benchmark").select("item_id")
-    both = b.where("item_id % 3 = 0").withColumn("part", F.lit(1)).unionByName(b.where("item_id % 3 = 1").withColumn("part", F.lit(2)))
-    return both.select(F.format_string("q%03d", F.row_number().over(Window.orderBy("part", "item_id"))).alias("id"), "item_id")
+    return evaluate.numbered([b.where(F.col("item_id") % 3 == k) for k in range(3)], "item_id")
 
 
 # Ingestion
@@ -541,7 +547,7 @@ def stream_event_upsert(spark, d):
     ingest.upsert(spark, f"{where}/in/*", e.schema, f"{where}/out", f"{where}/cp", "user_id", ["event_id"])
     e.where("event_id % 2 = 1").write.parquet(f"{where}/in/b")
     ingest.upsert(spark, f"{where}/in/*", e.schema, f"{where}/out", f"{where}/cp", "user_id", ["event_id"])
-    return spark.read.schema(e.schema).parquet(f"{where}/out/v1").select("user_id", "event_id", "event_type")
+    return ingest.merged(spark, f"{where}/out", e.schema).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT date_trunc('day', ts) AS begin, event_type, count(*) AS n FROM events GROUP BY 1, 2", False)
@@ -550,6 +556,19 @@ def event_windows(spark, d):
     return out.withColumn("begin", F.col("begin").cast("timestamp_ntz"))
 
 
+@query("""WITH s AS (SELECT event_type, date_trunc('day', ts) + unnest([0, -1, -2]) * INTERVAL 1 DAY AS begin FROM events) SELECT begin, event_type, count(*) AS n FROM s GROUP BY 1, 2""", False)
+def event_sliding_windows(spark, d):
+    out = ingest.windowed_counts(table(spark, d, "events"), "3 days", slide="1 day")
+    return out.withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, k""", False)
+def event_sessions(spark, d):
+    out = ingest.sessions(table(spark, d, "events"), "2 hours")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begin", "end")})
+
+
 @query("SELECT count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars, source AS book FROM documents GROUP BY 3", False)
 def chunk_manifest(spark, d):
     return files.manifest(chunks(spark, d))
