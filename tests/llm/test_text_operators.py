@@ -66,6 +66,19 @@ def test_trigram_queries():
     assert trigram_scan.trigram_query("xab?c") == ("or", (("and", ("xab", "abc")), "xac"))
 
 
+def test_postings_hold_every_row(monkeypatch):
+    rng = random.Random(35)
+    texts = ["".join(rng.choice("akiAKI é\0") for _ in range(rng.randrange(40))) for _ in range(80)] + ["", "ak", "aki"]
+    trigrams = frozenset(("aki", "kia", "a k", "zzz", "é12"))
+    for piece in (1 << 21, 5):
+        monkeypatch.setattr(trigram_scan, "PIECE", piece)
+        index = trigram_scan.BlockIndex(texts, trigrams)
+        folded = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in texts]
+        for t in trigrams - {"é12"}:
+            assert index.postings(t) == {i for i, x in enumerate(folded) if t in x}
+        assert index.postings("é12") == set(range(len(texts)))
+
+
 def test_secrets_equal_brute_force(spark, docs):
     rng = random.Random(3)
     parts = ["password", "Token", "api_key", "APIKEY", " = ", ":", '"', "abcdef12", "AKIA", "ABCDEFGH01234567", "deadbeef" * 3, "x", " ", "\n", "é"]

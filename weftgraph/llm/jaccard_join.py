@@ -66,8 +66,8 @@ BROADCAST_ENTRIES, BROADCAST_IDS = 500_000, 1_000_000
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-#: Bytes of a text that are hashed at a time, about.
-BLOCK = 1 << 20
+#: Bytes of a text that are hashed at a time, and keys that are packed at a time, about.
+BLOCK, KEYS = 1 << 20, 1 << 19
 
 #: A pair is compared by 32 bits of each shingle below this first, a quarter of all, and wholly if it can still link.
 PART = np.uint64(1 << 62)
@@ -202,9 +202,12 @@ def _survey(rows: DataFrame) -> tuple[Lookup, Pivots]:
         schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64()), ("found", pa.binary())])
         for batch in batches:
             sets = [(doc, shingles(t.as_py())) for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            found, counts = np.unique(np.concatenate([x for _, x in sets]), return_counts=True)
+            flat = np.concatenate([x for _, x in sets])
+            flat.sort()
+            begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(begin, len(flat)))
             many = counts >= COUNTED
-            cells = [found[many].view(np.int64), counts[many].astype(np.int64), np.full(many.sum(), None, object)]
+            cells = [flat[begin[many]].view(np.int64), counts[many].astype(np.int64), np.full(many.sum(), None, object)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
             drawn = [(doc, None, x.tobytes()) for doc, x in sets if doc is not None and 0 < len(x) <= PIVOT_SIZE and _draw(doc) < below]
             if drawn:
@@ -228,10 +231,21 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, shared) -> Iterator[pa.
     last, pivots = shared.value
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("near", pa.int64()),
                         ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("labels", pa.binary())])
+
+    def packed(*columns: list[np.ndarray]) -> pa.RecordBatch:
+        flat = [np.concatenate(x) for x in columns]
+        part = (flat[0] % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        found, begin = np.unique(part[order], return_index=True)
+        cuts = list(zip(begin, [*begin[1:], len(part)], strict=True))
+        cells = [[x[a:b].tobytes() for a, b in cuts] for x in (x[order] for x in flat)]
+        none = [None] * len(found)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((found, none, none, none, none, *cells), schema, strict=True)], schema=schema)
+
     for batch in batches:
         ids = batch.column(0).to_pylist()
         sizes, same, near, first = [], [], [], {}
-        keys, owners, counts, labels = [], [], [], []
+        keys, owners, counts, labels, waiting = [], [], [], [], 0
         for doc, text in zip(ids, batch.column(1), strict=True):
             found = shingles(text.as_py())
             sizes.append(len(found))
@@ -253,20 +267,15 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, shared) -> Iterator[pa.
                 owners.append(np.full(len(k), doc, np.int64))
                 counts.append(np.full(len(k), len(found), np.int32))
                 labels.append(np.full(len(k), pivot, np.int32))
+                waiting += len(k)
+            if waiting > KEYS:
+                yield packed(keys, owners, counts, labels)
+                keys, owners, counts, labels, waiting = [], [], [], [], 0
         none = [None] * len(ids)
         cells = ([-1 - (doc or 0) % parts for doc in ids], ids, sizes, same, near, none, none, none, none)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cells, schema, strict=True)], schema=schema)
         if keys:
-            columns = [np.concatenate(x) for x in (keys, owners, counts, labels)]
-            del keys, owners, counts, labels
-            part = (columns[0] % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            found, begin = np.unique(part, return_index=True)
-            cuts = list(zip(begin, [*begin[1:], len(part)], strict=True))
-            cells = [[x[a:b].tobytes() for a, b in cuts] for x in (x[order] for x in columns)]
-            none = [None] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((found, none, none, none, none, *cells), schema, strict=True)], schema=schema)
+            yield packed(keys, owners, counts, labels)
     give_back()
 
 
@@ -337,7 +346,7 @@ def _windows(cells: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
                 out[2].append(np.full(len(inside), len(inside), np.int64))
                 rows += len(inside)
             at = stop
-        if rows > 500_000:
+        if rows > 100_000:
             yield _window_rows(out)
             out, rows = [[], [], []], 0
     if rows:
@@ -366,7 +375,7 @@ def _sets(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordB
             for w in wanted:
                 rows.append((w["pivot"], w["salt"], doc, w["first"], w["label"], w["lo"], w["hi"], len(found), len(found) - len(sent), data))
                 size += len(data) + 100
-                if size > 1 << 24:
+                if size > 1 << 22:
                     yield _batch(rows, schema)
                     rows, size = [], 0
         if rows:

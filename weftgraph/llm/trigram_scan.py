@@ -2,8 +2,8 @@
 
 From the parsed form of each rule's regular expression a Boolean query over trigrams is
 derived that every text with a match must satisfy. Texts are indexed in blocks of BLOCK
-documents, which bounds an index: for each trigram that a rule needs, the block's posting list.
-Postings are intersected and united as the queries say, and only candidates are run through the
+documents, which bounds an index: one pass over a block's bytes makes the posting list of each
+trigram that a rule needs. Postings are intersected and united as the queries say, and only candidates are run through the
 regular expression. A rule whose expression has no mandatory trigram scans its whole block.
 Nothing is shuffled: a block's index, its queries and its verification need no other block.
 
@@ -16,9 +16,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from re import _constants as C
 from re import _parser as parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from weftgraph.llm.common import id_and_text
 #: Sets of literal alternatives larger than this are cut into trigrams where they stand.
 MAX_ALTERNATIVES = 64
 
-#: Documents of a block, which has an index of its own.
-BLOCK = 2048
+#: Documents of a block, which has an index of its own, and bytes that are read at a time.
+BLOCK, PIECE = 2048, 1 << 21
 
 #: A query: True (no condition), a trigram, or ("and" | "or", parts).
 Query = bool | str | tuple
@@ -149,21 +151,74 @@ def trigram_query(pattern: str) -> Query:
     return _required(parser.parse(pattern))
 
 
+def _trigrams(query: Query) -> set[str]:
+    if query is True:
+        return set()
+    return {query} if isinstance(query, str) else set().union(*(_trigrams(part) for part in query[1]))
+
+
+@cache
+def _wanted(trigrams: frozenset[str]) -> tuple[np.ndarray, dict[str, int]]:
+    """For each three bytes the number of the trigram that they are, and the numbers by trigram (ASCII ones)."""
+    numbers = {t: k + 1 for k, t in enumerate(sorted(t for t in trigrams if t.isascii()))}
+    table = np.zeros(1 << 24, np.uint8 if len(numbers) < 256 else np.int32)
+    for t, k in numbers.items():
+        a, b, c = t.encode()
+        table[a << 16 | b << 8 | c] = k
+    return table, numbers
+
+
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+
+
 class BlockIndex:
-    """Posting lists of one block; a trigram's list is made when a query first asks for it."""
+    """The inverted index of one block, for the trigrams that some queries ask for: rows by trigram.
+
+    It is made by one pass over the block's bytes, ASCII letters in lower case; a trigram with other
+    characters has no list, and all rows are its candidates.
+    """
 
-    def __init__(self, texts: list[str]):
-        self.folded = [t.lower() for t in texts]
-        self.lists: dict[str, frozenset[int]] = {}
+    def __init__(self, texts: list[str], trigrams: frozenset[str]):
+        self.n = len(texts)
+        table, numbers = _wanted(trigrams)
+        found: dict[int, set[int]] = {k: set() for k in numbers.values()}
+        rows, parts, size = [], [], 0
+        for i, text in enumerate(texts):
+            raw = text.encode("utf-8", "surrogatepass")
+            for at in range(0, max(1, len(raw) - 2), PIECE):
+                rows.append(i)
+                parts.append(raw[at : at + PIECE + 2])
+                size += len(parts[-1])
+                if size >= PIECE:
+                    self._read(rows, parts, table, found)
+                    rows, parts, size = [], [], 0
+        self._read(rows, parts, table, found)
+        self.lists = {t: frozenset(found[k]) for t, k in numbers.items()}
+
+    @staticmethod
+    def _read(rows: list[int], parts: list[bytes], table: np.ndarray, found: dict[int, set[int]]) -> None:
+        """Add the rows of these parts of texts to the lists of the trigrams that they hold."""
+        flat = _FOLDED[np.frombuffer(b"\0\0".join(parts) + b"\0\0", np.uint8)]  # no trigram reaches over the gap
+        ends = np.cumsum([len(p) + 2 for p in parts])
+        codes = flat[:-2].astype(np.uint32)
+        codes <<= 8
+        codes |= flat[1:-1]
+        codes <<= 8
+        codes |= flat[2:]
+        hits = table[codes]
+        at = np.flatnonzero(hits)
+        held = np.array(rows, np.int64)[np.searchsorted(ends, at, "right")]
+        for k in np.unique(hits[at]).tolist():
+            found[k].update(np.unique(held[hits[at] == k]).tolist())
 
     def postings(self, trigram: str) -> frozenset[int]:
-        if trigram not in self.lists:
-            self.lists[trigram] = frozenset(i for i, t in enumerate(self.folded) if trigram in t)
-        return self.lists[trigram]
+        found = self.lists.get(trigram)
+        return frozenset(range(self.n)) if found is None else found
 
     def candidates(self, query: Query) -> frozenset[int] | range:
         if query is True:
-            return range(len(self.folded))
+            return range(self.n)
         if isinstance(query, str):
             return self.postings(query)
         kind, parts = query
@@ -178,13 +233,14 @@ class BlockIndex:
 
 def find(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int]]]:
     """For each text of a block its (start, end, rule number), in that order."""
-    index, out = BlockIndex(texts), [[] for _ in texts]
+    queries = [trigram_query(rule.pattern) for rule in rules]
+    index, out = BlockIndex(texts, frozenset().union(*map(_trigrams, queries))), [[] for _ in texts]
     for k, rule in enumerate(rules):
         search = rule.regex().finditer
         if rule.group == 0 and (one := re.fullmatch(r"(\[[^\]]+\])\+", rule.pattern)) and rule.min_length:
             # Runs of one class are maximal, so short ones need not be visited.
             search = re.compile(f"{one[1]}{{{rule.min_length},}}").finditer
-        for i in index.candidates(trigram_query(rule.pattern)):
+        for i in index.candidates(queries[k]):
             for m in search(texts[i]):
                 if m.end(rule.group) - m.start(rule.group) >= rule.min_length:
                     out[i].append((m.start(), m.end(), k))
@@ -253,7 +309,8 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     joined = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
     kinds = F.transform("findings", lambda f: f["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}") for r in rules]
-    return found.select("doc_id", *counts, joined.alias("spans")).withColumn("base_sha256", F.sha2(F.col("spans"), 256))
+    out = found.select("doc_id", *counts, joined.alias("spans"))
+    return out.select(*[c for c in out.columns if c != "spans"], F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
