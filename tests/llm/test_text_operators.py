@@ -453,6 +453,53 @@ def test_quality(spark, docs):
     assert rff_quality.classify(docs.where("false"), labels).count() == 0
 
 
+@pytest.mark.parametrize("fan", [2, 16])
+def test_quality_equals_a_plain_fit(spark, monkeypatch, fan):
+    """The scores are those of one ridge regression over all rows at once, in plain numpy."""
+    monkeypatch.setattr(rff_quality, "FAN", fan)
+    rng = random.Random(41)
+    rows = [(i, " ".join("".join(rng.choice("abC! 1") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 30))), rng.randrange(2)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(9)
+    model = rff_quality.fit(rff_quality.measure(frame), frame.select("doc_id", "quality"))
+    held = {r["doc_id"] for r in rff_quality.classify(frame, frame.select("doc_id", "quality")).where("held_out").collect()}
+    part = {r[0]: r[1] for r in frame.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(5))).collect()}
+    used = [r for r in rows if r[0] not in held and part[r[0]] > 0]
+    stats = np.array([rff_quality.statistics(t) for _, t, _ in used])
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.scale, np.where(stats.std(axis=0) > 1e-9, stats.std(axis=0), 1.0))
+    z, y = model.lifted(stats), np.array([q for *_, q in used], float)
+    n = rff_quality.FEATURES + 1
+    want = np.linalg.solve(z.T @ z + rff_quality.RIDGE * len(used) * np.eye(n) / rff_quality.FEATURES, z.T @ y)
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+    # The kernel of the features comes near a Gaussian one.
+    x = np.clip((stats - model.mean) / model.scale, -6, 6)
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert np.abs(z[:, :-1] @ z[:, :-1].T - np.exp(-d / (2 * len(rff_quality.NAMES) * rff_quality.WIDTH**2))).mean() < 0.08
+
+
+def test_predictions_equal_plain_averages():
+    """A score is the softmax of the mean row of all letter pairs and triples, counted one by one."""
+    rng = random.Random(43)
+    rows = [(" ".join("".join(rng.choice("abcde" if k else "vwxyz") for _ in range(4)) for _ in range(20)), "one" if k else "two") for k in (0, 1) for _ in range(60)]
+    model = langid.train(rows)
+
+    def plain(text):
+        letters = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+        found = []
+        for i in range(1, len(letters) - 1):
+            if letters[i]:
+                before, here, after = letters[i - 1 : i + 2]
+                pair = (here * 0x9E3779B1 + after * 0x85EBCA77) % 2**32
+                found += [(pair * 0x165667B1 % 2**32) >> 17, (((pair ^ (before * 0xC2B2AE3D % 2**32)) * 0x27D4EB2F) % 2**32) >> 17]
+        mean = sum(model.table[max(1, r)].astype(float) for r in found) / len(found)
+        e = np.exp((mean + model.bias) / model.temperature)
+        return e / e.sum()
+
+    for text in [t for t, _ in rows[::7]] + ["a", "abc, xyz!", "Éa1b"]:
+        name, score, _ = model.predict(text)
+        p = plain(text)
+        assert abs(score - p.max()) < 1e-5 and name == model.languages[int(p.argmax())]
+
+
 def test_isotonic_levels_rise():
     rng = np.random.default_rng(1)
     x = rng.normal(size=300)

@@ -2,7 +2,7 @@
 
 Statistics of each whole text are standardised and mapped to random Fourier features, whose
 inner products approximate a Gaussian kernel. Each partition sums its part of the normal
-equations; the sums are added up in a few tasks, and the driver solves one system of the fixed
+equations; the sums are added up in a tree, and the driver solves one system of the fixed
 size FEATURES. Ridge scores become probabilities by isotonic regression on rows that the
 system did not see. Only the text of a document enters its score.
 """
@@ -23,8 +23,8 @@ from weftgraph.llm.common import held_out, id_and_text, stash
 
 FEATURES, RIDGE, WIDTH = 192, 1e-3, 1.0
 
-#: Labelled rows that isotonic regression gets; tasks that add up the partitions' sums.
-CALIBRATION_ROWS, SUM_TASKS = 20_000, 8
+#: Labelled rows that isotonic regression gets; partitions' sums that one task adds up.
+CALIBRATION_ROWS, FAN = 20_000, 16
 
 #: predicted is 1 from this score on.
 ACCEPT = 0.7
@@ -154,7 +154,11 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model | None:
         total = sum((np.frombuffer(b) for frame in frames for b in frame["total"]), np.zeros((FEATURES + 1) * (FEATURES + 2)))
         yield pd.DataFrame({"total": [total.tobytes()]})
 
-    sums = fitted.select("stats", "y").mapInPandas(partial, "total binary").repartition(SUM_TASKS).mapInPandas(add, "total binary")
+    # A tree: each level has a FANth of the sums before, and the driver gets at most FAN of them.
+    sums, left = fitted.select("stats", "y").mapInPandas(partial, "total binary"), fitted.rdd.getNumPartitions()
+    while left > FAN:
+        left = -(-left // FAN)
+        sums = sums.repartition(left).mapInPandas(add, "total binary")
     total = sum(np.frombuffer(r["total"]) for r in sums.collect()).reshape(FEATURES + 1, FEATURES + 2)
     gram, right = total[:, :-1], total[:, -1]
     weights = np.linalg.solve(gram + RIDGE * moments[0] * np.eye(FEATURES + 1) / FEATURES, right)
@@ -182,8 +186,9 @@ def score(stats: DataFrame, model: Model | None) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model of those that are labelled and not held out.
 
-    A null text is an empty one. Repeated rows are scored alike. Other columns are ignored; no
-    documents give no rows.
+    A null text is an empty one, and texts are taken whole, whatever their length. Repeated rows are
+    scored alike, and ties are no special case, as rows are scored one by one. Rows without doc_id are
+    scored but teach nothing. Other columns are ignored; no documents give no rows.
     """
     stats = stash(measure(docs), "stats")
     return score(stats, fit(stats, labels))
