@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder for cut lineage: the cluster's spark.checkpoint.dir.
 
-    Only where the session names none (tests, local runs) a folder of this machine is set.
+    Only a local session that names none (tests) gets a folder of this machine; executors of a cluster
+    share none.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
