@@ -23,7 +23,7 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             where = "file://" + tempfile.mkdtemp(prefix="weft-checkpoint-")
         context.setCheckpointDir(where)

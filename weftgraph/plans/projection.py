@@ -25,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the session's shared one; only a local session may go without one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{shared.rstrip('/')}/weft/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="weft-")
 
