@@ -199,7 +199,15 @@ def communities_louvain(spark, d):
     return graph.louvain(_family(spark, d))
 
 
-@query()
+def _propagation_sql(rounds: int) -> str:
+    steps = [f"WITH {_NEAR}, l0 AS MATERIALIZED (SELECT c_name AS name, c_name AS label FROM customer)"]
+    for i in range(rounds):
+        steps.append(f"""v{i} AS (SELECT near.a AS name, l.label, count(*) AS n FROM near JOIN l{i} l ON l.name = near.b GROUP BY 1, 2), w{i} AS (SELECT name, arg_min(label, (-n, label)) AS label FROM v{i} GROUP BY 1),
+l{i + 1} AS MATERIALIZED (SELECT l.name, coalesce(w.label, l.label) AS label FROM l{i} l LEFT JOIN w{i} w USING (name))""")
+    return ", ".join(steps) + f" SELECT name, label FROM l{rounds}"
+
+
+@query(_propagation_sql(5))
 def label_propagation(spark, d):
     return graph.label_propagation(table(spark, d, "customer").select(F.col("c_name").alias("name")), _family(spark, d))
 
@@ -441,7 +449,7 @@ def intent_route_counts(spark, d):
     return answer.classify(q).groupBy("intent", "method").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT c_custkey, n_name AS sects, 'sect' AS intent, 'sect_agg' AS method FROM customer JOIN nation ON c_nationkey = n_nationkey", False)
 def entity_links(spark, d):
     lexicon = [(r["n_name"], r["n_name"], SECT) for r in table(spark, d, "nation").select("n_name").collect()]  # 25 rows
     q = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.col("n_name"), F.lit("的掌门是"), F.col("c_name")).alias("question"))
@@ -449,7 +457,7 @@ def entity_links(spark, d):
     return answer.classify(linked).select("c_custkey", F.array_join("sects", ",").alias("sects"), "intent", "method")
 
 
-@query()
+@query("SELECT c_custkey, ['SPOUSE_OF:both>PARENT_OF:in', 'MASTER_OF:in>MASTER_OF:in', 'MASTER_OF:in', 'SPOUSE_OF:both>PARENT_OF:in'][1 + c_custkey % 4] AS plan FROM customer", False)
 def relation_plans(spark, d):
     forms = F.array(*[F.lit(x) for x in ("%s的岳父是谁", "%s的师父的师父是谁", "%s是谁的徒弟", "%s的妻子的母亲是谁")])
     q = table(spark, d, "customer").select("c_custkey", F.replace(F.get(forms, (F.col("c_custkey") % 4).cast("int")), F.lit("%s"), F.col("c_name")).alias("question"))
