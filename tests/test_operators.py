@@ -3,6 +3,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.functions import sequential
 from weftgraph.operators import align, answer, extract, graph, match, stats, store, vectors
 from weftgraph.schema import EDGE, NODE
 from weftgraph.sources import files
@@ -91,13 +92,43 @@ def test_chain_and_path_rules(spark):
     assert [r[0] for r in p.select(answer.path_valid(F.col("p"))).collect()] == [True, False, True]
 
 
+def test_prompts_and_empty_payloads(spark):
+    df = spark.createDataFrame([("1", "甲教乙。", "none"), ("2", "x", '{"entities": []}')], "chunk_id string, text string, answer string")
+    asked = df.select(extract.prompt(F.col("text")).alias("p")).first()["p"]
+    assert "甲教乙。" in asked and all(t in asked for t in ("MASTER_OF", "BRANCHED_FROM", "人物", "内功"))
+    got = {r["chunk_id"]: r["payload"] for r in extract.payload_or_empty(extract.parse(df)).collect()}
+    assert got["1"]["entities"] == [] and got["1"]["relationships"] == []
+
+
+def test_names_may_sound_alike(spark):
+    df = spark.createDataFrame([("abcd", "abxy")], "a string, b string")
+    score = lambda sound=None: df.select(sequential.name_scores(F.col("a"), F.col("b"), sound)).first()[0]
+    assert score() == 0.5 and score(lambda x: x[:2]) == 1.0
+
+
+def test_chains_keep_their_edges(spark):
+    e = spark.createDataFrame([("MASTER_OF", "人物", "a", "人物", "b", ["c1"], ["q"]), ("MASTER_OF", "人物", "b", "人物", "c", [], [])], EDGE.split(", eras")[0])
+    r = answer.master_chain(e, "c", 2, "in").first()
+    assert (r["names"], r["depth"], [x["chunk_ids"] for x in r["rels"]]) == (["c", "b", "a"], 2, [[], ["c1"]])
+
+
 def test_a_failing_provider_can_be_retried(spark):
     def provider(text):
         if text == "bad":
             raise ValueError
         return '{"entities": [], "relationships": []}'
 
+    class AuthenticationError(Exception):
+        pass
+
+    def denied(text):
+        raise AuthenticationError("no")
+
     chunks = spark.createDataFrame([("1", "bad"), ("2", "good")], "chunk_id string, text string")
+    tried = {r["chunk_id"]: r["attempts"] for r in extract.ask(chunks, provider, 2).collect()}
+    assert tried == {"1": 2, "2": 1}
+    gone = extract.parse(extract.ask(chunks, denied)).collect()
+    assert {(r["status"], r["attempts"]) for r in gone} == {("fatal", 1)}
     assert {r["chunk_id"]: r["status"] for r in extract.parse(extract.ask(chunks, provider)).collect()} == {"1": "retryable", "2": "empty"}
 
 

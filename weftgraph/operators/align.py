@@ -34,18 +34,19 @@ def rule_groups(nodes: DataFrame, normal=normal_name) -> DataFrame:
     return out.where("alias != canonical").select("label", "era", "alias", "canonical")
 
 
-def similar_pairs(nodes: DataFrame, least: float = 0.85, block: int = 2) -> DataFrame:
+def similar_pairs(nodes: DataFrame, least: float = 0.85, block: int = 2, sound=None) -> DataFrame:
     """Pairs of names of one label whose lengths differ by 2 at most and that are alike.
 
     Names meet if they share a run of `block` characters, which similar ones of any length do;
-    names shorter than that meet those of their first character.
+    names shorter than that meet those of their first character. sound is a provider of how a name is
+    spoken; names that only sound alike have to share a run of characters too.
     """
     grams = F.when(F.length("name") >= block, F.transform(F.sequence(F.lit(1), F.length("name") - block + 1), lambda i: F.substring("name", i, F.lit(block))))
     keyed = nodes.select("label", "name").distinct().withColumn("g", F.explode(F.coalesce(F.array_distinct(grams), F.array(F.substring("name", 1, 1)))))
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.name") < F.col("b.name")) & (F.abs(F.length("a.name") - F.length("b.name")) <= 2))
     pairs = met.select(F.col("a.label").alias("label"), F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
-    return pairs.withColumn("score", F.round(name_scores(F.col("a"), F.col("b")), 4)).where(F.col("score") >= least).orderBy(F.desc("score"), "label", "a", "b")
+    return pairs.withColumn("score", F.round(name_scores(F.col("a"), F.col("b"), sound), 4)).where(F.col("score") >= least).orderBy(F.desc("score"), "label", "a", "b")
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:

@@ -77,9 +77,9 @@ def chain_length(question: Column) -> Column:
 
 @register("master_chain")
 def master_chain(edges: DataFrame, name: str, hops: int = 1, way: str = "in", k: int = 5, relation: str = "MASTER_OF") -> DataFrame:
-    """The first k simple chains of masters (in) or disciples (out) with exactly that many steps."""
-    paths = match.fixed_hops(edges, relation, name, hops, way).distinct()
-    return paths.where(F.size(F.array_distinct("names")) == hops + 1).orderBy("names").limit(k)
+    """The first k simple chains of masters (in) or disciples (out) with exactly that many steps: names, depth, rels."""
+    paths = match.fixed_hops(edges, relation, name, hops, way).dropDuplicates(["names"])
+    return paths.where(F.size(F.array_distinct("names")) == hops + 1).orderBy("depth", "names").limit(k)
 
 
 @register("sect_agg")
@@ -96,13 +96,19 @@ def sect_agg(edges: DataFrame, sect: str, what: str = "members", k: int = 5) ->
 
 @register("art_lineage")
 def art_lineage(edges: DataFrame, art: str, what: str = "lineage", k: int = 5) -> DataFrame:
-    """src, dst of an art's origin, practitioners, or lineage (practitioners if there is none)."""
+    """src, dst, confidence of an art's origin, practitioners, or lineage (practitioners if there is none).
+
+    An edge is extracted if it has chunks, else it is inferred.
+    """
+    sure = F.when(F.size("chunk_ids") > 0, "extracted").otherwise("inferred").alias("confidence")
     if what == "origin":
-        rows = edges.where((F.col("type") == "BRANCHED_FROM") & (F.col("src") == art)).select("src", "dst")
+        founded = match.art_founders(edges, art).select(F.col("person").alias("src"), F.lit(art).alias("dst"), sure)
+        rows = edges.where((F.col("type") == "BRANCHED_FROM") & (F.col("src") == art)).select("src", "dst", sure).unionByName(founded)
     else:
-        rows = match.members(edges, "MASTERS", art).select(F.col("name").alias("src"), F.lit(art).alias("dst"))
+        rows = match.members(edges, "MASTERS", art).select(F.col("name").alias("src"), F.lit(art).alias("dst"), sure)
         if what == "lineage":
-            passed = match.lineage(edges, art).select(F.col("master").alias("src"), F.col("disciple").alias("dst"))
+            taught = edges.where("type = 'MASTER_OF'").select(F.col("src").alias("master"), F.col("dst").alias("disciple"), sure)
+            passed = match.lineage(edges, art).join(taught, ["master", "disciple"]).select(F.col("master").alias("src"), F.col("disciple").alias("dst"), "confidence")
             rows = passed if passed.limit(1).count() else rows
     return rows.orderBy("src", "dst").limit(k)
 

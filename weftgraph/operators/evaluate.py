@@ -62,6 +62,11 @@ def run(engine: service.Engine, questions: Iterable[dict], method: str | None =
     return rows.withColumn("hit", F.exists("accepted", lambda a: affirmed(F.col("answer"), a))).select(*[c.split(" ")[0] for c in RESULT.split(", ")])
 
 
+def with_questions(results: DataFrame, questions: DataFrame) -> DataFrame:
+    """Results (question_id, ...) with category, hop and source_hint of their questions, for grouping."""
+    return results.join(questions.select(F.col("id").alias("question_id"), "category", "hop", "source_hint"), "question_id")
+
+
 def verification(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """Figures of a stored graph as rows (section, name, n): chunks by book and version, entities by label and era, attributes,
     evidence of relations, and snippets that their first chunk holds.

@@ -11,13 +11,13 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from weftgraph.functions.text import evidence_gate, is_noise, stripped, without_fence
 from weftgraph.operators.match import both_ways, check_relations
-from weftgraph.schema import ART, ART_TYPES, LABELS, PAYLOAD, SECT, ontology
+from weftgraph.schema import ART, ART_TYPES, LABELS, PAYLOAD, RELATIONS, SECT, ontology
 
 
 # Names of a provider's errors that no second try mends.
@@ -52,6 +52,27 @@ def ask(chunks: DataFrame, provider: Callable[[str], str], attempts: int = 3, pa
     return chunks.withColumn("_said", run(F.col("text"))).select(*chunks.columns, "_said.answer", "_said.error", "_said.attempts")
 
 
+# What the relations mean, for extractors.
+MEANING = {
+    "MASTER_OF": "师徒：A 是 B 的师父（有向）", "SPOUSE_OF": "夫妻（双向）", "PARENT_OF": "父母子女：A 是 B 的父母（有向）", "SWORN_BROTHER_OF": "结拜（双向）", "ENEMY_OF": "仇敌（双向）",
+    "BELONGS_TO": "所属门派：A 属于门派 B（有向）", "MASTERS": "精通武功：A 精通武功 B（有向）",
+}
+
+
+def prompt(text: Column) -> Column:
+    """What a language model is asked about a text, with the entities and relations of the ontology."""
+    relations = "\n".join(f"- {t}（{MEANING.get(t, '、'.join(a) + ' → ' + '、'.join(b))}）" for t, a, b, _ in RELATIONS)
+    head = f"从文本中抽取实体（{'、'.join(LABELS)}；武功另有 art_type：{'/'.join(ART_TYPES)}）和以下关系，只用这些关系，每条关系带原文中逐字的 evidence：\n{relations}\n"
+    tail = '\n只返回 JSON：{"entities": [{"name", "type", "era", "description", "location", "art_type"}], "relationships": [{"source", "target", "type", "evidence"}]}'
+    return F.concat(F.lit(head), F.lit("文本：\n"), F.coalesce(text, F.lit("")), F.lit(tail))
+
+
+def payload_or_empty(parsed: DataFrame) -> DataFrame:
+    """parsed with a payload without entities and relations in the place of one that could not be read."""
+    none = F.from_json(F.lit('{"entities": [], "relationships": []}'), PAYLOAD + ", _bad string")
+    return parsed.withColumn("payload", F.when(F.col("status").isin("ok", "empty"), F.col("payload")).otherwise(none))
+
+
 def _object(answer: str) -> bool:
     begin, end = answer.find("{"), answer.rfind("}")
     try:

@@ -63,13 +63,14 @@ def directed(edges: DataFrame, relation: str, way: str) -> DataFrame:
 
 
 def fixed_hops(edges: DataFrame, relation: str, start: str, hops: int, way: str = "out") -> DataFrame:
-    """names of all paths of exactly that many edges from start, without a return to start."""
-    step = directed(edges, relation, way).select("cur", "other")
-    paths = edges.sparkSession.range(1).select(F.array(F.lit(start)).alias("names"))
+    """names, depth and rels (chunk_ids and snippets of each edge) of all paths of exactly that many edges from start,
+    without a return to start, by depth and names."""
+    step = directed(edges, relation, way).select("cur", "other", F.struct("chunk_ids", "snippets").alias("rel"))
+    paths = edges.sparkSession.range(1).select(F.array(F.lit(start)).alias("names"), F.array().cast("array<struct<chunk_ids:array<string>,snippets:array<string>>>").alias("rels"))
     for _ in range(hops):
         paths = paths.withColumn("cur", F.element_at("names", -1)).join(step, "cur")
-        paths = paths.select(F.concat("names", F.array("other")).alias("names"))
-    return paths.where(F.element_at("names", -1) != start)
+        paths = paths.select(F.concat("names", F.array("other")).alias("names"), F.concat("rels", F.array("rel")).alias("rels"))
+    return paths.where(F.element_at("names", -1) != start).select("names", F.lit(hops).alias("depth"), "rels").orderBy("depth", "names")
 
 
 def traverse(edges: DataFrame, start: str, steps: list[tuple[str, str]], limit: int = 5, targets: dict[int, str] | None = None, aliases: DataFrame | None = None) -> DataFrame:

@@ -40,6 +40,9 @@ ASKED_AS = {
     "BRANCHED_FROM": ("演化", "源自", "衍生"),
     "DESCENDANT_OF": ("血缘", "后人", "之后", "后代"),
 }
+#: Where a relation is called otherwise than in NAMES.
+CALLED_IN = {"cross_novel": {"BELONGS_TO": "同门", "LOCATED_IN": "所在"}, "page": {"BELONGS_TO": "门派", "LOCATED_IN": "位置", "DESCENDANT_OF": "后裔"}, "context": {"DESCENDANT_OF": "血缘（祖先→后代）"}}
+SHOWN = ("师徒", "夫妻", "父母", "结拜", "仇敌", "属于", "精通")
 ARROWS = {"symmetric": "--", "backward": "<-"}
 MAX_QUESTION, BUDGET = 500, 6000
 
@@ -66,8 +69,9 @@ def checked_question(value: object) -> str:
     return value.strip()
 
 
-def relation_name(kind: Column) -> Column:
-    return F.coalesce(*[F.when(kind == k, v) for k, v in NAMES.items()], kind)
+def relation_name(kind: Column, where: str = "") -> Column:
+    """What a relation is called, in some places otherwise than in others."""
+    return F.coalesce(*[F.when(kind == k, v) for k, v in (NAMES | CALLED_IN.get(where, {})).items()], kind)
 
 
 def fact_lines(edges: DataFrame) -> DataFrame:
@@ -92,6 +96,17 @@ def forms(facts: Column) -> dict[str, Column]:
     }
 
 
+def compared_forms(rows: DataFrame, facts: str, keys: list[str]) -> DataFrame:
+    """Per keys and form: questions, mean characters and facts, and the shares of contexts that show directions, name relations, or are empty."""
+    made = forms(F.col(facts))
+    each = rows.select(*keys, F.size(facts).alias("_n"), F.explode(F.map_from_arrays(F.array(*map(F.lit, made)), F.array(*made.values()))).alias("form", "_text"))
+    share = lambda c: F.round(F.avg(c.cast("int")), 4)
+    return each.groupBy(*keys, "form").agg(
+        F.count("*").alias("questions"), F.round(F.avg(F.length("_text")), 2).alias("chars"), F.round(F.avg("_n"), 4).alias("facts"),
+        share(F.col("_text").rlike("->|<-")).alias("direction_rate"), share(F.col("_text").rlike("|".join(SHOWN))).alias("relation_rate"), share(F.trim("_text") == "").alias("empty_rate"),
+    )
+
+
 def path_completeness(path: Column, hops: Column) -> Column:
     """Share of the expected hops that the path's first unbroken edges (src, dst) cover."""
     n = F.size(path)

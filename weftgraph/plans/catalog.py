@@ -98,7 +98,7 @@ def art_practitioners(spark, d):
     return match.members(edges(spark, d, ("MASTERS",)), "MASTERS", "Part#5").select("name", F.array_join("chunk_ids", ",").alias("ids"))
 
 
-@query("SELECT src, dst FROM edges WHERE type = 'BRANCHED_FROM' AND src = 'Part#77'")
+@query("SELECT src, dst, 'inferred' AS confidence FROM edges WHERE type = 'BRANCHED_FROM' AND src = 'Part#77'")
 def art_origin(spark, d):
     return answer.art_lineage(edges(spark, d, ("BRANCHED_FROM", "MASTERS", "MASTER_OF")), "Part#77", "origin")
 

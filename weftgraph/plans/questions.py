@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions import text
 from weftgraph.operators import evaluate, evidence, extract, graph, linking, match, retrieval, service, vectors
 from weftgraph.plans.projection import chunks, edges, nodes, shared_folder, table
 from weftgraph.plans.registry import query
@@ -19,8 +20,8 @@ _ALIASES = f"""x AS (SELECT 'al' || c_custkey AS alias, c_name AS canonical, '{P
 
 def _aliases(spark, d) -> DataFrame:
     c = table(spark, d, "customer")
-    none, text = F.array().cast("array<string>"), F.lit("")
-    row = lambda df, alias, canonical, label, eras: df.select(alias.alias("alias"), canonical.alias("canonical"), F.lit(label).cast("string").alias("label"), eras.alias("applicable_eras"), text.alias("source"), text.alias("note"))
+    none, blank = F.array().cast("array<string>"), F.lit("")
+    row = lambda df, alias, canonical, label, eras: df.select(alias.alias("alias"), canonical.alias("canonical"), F.lit(label).cast("string").alias("label"), eras.alias("applicable_eras"), blank.alias("source"), blank.alias("note"))
     called = F.concat(F.lit("al"), F.col("c_custkey").cast("string"))
     eras = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("BUILDING"))).otherwise(F.array(F.lit("BUILDING"), F.lit("MACHINERY")))
     out = row(c, called, F.col("c_name"), PERSON, eras).unionByName(row(c.where("c_custkey % 5 = 0"), called, F.lit("other"), None, none))
@@ -220,8 +221,8 @@ def reparse_figures(spark, d):
     c = chunks(spark, d)
     good = '{"entities":[{"name":"郭靖","type":"人物"},{"name":"黄蓉","type":"人物"}],"relationships":[{"source":"郭靖","target":"黄蓉","type":"SPOUSE_OF"},{"source":"郭靖","target":"杨康","type":"ENEMY_OF"}]}'
     raw = F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, '{"entities":[],"relationships":[]}').otherwise("no json")
-    text = F.concat(F.lit("郭靖娶黄蓉为妻。"), F.coalesce("text", F.lit("")))
-    return state.reparse(c.select("chunk_id", "era", text.alias("text"), raw.alias("raw"))).select("name", "n")
+    body = F.concat(F.lit("郭靖娶黄蓉为妻。"), F.coalesce("text", F.lit("")))
+    return state.reparse(c.select("chunk_id", "era", body.alias("text"), raw.alias("raw"))).select("name", "n")
 
 
 @query("SELECT source AS book, min(lang) AS era, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1", False)
@@ -256,6 +257,19 @@ def entity_type_conflicts(spark, d):
     return extract.type_conflicts(parsed).join(c.select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "name", "kept", "given")
 
 
+@query(r"""SELECT doc_id, CASE WHEN two IS NOT NULL THEN left(two, 160) WHEN one IS NOT NULL THEN left(one, 160) ELSE left(text, 160) END AS snippet FROM (SELECT doc_id, text, list_filter(s, lambda x: contains(x, 'the') AND contains(x, 'license'))[1] AS two, list_filter(s, lambda x: contains(x, 'the') OR contains(x, 'license'))[1] AS one
+FROM (SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?；;\n]*[。！？!?；;\n]|[^。！？!?；;\n]+$'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS s FROM documents))""", False)
+def snippets_of_names(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.snippet(t, F.lit("the"), F.lit("license")).alias("snippet"))
+
+
+@query("""SELECT l_orderkey AS question_id, o_orderpriority AS category, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""", False)
+def results_by_category(spark, d):
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("category"), F.lit(1).alias("hop"), F.lit("").alias("source_hint"))
+    return evaluate.with_questions(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("question_id")), q).groupBy("question_id", "category").agg(F.count("*").alias("n"))
+
+
 # Evaluation
 
 _JUDGED = "SELECT c_custkey AS id, c_custkey % 4 AS k, c_name FROM customer"

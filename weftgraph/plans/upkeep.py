@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,13 +215,14 @@ def injection_forms(spark, d):
     return _fact_arrays(spark, d).select("dst", *[c.alias(k) for k, c in made.items()])
 
 
-@query("""WITH f AS (SELECT dst, list_sort(list(src)) AS s FROM edges WHERE type = 'BELONGS_TO' GROUP BY 1),
-c AS (SELECT len(s) AS n, list_sum(list_transform(s, lambda x: length(x) + length(dst) + 6)) + len(s) - 1 AS t, list_sum(list_transform(s, lambda x: length(x) + length(dst) + 11)) + len(s) - 1 AS p FROM f)
-SELECT 'triples' AS form, round(avg(t), 4) AS chars, round(avg(n), 4) AS facts FROM c UNION ALL SELECT 'path', round(avg(p), 4), round(avg(n), 4) FROM c""")
+@query("""WITH f AS (SELECT dst, list_sort(list(src)) AS s FROM edges WHERE type = 'BELONGS_TO' GROUP BY 1), n AS (SELECT n_name AS dst, 'region' || n_regionkey AS category FROM nation),
+c AS (SELECT category, len(s) AS n, list_sum(list_transform(s, lambda x: length(x) + length(dst) + 6)) + len(s) - 1 AS t, list_sum(list_transform(s, lambda x: length(x) + length(dst) + 11)) + len(s) - 1 AS p,
+  10 + 1 + list_sum(list_transform(s, lambda x: length(x) + 1)) + length(dst) - 1 + 4 + 3 * len(s) - 1 AS g FROM n JOIN f USING (dst)),
+a AS (SELECT category, 'triples' AS form, t AS chars, n, 0.0 AS seen FROM c UNION ALL SELECT category, 'path', p, n, 1.0 FROM c UNION ALL SELECT category, 'subgraph', g, n, 0.0 FROM c)
+SELECT category, form, count(*) AS questions, round(avg(chars), 2) AS chars, round(avg(n), 4) AS facts, avg(seen)::DOUBLE AS direction_rate, 1.0::DOUBLE AS relation_rate, 0.0::DOUBLE AS empty_rate FROM a GROUP BY 1, 2""")
 def injection_sizes(spark, d):
-    made = service.forms(F.col("facts"))
-    rows = [_fact_arrays(spark, d).agg(F.round(F.avg(F.length(made[k])), 4).alias("chars"), F.round(F.avg(F.size("facts")), 4).alias("facts")).select(F.lit(k).alias("form"), "chars", "facts") for k in ("triples", "path")]
-    return reduce(DataFrame.unionByName, rows)
+    region = table(spark, d, "nation").select(F.col("n_name").alias("dst"), F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("category"))
+    return service.compared_forms(_fact_arrays(spark, d).join(region, "dst"), "facts", ["category"])
 
 
 _PARENTS = "c1 AS (SELECT c.c_custkey AS id, c.c_name AS a, p.src AS b, g.src AS c FROM customer c LEFT JOIN edges p ON p.type = 'PARENT_OF' AND p.dst = c.c_name LEFT JOIN edges g ON g.type = 'PARENT_OF' AND g.dst = p.src AND c.c_custkey % 3 > 0)"
@@ -288,7 +287,7 @@ def method_sect_arts(spark, d):
     return answer.sect_agg(edges(spark, d, ("BELONGS_TO", "MASTERS")), first, "arts")
 
 
-@query("""SELECT m.src, d.dst FROM edges m JOIN edges d ON m.type = 'MASTERS' AND m.dst = 'Part#5' AND d.type = 'MASTER_OF' AND d.src = m.src AND d.src <> d.dst WHERE d.dst IN (SELECT src FROM edges WHERE type = 'MASTERS' AND dst = 'Part#5') ORDER BY 1, 2 LIMIT 5""")
+@query("""SELECT m.src, d.dst, 'extracted' AS confidence FROM edges m JOIN edges d ON m.type = 'MASTERS' AND m.dst = 'Part#5' AND d.type = 'MASTER_OF' AND d.src = m.src AND d.src <> d.dst WHERE d.dst IN (SELECT src FROM edges WHERE type = 'MASTERS' AND dst = 'Part#5') ORDER BY 1, 2 LIMIT 5""")
 def method_art_lineage(spark, d):
     return answer.art_lineage(edges(spark, d, ("MASTERS", "MASTER_OF", "BRANCHED_FROM")), "Part#5", "lineage")
 

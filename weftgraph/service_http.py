@@ -111,7 +111,7 @@ def payload(edges: list) -> dict:
         for name, label in ((e["src"], e["src_label"]), (e["dst"], e["dst_label"])):
             nodes.setdefault(name, {"id": name, "label": name, "type": label or "", "era": ""})
         key = f"{e['src']}|{e['type']}|{e['dst']}"
-        found.setdefault(key, {"id": key, "from": e["src"], "to": e["dst"], "label": service.NAMES.get(e["type"], e["type"]), "rel": e["type"]})
+        found.setdefault(key, {"id": key, "from": e["src"], "to": e["dst"], "label": (service.NAMES | service.CALLED_IN["page"]).get(e["type"], e["type"]), "rel": e["type"]})
     return {"nodes": list(nodes.values()), "edges": list(found.values())}
 
 
