@@ -5,12 +5,17 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Where stash() wrote the tables that are in use.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for cut lineage: the cluster's spark.checkpoint.dir.
 
@@ -34,7 +39,18 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weft/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stash() wrote, once nothing that is still to be computed reads it."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path is not None:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

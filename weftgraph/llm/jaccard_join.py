@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import give_back, id_and_text, partitions, stash
+from weftgraph.llm.common import discard, give_back, id_and_text, partitions, stash
 
 #: Words of a shingle; linked are sets with 100 * common >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -219,6 +219,7 @@ def _survey(rows: DataFrame) -> tuple[Lookup, Pivots]:
     top = counts.orderBy(F.desc("n"), "shingle").limit(LAST).collect()
     drawn = seen.where("found IS NOT NULL").dropDuplicates(["shingle"]).orderBy("shingle").limit(2 * PIVOTS).collect()  # about PIVOTS
     drawn = sorted(drawn, key=lambda r: _draw(r["shingle"]))
+    discard(seen)
     return Lookup(np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))), Pivots([(r["shingle"], np.frombuffer(r["found"], np.uint64)) for r in drawn])
 
 
@@ -498,7 +499,8 @@ def _compared(rows: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
 
     A pivot's documents are spread over groups of about SPREAD, each of which gets its set.
     """
-    spread = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
+    # Written first: then a join with it can be split where a pivot has very many documents.
+    spread = stash(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts")), "spread")
     extra = [F.lit(0).cast("long").alias("label"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")]
     members = pairs.join(spread, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("first"), *extra)
     pivots = spread.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("first"), *extra)
@@ -536,7 +538,7 @@ def _met(rows: DataFrame, known: DataFrame, whole: bool) -> DataFrame:
     far = known.where("label != own AND pivot != doc_id")
     others = known.where("pivot != doc_id").join(far.select("pivot").distinct(), "pivot", "left_semi")
     size = lambda t, n: t.groupBy("pivot").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias(n))
-    sizes = size(far, "f").join(size(others, "m"), "pivot")
+    sizes = stash(size(far, "f").join(size(others, "m"), "pivot"), "sizes")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = far.join(sizes, "pivot").withColumn("i", block("f")).withColumn("j", every("m")).withColumn("first", F.lit(True))
@@ -549,16 +551,17 @@ def components(links: DataFrame) -> DataFrame:
     """id and label, the smallest id reachable, of every id in links (a, b)."""
     edges = links.select("a", "b").where("a != b")
     edges = stash(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stash(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    labels = last = stash(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hooked = stash(hooked, "hooked")
+        hooked = stash(labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")), "hooked")
         up = hooked.select(F.col("id").alias("label"), F.col("label").alias("up"))
         new = hooked.join(up, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
         new = stash(new, "labels")
-        labels = new.select("id", "label")
+        discard(hooked, last)
+        last, labels = new, new.select("id", "label")
         if not new.where("label != old").limit(1).count():
+            discard(edges)
             return labels
 
 
