@@ -1,7 +1,9 @@
 """A corpus from documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's docs; all but the last return the columns of documents.
+read again as the next stage's docs; all but the last return the columns of documents, also those
+that a caller's documents have besides, whatever their names. Texts are taken whole, whatever their
+length. No stage fails for nulls in any column, and no rows give no rows.
 """
 
 from __future__ import annotations
@@ -15,27 +17,40 @@ from weftgraph.llm.common import stash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; others, and those without a letter, go."""
+    """Documents whose language is recognised; others, and those without a letter (null, empty), go.
+
+    Repeated rows stay or go together, rows without doc_id are judged like others.
+    """
     return langid.keep_known(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal documents the one with the smallest doc_id."""
+    """Of each component of near-equal documents the one with the smallest doc_id.
+
+    Of several rows of one doc_id one stays. Texts without words and rows without doc_id link with
+    nothing and stay.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; each row is judged by its own text.
+
+    Null and empty texts stay, repeated rows stay or go together.
+    """
     return spaced_seeds.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced and n_chars counted anew where one was."""
+    """All documents, with secrets replaced and n_chars counted anew where one was; null texts stay null."""
     return trigram_scan.redact(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of documents; all whose ids decode to the text, which is all."""
+    """doc_id, n_tokens and ids of documents; all whose ids decode to the text, which is all.
+
+    A null text is an empty one, without ids. Repeated rows are encoded alike.
+    """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode_checked(docs, path, public_tokenizers.PATTERN).where("exact")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
