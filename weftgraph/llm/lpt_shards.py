@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import id_and_text, stash
@@ -36,22 +36,27 @@ def schedule(sizes: dict[str, int], shards: int) -> dict[str, int]:
     return out
 
 
+def _number(digest: Column) -> Column:
+    """The first 32 bits of a hexadecimal digest as a number."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def assign(rows: DataFrame, key: str, size: str, shards: int = 16, grain: int = GRAIN) -> DataFrame:
     """rows with a column shard; rows of equal key share one.
 
-    Null keys are a group like any other, a null size counts 0, an empty table gives none.
-    rows is read three times; pass a table that is cheap to read.
+    Null keys are a group like any other, a null size counts 0,
+    an empty table gives none. rows is read three times; pass a table that is cheap to read.
     """
     spark, units = rows.sparkSession, shards * grain
-    code = F.coalesce(F.xxhash64(key), F.lit(0))
+    code = F.coalesce(F.sha2(F.col(key) if dict(rows.dtypes)[key] == "binary" else F.col(key).cast("string"), 256), F.lit(""))
     groups = rows.groupBy(key).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("_load"))
     groups = stash(groups, "groups")
     total = groups.agg(F.sum("_load")).first()[0] or 0
     own = F.col("_load") * units > total
-    bundle = F.concat(F.lit("b"), F.pmod(code, F.lit(units)).cast("string"))
-    large = groups.where(own).withColumn("_unit", F.concat(F.lit("g"), F.hex(code)))
+    bundle = F.concat(F.lit("b"), F.coalesce(_number(code) % units, F.lit(0)).cast("string"))
+    large = groups.where(own).withColumn("_unit", F.concat(F.lit("g"), code))
     loads = large.select("_unit", "_load").unionByName(groups.where(~own).select(bundle.alias("_unit"), "_load"))
-    # At most 2 * units rows (groups that share a 64-bit hash share a unit).
+    # At most 2 * units rows.
     plan = schedule({u: int(n) for u, n in loads.groupBy("_unit").agg(F.sum("_load")).collect()}, shards)
     table = spark.createDataFrame(list(plan.items()), "_unit string, shard int")
     named = large.select(F.col(key).alias("_key"), F.col("_unit").alias("_own"))  # at most units rows
@@ -67,7 +72,7 @@ def slots(rows: DataFrame, order: list[str], count: int, per_task: int = SLOT_RO
     a bucket begins where the shard's buckets before it end. Ties get numbers of their own.
     """
     buckets = max(16, count // per_task)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    rows = rows.withColumn("_bucket", _number(F.sha2(F.concat_ws("|", *order), 256)) % buckets)
     sums = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     begin = rows.groupBy("shard", "_bucket").count().withColumn("_from", F.coalesce(F.sum("count").over(sums), F.lit(0)))
     number = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(*order)) - 1
@@ -79,8 +84,9 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document.
 
     Law bytes: the shards' sizes are near equal. Documents of equal text stay together; a null
-    text is an empty one. Repeated rows are documents of their own, with slots of their own; a
-    null doc_id is carried through. Other columns are ignored; no rows give no rows.
+    text is an empty one, and texts are read whole, whatever their length. Repeated rows and ties
+    are documents of their own, with slots of their own; a null doc_id is carried through. Other
+    columns are ignored; no rows give no rows.
     """
     text = id_and_text(docs)
     rows = text.select(

@@ -64,7 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": OP2_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op2_secret_scan": OP2_SQL, "op4_lpf_dedup": OP4_SQL, "op9_lpt_shards": OP9_SQL, "op10_jaccard_join": OP10_SQL}
 
 
 def _spans_sql(kind: str, pattern: str, group: int, least: int, flags: str, order: int) -> str:
@@ -106,6 +106,37 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM docs d LEFT JOIN per_doc USING (doc_id)
 """
 
+#: Windows of 100 bytes as 200 hexadecimal digits, named by their MD5; removed runs are islands of repeated windows.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS i FROM d WHERE n >= 100)),
+f AS (SELECT k, min((doc_id, i)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM w JOIN f USING (k) WHERE (doc_id, i) > first),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 99 AS b FROM g GROUP BY 1, 2),
+c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+t AS (SELECT doc_id, sum(b - a + 1)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) AS kept FROM c JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
+#: CRC-32 by its table; groups above the mean load of a unit stand alone, others go to bundles by their hash; then the
+#: least loaded (lowest) shard takes the largest unit, one after the other.
+OP9_SQL = """
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n))),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, sha256(unhex(sha256(coalesce(text, '')))) AS code, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, size, code, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM d),
+r AS MATERIALIZED (SELECT doc_id, size, code, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b, tab),
+g AS (SELECT code, sum(size) AS load FROM r GROUP BY 1),
+u AS MATERIALIZED (SELECT code, load, CASE WHEN load * 8192 > (SELECT sum(load) FROM g) THEN 'g' || code ELSE 'b' || ('0x' || substr(code, 1, 8))::BIGINT % 8192 END AS unit FROM g),
+o AS MATERIALIZED (SELECT unit, sum(load)::BIGINT AS load, row_number() OVER (ORDER BY sum(load) DESC, unit) AS k FROM u GROUP BY 1),
+lpt AS (SELECT 0::BIGINT AS k, list_transform(range(16), lambda i: 0::BIGINT) AS loads, 0::BIGINT AS at
+  UNION ALL SELECT o.k, list_transform(l.loads, lambda x, i: CASE WHEN i = list_position(l.loads, list_min(l.loads)) THEN x + o.load ELSE x END), list_position(l.loads, list_min(l.loads)) FROM lpt l JOIN o ON o.k = l.k + 1),
+p AS (SELECT doc_id, size, crc, lpt.at - 1 AS shard FROM r JOIN u USING (code) JOIN o USING (unit) JOIN lpt USING (k)),
+q AS (SELECT *, ('0x' || substr(sha256(concat_ws('|', doc_id, crc)), 1, 8))::BIGINT % greatest(16, (SELECT count(*) FROM r) // 50000) AS bucket FROM p)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, crc) - 1 AS slot, NULL::INT AS grown_shard FROM q
+"""
+
 OP10_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
