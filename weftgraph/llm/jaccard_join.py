@@ -579,7 +579,7 @@ def link(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     # The pivot of a region is the document that meets most others: an original rather than a copy.
     rank = regions.groupBy("doc_id").agg(F.sum("members").alias("met"))
     rank = regions.join(rank, "doc_id").groupBy("region").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("back"))).alias("top"))
-    rank = rank.select("region", (-F.col("top.back")).alias("pivot"))
+    rank = stash(rank.select("region", (-F.col("top.back")).alias("pivot")), "rank")  # as above, for regions of very many
     regions = stash(regions.join(rank, "region").select("region", "pivot", "doc_id"), "pivots")
     near = _distances(rows, stash(regions.where("pivot != doc_id").select("pivot", "doc_id").distinct(), "pairs"))
     found = sizes.where("same IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
@@ -592,7 +592,7 @@ def link(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = known.select("region", "pivot", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     d = near.select("pivot", "doc_id", "lo", "hi").unionByName(near.select("pivot", F.col("pivot").alias("doc_id"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")).distinct())
     known = known.join(d, ["pivot", "doc_id"])
-    mixed = known.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("region")
+    mixed = stash(known.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("region"), "mixed")
     known = known.join(mixed, "region", "left_semi")
     head = labels.select(F.col("id").alias("pivot"), F.col("label").alias("own"))
     known = known.join(head, "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
