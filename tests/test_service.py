@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,8 @@ def test_wipe_needs_both_flags(spark, tmp_path):
 def test_report(spark):
     text = service.report(spark.range(2).select("id", F.lit(None).cast("int").alias("n")), "T")
     assert text.splitlines() == ["# T", "", "| id | n |", "|---|---|", "| 0 | - |", "| 1 | - |"]
+
+
+def test_reports_as_json(spark, engine):
+    assert json.loads(service.report_json(spark.range(1), "T")) == {"title": "T", "rows": [{"id": 0}]}
+    assert engine.link("郭靖")[0].as_dict()["confidence"] == 1.0

@@ -333,7 +333,7 @@ class Engine:
             if other.lines:
                 left, name, found = name, "vector", Found(other.status, other.lines, found.notes | other.notes)
         kept = within_budget(found.lines, BUDGET)
-        said, status, attempts, reason = generated(self.generate, text, "\n".join(kept))
+        said, status, attempts, reason = generated(self.generate, text, "\n".join(kept)[:BUDGET])
         notes = found.notes | {"attempts": attempts} | ({"reason": reason} if reason else {})
         status = {"unavailable": "degraded"}.get(status, status)
         injection = self.spark.range(1).select(linking.injection_name(F.lit(name))).first()[0]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import sequential, text
 from weftgraph.operators import align, answer, evaluate, extract, graph, match, stats, store, vectors
-from weftgraph.plans import questions, upkeep  # noqa: F401  their queries join the registry
+from weftgraph.plans import questions, texts, upkeep  # noqa: F401  their queries join the registry
 from weftgraph.plans.projection import chunks, edges, nodes, shared_folder, table
 from weftgraph.plans.registry import oracle_sql, queries, query
 from weftgraph.schema import ART, NOISE_NAMES, PERSON, RELATIONS, SECT, ontology

@@ -11,6 +11,7 @@ from dataclasses import asdict
 from urllib.parse import parse_qs
 
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import edge_key
@@ -93,29 +94,28 @@ class App:
         """At most NEIGHBOURS edges at a node, in their true direction."""
         near = match.neighbours_any_era(self.engine.nodes, self.engine.edges, name, BOOK_ERA.get(era, era) or None)
         near = near.where((F.col("type") != "MENTIONS") & F.col("src_label").isin(*LABELS) & F.col("dst_label").isin(*LABELS))
-        return payload(near.orderBy("type", "src", "dst").limit(NEIGHBOURS).collect())
+        return payload(with_edge_ids(near).orderBy("type", "src", "dst").limit(NEIGHBOURS).collect())
 
     def graph_of(self, era: str = "") -> dict:
         """The nodes of highest degree of an era, and the edges among them."""
         wanted = BOOK_ERA.get(era, era)
         edges = match.scoped_edges(self.engine.nodes, self.engine.edges, [wanted] if wanted else None)
         top = match.capped_subgraph(edges).join(edges.select("src", "type", "dst", "src_label", "dst_label").distinct(), ["src", "type", "dst"])
-        return payload(top.collect())
+        return payload(with_edge_ids(top).collect())
 
 
 def payload(edges: list) -> dict:
-    """Rows (src, type, dst, src_label, dst_label) as nodes and edges with stable ids, each once."""
+    """Rows (id, src, type, dst, src_label, dst_label) as nodes and edges, each once."""
     nodes: dict[str, dict] = {}
     found: dict[str, dict] = {}
     for e in edges:
         for name, label in ((e["src"], e["src_label"]), (e["dst"], e["dst_label"])):
             nodes.setdefault(name, {"id": name, "label": name, "type": label or "", "era": ""})
-        key = f"{e['src']}|{e['type']}|{e['dst']}"
-        found.setdefault(key, {"id": key, "from": e["src"], "to": e["dst"], "label": (service.NAMES | service.CALLED_IN["page"]).get(e["type"], e["type"]), "rel": e["type"]})
+        found.setdefault(e["id"], {"id": e["id"], "from": e["src"], "to": e["dst"], "label": (service.NAMES | service.CALLED_IN["page"]).get(e["type"], e["type"]), "rel": e["type"]})
     return {"nodes": list(nodes.values()), "edges": list(found.values())}
 
 
-def with_edge_ids(edges):
+def with_edge_ids(edges: DataFrame) -> DataFrame:
     """edges (src, type, dst) with their stable id."""
     return edges.withColumn("id", edge_key(F.col("src"), F.col("type"), F.col("dst")))
 
