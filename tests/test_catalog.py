@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 
 import pytest
 from oracle import database, of_spark, of_sql
 
+from weftgraph.operators import align
 from weftgraph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -52,7 +54,7 @@ def test_chunks_equal_plain_ones(spark):
     assert {tuple(r) for r in catalog.queries()["doc_chunks"](spark, SF).collect()} == want and len(want) > len(texts)
 
 
-def test_similar_names_equal_all_pairs(spark):
+def alike(names):
     """Every pair of names is scored by a plain longest common subsequence."""
 
     def ratio(a, b):
@@ -67,10 +69,26 @@ def test_similar_names_equal_all_pairs(spark):
         short, long = sorted((a, b), key=len)
         return max(ratio(a, b), max(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1)))
 
-    names = sorted({r["p_name"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()})
+    names = sorted(names)
     pairs = {(a, b): score(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if abs(len(a) - len(b)) <= 2}
+    return {p: round(s, 4) for p, s in pairs.items() if round(s, 4) >= 0.85}
+
+
+def test_similar_names_equal_all_pairs(spark):
+    names = {r["p_name"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
     got = {(r["a"], r["b"]): r["score"] for r in catalog.queries()["similar_name_pairs"](spark, SF).collect()}
-    assert got.keys() == {p for p, s in pairs.items() if round(s, 4) >= 0.85} and all(abs(got[p] - pairs[p]) < 1e-4 for p in got)
+    assert got == pytest.approx(alike(names), abs=1e-4)
+
+
+def test_similar_short_names_equal_all_pairs(spark):
+    rng = random.Random(47)
+    names = {"".join(rng.choice("甲乙丙丁") for _ in range(rng.randrange(1, 16))) for _ in range(260)}
+    base = sorted(n for n in names if len(n) > 6)
+    names |= {n[:k] + rng.choice("甲乙戊") + n[k + rng.randrange(2) :] for n in base for k in [rng.randrange(len(n))]}
+    frame = spark.createDataFrame([("人物", n) for n in sorted(names)], "label string, name string")
+    got = {(r["a"], r["b"]): r["score"] for r in align.similar_pairs(frame).collect()}
+    want = alike(names)
+    assert len({len(a) for a, _ in want}) > 8 and got == pytest.approx(want, abs=1e-4)
 
 
 def test_entry_runs(spark):

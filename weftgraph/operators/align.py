@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.sequential import name_scores
@@ -34,19 +34,50 @@ def rule_groups(nodes: DataFrame, normal=normal_name) -> DataFrame:
     return out.where("alias != canonical").select("label", "era", "alias", "canonical")
 
 
-def similar_pairs(nodes: DataFrame, least: float = 0.85, block: int = 2, sound=None) -> DataFrame:
+def _without_one(name: Column) -> Column:
+    """All texts that are a name without one of its characters."""
+    return F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
+
+
+def _meeting(names: DataFrame, least: float) -> DataFrame:
+    """label, a, b (a < b) of names of which no pair that is alike is left out.
+
+    Of similar names whose lengths differ by 2 at most, the shorter one, of s characters, has
+    `least` of them in common with the longer one, in order. Where that is all of them, the longer
+    one without as many characters as it has more is the shorter one. Else they share a run of two
+    characters, and one among the 3 * floor((1 - least) * s) + 5 rarest of each: a missing character
+    takes away two runs at most, one that is too many one.
+    """
+    lost = 1 - least + 1e-4  # scores are rounded
+    short_to = int(1 / lost)  # up to so many characters, none may be missing
+    short_to -= short_to * lost >= 1
+    n = F.length("name")
+    key = names.where(n <= short_to).select("label", F.col("name").alias("key"), F.col("name").alias("short"))
+    one = _without_one(F.col("name"))
+    cut = names.where((n >= 2) & (n <= short_to + 2)).withColumn("one", one)
+    cut = cut.withColumn("two", F.when(n >= 3, F.flatten(F.transform("one", lambda x: _without_one(x)))).otherwise(F.array().cast("array<string>")))
+    cut = cut.select("label", F.col("name").alias("long"), F.explode(F.array_distinct(F.concat("one", "two"))).alias("key"))
+    near = key.join(cut, ["label", "key"]).select("label", F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring("name", i, F.lit(2))))
+    keyed = names.where(n > short_to).withColumn("g", F.explode(runs))
+    counts = keyed.groupBy("label", "g").agg(F.count("*").alias("n"))
+    rare = F.row_number().over(Window.partitionBy("label", "name").orderBy("n", "g"))
+    keyed = keyed.join(counts, ["label", "g"]).withColumn("r", rare).where(F.col("r") <= 3 * F.floor(F.lit(lost) * n) + 5).select("label", "g", "name")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    met = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.name") < F.col("y.name")) & (F.abs(F.length("x.name") - F.length("y.name")) <= 2))
+    met = met.select(F.col("x.label").alias("label"), F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    return near.unionByName(met).distinct()
+
+
+def similar_pairs(nodes: DataFrame, least: float = 0.85, sound=None) -> DataFrame:
     """Pairs of names of one label whose lengths differ by 2 at most and that are alike.
 
-    Names meet if they share a run of `block` characters, which similar ones of any length do;
-    names shorter than that meet those of their first character. sound is a provider of how a name is
-    spoken; names that only sound alike have to share a run of characters too.
+    sound is a provider of how a name is spoken; names that only sound alike have to meet by their
+    characters too.
     """
-    grams = F.when(F.length("name") >= block, F.transform(F.sequence(F.lit(1), F.length("name") - block + 1), lambda i: F.substring("name", i, F.lit(block))))
-    keyed = nodes.select("label", "name").distinct().withColumn("g", F.explode(F.coalesce(F.array_distinct(grams), F.array(F.substring("name", 1, 1)))))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.name") < F.col("b.name")) & (F.abs(F.length("a.name") - F.length("b.name")) <= 2))
-    pairs = met.select(F.col("a.label").alias("label"), F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
-    return pairs.withColumn("score", F.round(name_scores(F.col("a"), F.col("b"), sound), 4)).where(F.col("score") >= least).orderBy(F.desc("score"), "label", "a", "b")
+    pairs = _meeting(nodes.select("label", "name").distinct(), least)
+    scored = pairs.withColumn("score", F.round(name_scores(F.col("a"), F.col("b"), sound), 4)).where(F.col("score") >= least)
+    return scored.orderBy(F.desc("score"), "label", "a", "b")
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
