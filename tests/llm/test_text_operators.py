@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from brute import components, passes, secrets, shingles, without_repeats
+from brute import order_minhash as plain_fingerprint
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, jaccard_join, langid, lpf_dedup, order_minhash, rff_quality, spaced_seeds, trigram_scan
@@ -382,6 +383,24 @@ def test_next_rows(spark, monkeypatch, ids):
     assert len(got) == len(ids) and [(r["next_doc_id"], r["next_text"]) for r in order] == [(r["doc_id"], r["text"]) for r in [*order[1:], order[0]]]
 
 
+def test_fingerprints_equal_plain_ones(spark, docs):
+    """Fingerprints, and likenesses to edited and next texts, k-mer by k-mer in plain Python."""
+    rng = random.Random(51)
+    words = ["".join(rng.choice("abcé日ก") for _ in range(rng.randrange(1, 22))) for _ in range(40)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (0, 1, 2, 3, 4, 5, 8, 20, 60, 130, 400) for _ in range(2)] + ["a b c d " * 20, " \t", "日本語" * 30, None]
+    got = order_minhash.compare_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    plain = [t or "" for t in texts]
+    as_text = lambda sig: ".".join(f"{x:X}" for x in sig)
+    near = lambda a, b: len(set(a) & set(b)) / 64
+    assert len(got) == len(texts)
+    for r in got:
+        one, other = plain[r["doc_id"]], plain[(r["doc_id"] + 1) % len(plain)]
+        half = len(one) // 2
+        sig, edited = plain_fingerprint(one), plain_fingerprint(one[: len(one) - half] + other[:half])
+        assert r["fingerprint"] == as_text(sig) and r["edited_fingerprint"] == as_text(edited)
+        assert abs(r["near_edited"] - near(sig, edited)) < 1e-9 and abs(r["near_next"] - near(sig, plain_fingerprint(other))) < 1e-9
+
+
 def test_signatures_count_repeats(spark):
     one, two = "a b c d " * 30, "a b c d " * 60
     rows = order_minhash.fingerprints(spark.createDataFrame([(0, one), (1, two), (2, one)], "doc_id long, text string"))
