@@ -1,3 +1,4 @@
+import random
 import shutil
 
 import pytest
@@ -36,6 +37,16 @@ def test_communities(spark):
     assert graph.louvain(edges(spark, ("a", "b")).where("false")).count() == 0
 
 
+def test_parallel_communities(spark):
+    assert graph.communities(edges(spark, ("a", "b")).where("false")).count() == 0
+    rng = random.Random(3)
+    pairs = {tuple(sorted(p)) for g in range(5) for _ in range(60) for p in [rng.sample([f"{g}{i:02}" for i in range(15)], 2)]}
+    pairs |= {tuple(sorted((f"{rng.randrange(5)}{rng.randrange(15):02}", f"{rng.randrange(5)}{rng.randrange(15):02}"))) for _ in range(30)}
+    e = edges(spark, *sorted(pairs))
+    one = graph.louvain(e).select("name", F.col("community").cast("string").alias("community"))
+    assert graph.modularity(e, graph.communities(e)) > 0.85 * graph.modularity(e, one) > 0.4
+
+
 def test_traversal_is_simple_and_complete(spark):
     e = edges(spark, ("a", "b"), ("b", "a"), kind="SPOUSE_OF").unionByName(edges(spark, ("p", "b"), ("b", "k"), kind="PARENT_OF"))
     plan = [("SPOUSE_OF", "both"), ("PARENT_OF", "in")]

@@ -199,6 +199,11 @@ def communities_louvain(spark, d):
     return graph.louvain(_family(spark, d))
 
 
+@query()
+def communities_parallel(spark, d):
+    return graph.communities(_family(spark, d))
+
+
 def _propagation_sql(rounds: int) -> str:
     steps = [f"WITH {_NEAR}, l0 AS MATERIALIZED (SELECT c_name AS name, c_name AS label FROM customer)"]
     for i in range(rounds):
