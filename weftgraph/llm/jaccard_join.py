@@ -216,11 +216,13 @@ def _survey(rows: DataFrame) -> tuple[Lookup, Pivots]:
 
     seen = stash(rows.mapInArrow(run, "shingle long, n long, found binary"), "survey")
     counts = seen.where("found IS NULL").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    top = counts.orderBy(F.desc("n"), "shingle").limit(LAST).collect()
+    top = counts.orderBy(F.desc("n"), "shingle").limit(LAST).select("shingle").toArrow().column(0).to_numpy()
     drawn = seen.where("found IS NOT NULL").dropDuplicates(["shingle"]).orderBy("shingle").limit(2 * PIVOTS).collect()  # about PIVOTS
     drawn = sorted(drawn, key=lambda r: _draw(r["shingle"]))
     discard(seen)
-    return Lookup(np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))), Pivots([(r["shingle"], np.frombuffer(r["found"], np.uint64)) for r in drawn])
+    out = Lookup(np.sort(top.astype(np.int64).view(np.uint64))), Pivots([(r["shingle"], np.frombuffer(r["found"], np.uint64)) for r in drawn])
+    give_back()
+    return out
 
 
 def _draw(doc: int) -> int:
