@@ -1,8 +1,11 @@
 import hashlib
 import itertools
+import os
 import random
 import re
 import string
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -50,6 +53,36 @@ def test_bpe_appends_and_edits(encoder):
         assert b"".join(encoder.vocabulary.token[t] for t in table.ids(5)) == table.data[:5]
 
 
+#: Prints the MB that an encoder takes beyond its vocabulary when its caches are full, and that stay when it forgets.
+FULL_CACHES = """
+import random, re, sys
+from weftgraph.llm import bpe, common
+
+def taken():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+with open(sys.argv[1], "rb") as f:
+    encoder = bpe.Encoder(f.read(), sys.argv[2])
+common.give_back()
+rng, first = random.Random(3), taken()
+for _ in range(260):
+    text = " ".join(rng.randbytes(5).hex().translate({48 + i: 103 + i for i in range(10)}) for _ in range(2000))
+    ids, same = bpe._round_trip(encoder, text)
+    assert same
+full = taken()
+encoder.forget()
+common.give_back()
+print(full - first, taken() - first)
+"""
+
+
+def test_bpe_caches_leave_room(encoder):
+    """Two tasks share an executor with what earlier stages of the pipeline left in it."""
+    out = subprocess.run([sys.executable, "-c", FULL_CACHES, PATH, public_tokenizers.PATTERN], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    full, left = map(float, out.stdout.split())
+    assert full < 130 and left < 30
+
+
 def test_bpe_cases(spark, docs, reference):
     got = {(r["doc_id"], r["ids_sha256"], r["decoded_sha256"], r["n_tokens"]) for r in bpe.digests(docs, PATH, public_tokenizers.PATTERN).collect()}
     want = set()

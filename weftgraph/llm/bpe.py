@@ -13,10 +13,13 @@ vocabulary, independent of the corpus) are broadcast, and each worker builds its
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,8 +27,9 @@ from pyspark.sql import DataFrame
 from weftgraph.llm.common import give_back, id_and_text
 
 #: Entries a task keeps of encoded pieces, of prefixes and of judged token pairs before it starts
-#: anew (some 200 MB together).
-CACHE_ENTRIES = 250_000
+#: anew. Ids are kept packed and pairs as one number each, since two such tasks share an executor
+#: with whatever earlier stages have left in it.
+CACHE_ENTRIES = 200_000
 
 #: Longer pieces seldom come again and are not kept.
 CACHED_LENGTH = 64
@@ -34,7 +38,7 @@ CACHED_LENGTH = 64
 SLICE = 500
 
 #: Prefixes of up to so many bytes are kept across pieces.
-SHARED_PREFIX = 10
+SHARED_PREFIX = 6
 
 #: White space as the Unicode property has it; the regex module's \s adds four control codes.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -68,26 +72,33 @@ class Vocabulary:
     def __init__(self, rank_file: bytes):
         lines = (line.split() for line in rank_file.splitlines() if line.strip())
         self.rank: dict[bytes, int] = {base64.b64decode(a): int(b) for a, b in lines}
-        self.token: dict[int, bytes] = {v: k for k, v in self.rank.items()}
+        #: Ids are below this; a pair of tokens is left * size + right.
+        self.size = max(self.rank.values(), default=0) + 1
+        self.token: list[bytes | None] = [None] * self.size
+        for whole, new in self.rank.items():
+            self.token[new] = whole
         self.longest = max(map(len, self.rank), default=1)
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-        self._stands: dict[tuple[int, int], bool] = {}
-        for new in sorted(self.token):
-            whole = self.token[new]
+        #: The left and the right part of each token, -1 for those that no merge makes.
+        self.left, self.right = [-1] * self.size, [-1] * self.size
+        self.merged: dict[int, int] = {}
+        self._stands: dict[int, bool] = {}
+        for whole, new in sorted(self.rank.items(), key=lambda x: x[1]):
             for cut in range(1, len(whole)):
                 left, right = self.rank.get(whole[:cut], new), self.rank.get(whole[cut:], new)
                 if left < new and right < new and self._judge(left, right):
-                    self.parts[new] = (left, right)
-                    self.merged[left, right] = new
+                    self.left[new], self.right[new] = left, right
+                    self.merged[left * self.size + right] = new
                     break
         #: What the dynamic program may use: single bytes and tokens that merges can reach.
-        self.usable = {b: i for b, i in self.rank.items() if len(b) == 1 or i in self.parts}
-        self.lengths = {i: len(b) for b, i in self.rank.items()}
-        #: Length of the longest usable token by its last two bytes.
+        self.usable = {b: i for b, i in self.rank.items() if len(b) == 1 or self.left[i] >= 0}
+        if len(self.usable) == len(self.rank):
+            self.usable = self.rank
+        self.lengths = [len(b or b"") for b in self.token]
+        #: Length of the longest usable token by its last three bytes; others have two at most.
         self.reach: dict[bytes, int] = {}
         for b in self.usable:
-            self.reach[b[-2:]] = max(self.reach.get(b[-2:], 1), len(b))
+            if len(b) > 2:
+                self.reach[b[-3:]] = max(self.reach.get(b[-3:], 2), len(b))
 
     def _judge(self, left: int, right: int) -> bool:
         """Can left and right be neighbours in a finished encoding?
@@ -96,22 +107,22 @@ class Vocabulary:
         the boundary would have merged before either was taken up on its own side, they
         cannot. Of equal merges the one further left comes first.
         """
-        above_left = above_right = float("inf")
+        above_left = above_right = self.size
         while True:
-            across = self.merged.get((left, right))
+            across = self.merged.get(left * self.size + right)
             if across is not None and across < above_left and across <= above_right:
                 return False
-            if left > right and left in self.parts:
-                above_left, left = left, self.parts[left][1]
-            elif right in self.parts:
-                above_right, right = right, self.parts[right][0]
-            elif left in self.parts:
-                above_left, left = left, self.parts[left][1]
+            if left > right and self.right[left] >= 0:
+                above_left, left = left, self.right[left]
+            elif self.left[right] >= 0:
+                above_right, right = right, self.left[right]
+            elif self.right[left] >= 0:
+                above_left, left = left, self.right[left]
             else:
                 return True
 
     def stands(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left * self.size + right
         known = self._stands.get(key)
         if known is None:
             if len(self._stands) >= CACHE_ENTRIES:
@@ -121,15 +132,15 @@ class Vocabulary:
 
     def last_token(self, data: bytes, end: int, last: list[int]) -> int:
         """The one token that can end data[:end], given those of all shorter prefixes."""
-        usable, judged = self.usable, self._stands
-        reach = self.reach.get(data[max(0, end - 2) : end], 1)
+        usable, judged, size = self.usable, self._stands, self.size
+        reach = self.reach.get(data[max(0, end - 3) : end], 2)
         for start in range(end - reach if end > reach else 0, end):
             token = usable.get(data[start:end])
             if token is None:
                 continue
             if start == 0:
                 return token
-            known = judged.get((last[start - 1], token))
+            known = judged.get(last[start - 1] * size + token)
             if known or known is None and self.stands(last[start - 1], token):
                 return token
         raise ValueError("the vocabulary lacks a byte")
@@ -137,17 +148,17 @@ class Vocabulary:
     def encode_piece(self, data: bytes, known: dict[bytes, int]) -> tuple[int, ...]:
         """Encoding of a piece; known keeps the last tokens of prefixes that pieces share."""
         last: list[int] = []
-        usable, judged, reaches = self.usable.get, self._stands.get, self.reach.get
+        usable, judged, reaches, size = self.usable.get, self._stands.get, self.reach.get, self.size
         for end in range(1, len(data) + 1):
             token = known.get(data[:end]) if end <= SHARED_PREFIX else None
             if token is None:
-                reach = reaches(data[end - 2 : end], 1) if end > 1 else 1
+                reach = reaches(data[end - 3 : end], 2) if end > 2 else 2
                 for start in range(end - reach if end > reach else 0, end):
                     token = usable(data[start:end])
                     if token is not None:
                         if start == 0:
                             break
-                        fits = judged((last[start - 1], token))
+                        fits = judged(last[start - 1] * size + token)
                         if fits or fits is None and self.stands(last[start - 1], token):
                             break
                 else:
@@ -214,20 +225,22 @@ class PrefixTable:
 
 
 class _Pieces(dict):
-    """Encodings of pieces already met: up to CACHE_ENTRIES, and as many from before that."""
+    """Packed encodings of pieces already met: up to CACHE_ENTRIES, and as many from before that."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary, self.known, self.older = vocabulary, {}, {}
+        self.kind = "H" if vocabulary.size <= 1 << 16 else "I"
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             data = piece.encode("utf-8")
             whole = self.vocabulary.rank.get(data)
             if len(self.known) >= CACHE_ENTRIES:
                 self.known.clear()
-            ids = (whole,) if whole is not None else self.vocabulary.encode_piece(data, self.known)
+            found = (whole,) if whole is not None else self.vocabulary.encode_piece(data, self.known)
+            ids = array(self.kind, found).tobytes()
         if len(self) >= CACHE_ENTRIES:
             self.older = dict(self)
             self.clear()
@@ -248,10 +261,17 @@ class Encoder:
         self.vocabulary = Vocabulary(rank_file)
         self.split = piece_pattern(pattern).findall
         self.pieces = _Pieces(self.vocabulary)
-        self.digits = {i: str(i) for i in self.vocabulary.token}
+
+    @cached_property
+    def digits(self) -> list[str]:
+        return [str(i) for i in range(self.vocabulary.size)]
+
+    def packed(self, text: str) -> np.ndarray:
+        """Ids of a text, in two bytes each if the vocabulary allows."""
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split(text))), self.pieces.kind)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        return self.packed(text).tolist()
 
     def decode(self, ids) -> bytes:
         return self.vocabulary.decode(ids)
@@ -260,6 +280,7 @@ class Encoder:
         """Drop what was learned from texts; the vocabulary's tables stay."""
         self.pieces.forget()
         self.vocabulary._stands.clear()
+        gc.collect()  # its lists of free objects keep whole arenas
 
 
 _encoders: dict[str, Encoder] = {}
@@ -283,12 +304,14 @@ def _each(docs: DataFrame, rank_path: str, pattern: str, schema: str, row) -> Da
     fields = to_arrow_schema(arrow.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier stages have left in this worker
         encoder = _encoder(ranks.value, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 rows = [(i, *row(encoder, t.as_py())) for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+                pa.default_memory_pool().release_unused()
         encoder.forget()  # a worker lives on, and other operators need its memory
         give_back()
 
@@ -296,7 +319,7 @@ def _each(docs: DataFrame, rank_path: str, pattern: str, schema: str, row) -> Da
 
 
 def _ids(encoder: Encoder, text: str) -> tuple:
-    return (encoder.encode(text),)
+    return (encoder.packed(text),)
 
 
 def _digest(encoder: Encoder, text: str) -> tuple:
@@ -306,8 +329,8 @@ def _digest(encoder: Encoder, text: str) -> tuple:
 
 
 def _round_trip(encoder: Encoder, text: str) -> tuple:
-    ids = encoder.encode(text)
-    return ids, encoder.decode(ids).decode("utf-8") == text
+    ids = encoder.packed(text)
+    return ids, encoder.decode(ids.tolist()).decode("utf-8") == text
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import id_and_text
+from weftgraph.llm.common import give_back, id_and_text
 
 #: Sets of literal alternatives larger than this are cut into trigrams where they stand.
 MAX_ALTERNATIVES = 64
@@ -299,6 +299,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDAC
                 counts[i] = len(texts[i])
             columns = [pa.array(texts, pa.string()) if c == "text" else pa.array(counts, pa.int64()) if c == "n_chars" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
