@@ -29,7 +29,7 @@ from weftgraph.llm.common import give_back, id_and_text
 #: Entries a task keeps of encoded pieces, of prefixes and of judged token pairs before it starts
 #: anew. Ids are kept packed and pairs as one number each, since two such tasks share an executor
 #: with whatever earlier stages have left in it.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
 
 #: Longer pieces seldom come again and are not kept.
 CACHED_LENGTH = 64
@@ -37,7 +37,7 @@ CACHED_LENGTH = 64
 #: Texts whose ids are held at a time.
 SLICE = 500
 
-#: Prefixes of up to so many bytes are kept across pieces.
+#: Prefixes of so many bytes are kept across pieces.
 SHARED_PREFIX = 6
 
 #: White space as the Unicode property has it; the regex module's \s adds four control codes.
@@ -145,27 +145,25 @@ class Vocabulary:
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
-    def encode_piece(self, data: bytes, known: dict[bytes, int]) -> tuple[int, ...]:
-        """Encoding of a piece; known keeps the last tokens of prefixes that pieces share."""
-        last: list[int] = []
+    def encode_piece(self, data: bytes, known: dict[bytes, tuple[int, ...]]) -> tuple[int, ...]:
+        """Encoding of a piece; known keeps the last tokens of a prefix that pieces share."""
         usable, judged, reaches, size = self.usable.get, self._stands.get, self.reach.get, self.size
-        for end in range(1, len(data) + 1):
-            token = known.get(data[:end]) if end <= SHARED_PREFIX else None
-            if token is None:
-                reach = reaches(data[end - 3 : end], 2) if end > 2 else 2
-                for start in range(end - reach if end > reach else 0, end):
-                    token = usable(data[start:end])
-                    if token is not None:
-                        if start == 0:
-                            break
-                        fits = judged(last[start - 1] * size + token)
-                        if fits or fits is None and self.stands(last[start - 1], token):
-                            break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
-                if end <= SHARED_PREFIX:
-                    known[data[:end]] = token
+        last = list(known.get(data[:SHARED_PREFIX], ()))
+        for end in range(len(last) + 1, len(data) + 1):
+            reach = reaches(data[end - 3 : end], 2) if end > 2 else 2
+            for start in range(end - reach if end > reach else 0, end):
+                token = usable(data[start:end])
+                if token is not None:
+                    if start == 0:
+                        break
+                    fits = judged(last[start - 1] * size + token)
+                    if fits or fits is None and self.stands(last[start - 1], token):
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
             last.append(token)
+            if end == SHARED_PREFIX:
+                known[data[:end]] = tuple(last)
         at, out, lengths = len(data), [], self.lengths
         while at:
             token = last[at - 1]
@@ -304,6 +302,7 @@ def _each(docs: DataFrame, rank_path: str, pattern: str, schema: str, row) -> Da
     fields = to_arrow_schema(arrow.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
         give_back()  # what earlier stages have left in this worker
         encoder = _encoder(ranks.value, pattern)
         for batch in batches:
